@@ -1,0 +1,11 @@
+"""Queries over the monitoring tables, each with the SQL that states the same result."""
+
+from __future__ import annotations
+
+
+def queries():
+    return {}
+
+
+def oracle_sql():
+    return {}
