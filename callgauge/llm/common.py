@@ -1,12 +1,18 @@
-"""What the operators share: reading tables, settled intermediate tables, bounded samples."""
+"""What the operators share: reading tables, settled intermediate tables, bounded samples, Arrow passes."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+#: The six ASCII characters that separate words.
+SPACES = b" \t\n\x0b\x0c\r"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +47,33 @@ def bounded_sample(df: DataFrame, key: str, bound: int, seed: int) -> DataFrame:
     return df.filter(F.pmod(F.xxhash64(F.lit(seed), F.col(key).cast("string")), F.lit(total)) < bound)
 
 
-def words_pattern() -> str:
-    """The pattern of a word: any run without the six ASCII white-space characters."""
-    return r"[^\x20\x09-\x0D]+"
+def labelled_sample(docs: DataFrame, labels: DataFrame, names: tuple[str, ...], bound: int, seed: int) -> DataFrame:
+    """doc_id, text and the label columns ``names`` of about ``bound`` labelled rows.
+
+    Labels without an id or without any of ``names`` are left out; of repeated ids the largest
+    label counts. The sample of labels is bounded, so it is broadcast and no text is shuffled.
+    """
+    known = labels.dropna(subset=["doc_id", *names]).groupBy("doc_id").agg(*(F.max(n).alias(n) for n in names))
+    some = bounded_sample(known, "doc_id", bound, seed)
+    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+
+
+def appended(docs: DataFrame, inputs: list[str], added: str, start: Callable[[], Callable[..., list[pa.Array]]]) -> DataFrame:
+    """``docs`` and the columns ``added`` (DDL), made in Arrow from the columns ``inputs``; no shuffle.
+
+    ``start`` runs once in each task and returns the function from columns to columns. An added
+    column takes the place of one of the same name.
+    """
+    new = StructType.fromDDL(added)
+    taken = {n.lower() for n in new.names}
+    kept = [c for c in docs.columns if c.lower() not in taken]
+    schema = StructType([docs.schema[c] for c in kept] + new.fields)
+    n = len(kept)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = start()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *make(*batch.columns[n:])], names=schema.names)
+
+    picked = docs.select(*(F.col(f"`{c}`") for c in kept), *(F.col(c).alias(f"_input{i}") for i, c in enumerate(inputs)))
+    return picked.mapInArrow(run, schema)
