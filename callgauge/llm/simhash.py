@@ -1,9 +1,14 @@
-"""Near-duplicates by 64-bit SimHash, found through deletion-variant signatures.
+"""Near-duplicates by SimHash, found through deletion-variant signatures.
 
-Two fingerprints that differ in at most four bits are cut into three segments; one segment then
-differs in at most one bit. Each fingerprint is indexed under every variant of every segment
-with one bit wiped out (64 in all), so such a pair meets under some variant. Variants are met by
-equality, in sorted partitions, and every meeting is verified on the whole fingerprint.
+A fingerprint is cut into so few segments that, within the distance looked for, one of them
+differs in at most one bit: four bits and three segments of 64 bits leave one such. Each
+fingerprint is indexed under every variant of every segment with one bit wiped out, so such a pair
+meets under some variant. Variants are met by equality, in sorted partitions, and every meeting is
+verified on the whole fingerprint.
+
+Likeness of 0.8 in five-word shingles leaves about a seventh of the bits different, more than a guarantee can
+cover. ``drop_near_duplicates`` therefore takes 128 bits in eight segments: of pairs that differ in a
+seventh of their bits 93 % have a segment with at most one different bit, of pairs alike by 0.9 or more 99 %.
 
 Equal fingerprints are folded first, so copies never meet each other. Small groups compare all
 members; larger ones are searched breadth first and report a spanning forest instead of all
@@ -17,6 +22,7 @@ of component_id; an empty table gives an empty result; other columns pass throug
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,113 +30,151 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
 from .common import settled
+from .components import connected_components
 
-#: (lowest bit, bits) of the segments.
-SEGMENTS = ((0, 21), (21, 21), (42, 22))
-MAX_BITS = 4
 SMALL_GROUP = 24
 
+
+@dataclass(frozen=True)
+class Scheme:
+    """Seeds of the 64-bit words, the segments' sizes in bits (none spans two words) and the bits that linked fingerprints may differ in."""
+
+    seeds: tuple[int, ...]
+    sizes: tuple[int, ...]
+    most: int
+
+    def segments(self) -> list[tuple[int, int, int]]:
+        """(word, lowest bit, bits) of each segment."""
+        out, at = [], 0
+        for n in self.sizes:
+            out.append((at // 64, at % 64, n))
+            at += n
+        return out
+
+
+FOUR_BITS = Scheme((42,), (21, 21, 22), 4)
+#: Linked up to 22 of 128 bits, which is the expected distance at a likeness of 0.77.
+ALIKE = Scheme((42, 43), (16,) * 8, 22)
+FP = "struct<a:bigint,b:bigint>"
+
 _BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
-def fingerprint(text: bytes, shingle: int) -> int:
-    """Bit i is one if it is set in over half of the shingles' XXH64 values (seed 42)."""
+def _majority(hashes: np.ndarray) -> int:
+    octets = hashes.view(np.uint8).reshape(-1, 8)
+    ones = np.concatenate([np.bincount(octets[:, i], minlength=256) @ _BYTE_BITS for i in range(8)])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: bytes, shingle: int, seeds: tuple[int, ...] = (42,)) -> tuple[int, ...]:
+    """Bit i of a word is one if it is set in over half of the shingles' XXH64 values."""
     words = text.lower().split()
     if not words:
-        return 0
+        return (0,) * len(seeds)
     joined = b" ".join(words)
+    digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, 42)
+        return tuple(digest(joined, seed) for seed in seeds)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], 42) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist())], np.uint64)
-    octets = hashes.view(np.uint8).reshape(-1, 8)
-    ones = np.concatenate([np.bincount(octets[:, i], minlength=256) @ _BYTE_BITS for i in range(8)])
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+    pieces = [joined[a:b] for a, b in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist())]
+    return tuple(_majority(np.array([digest(p, seed) for p in pieces], np.uint64)) for seed in seeds)
+
+
+def _struct(fp: np.ndarray) -> pa.StructArray:
+    """(n, 2) words as a column."""
+    a, b = (pa.array(np.ascontiguousarray(fp[:, i]).view(np.int64)) for i in range(2))
+    return pa.StructArray.from_arrays([a, b], names=["a", "b"])
 
 
-def _fingerprints(shingle: int):
+def _words(column: pa.StructArray) -> np.ndarray:
+    return np.stack([column.field(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(2)], 1)
+
+
+def _fingerprints(shingle: int, seeds: tuple[int, ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = np.zeros((batch.num_rows, 2), np.uint64)
+            for i, t in enumerate(batch.column(1)):
+                values[i, : len(seeds)] = fingerprint(t.as_py(), shingle, seeds)
+            yield pa.RecordBatch.from_arrays([batch.column(0), _struct(values)], names=["row", "fp"])
+
+    return run
+
+
+def _variants(scheme: Scheme):
+    """Each fingerprint under its signatures: number of the wiped bit, and the rest of its segment."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [fingerprint(t.as_py(), shingle) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(values, np.uint64).view(np.int64))], names=["row", "fp"])
+            fp = _words(batch.column(0))
+            for i in range(0, len(fp), 4096):
+                part, keys = fp[i : i + 4096], []
+                for word, low, bits in scheme.segments():
+                    value = (part[:, word] >> np.uint64(low)) & np.uint64((1 << bits) - 1)
+                    for bit in range(bits):
+                        keys.append(value & np.uint64(~(1 << bit) & (1 << bits) - 1) | np.uint64((64 * word + low + bit) << 22))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int64)), _struct(np.tile(part, (len(keys), 1)))], names=["signature", "fp"])
 
     return run
 
 
-def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each fingerprint under its 64 signatures: number of the wiped bit, and the rest of its segment."""
-    for batch in batches:
-        fp = batch.column(0).to_numpy(zero_copy_only=False)
-        for i in range(0, len(fp), 4096):
-            part = fp[i : i + 4096].view(np.uint64)
-            keys = []
-            for low, bits in SEGMENTS:
-                value = (part >> np.uint64(low)) & np.uint64((1 << bits) - 1)
-                for bit in range(bits):
-                    keys.append(value & np.uint64(~(1 << bit) & (1 << bits) - 1) | np.uint64((low + bit) << 22))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int64)), pa.array(np.tile(part.view(np.int64), len(keys)))], names=["signature", "fp"])
+def _distance(differ: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(differ).astype(np.int64).sum(-1)
 
 
-def _first_signature(differ: np.ndarray) -> np.ndarray:
+def _first_signature(differ: np.ndarray, scheme: Scheme) -> np.ndarray:
     """Of the wiped bits under which a pair meets, the first; a pair counts only there."""
     at = np.full(len(differ), -1)
-    for low, bits in SEGMENTS:
-        part = (differ >> np.uint64(low)) & np.uint64((1 << bits) - 1)
+    for word, low, bits in scheme.segments():
+        part = (differ[:, word] >> np.uint64(low)) & np.uint64((1 << bits) - 1)
         one = np.bitwise_count(part) <= 1
         bit = np.where(part == 0, 0, np.log2(np.maximum(part, 1).astype(np.float64)).astype(np.int64))
-        at = np.where((at < 0) & one, low + bit, at)
+        at = np.where((at < 0) & one, 64 * word + low + bit, at)
     return at
 
 
-def _forest(fp: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Links that connect all members of a group whose members are linked."""
+def _forest(fp: np.ndarray, most: int) -> np.ndarray:
+    """Links that connect all members of a group whose members are linked: (link, end, word)."""
     left, edges = fp, []
     while len(left):
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             x = queue.pop()
-            near = np.bitwise_count(left ^ x) <= most
-            edges += [(int(x), int(y)) for y in left[near]]
-            queue += list(left[near])
-            left = left[~near]
-    return edges
-
+            near = _distance(left ^ x) <= most
+            if near.any():
+                edges.append(np.stack((np.tile(x, (near.sum(), 1)), left[near]), 1))
+                queue += list(left[near])
+                left = left[~near]
+    return np.concatenate(edges) if edges else np.empty((0, 2, 2), np.uint64)
+
+
+def _meet(scheme: Scheme):
+    def links(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        size = np.diff(np.append(begin, len(key)))
+        found = [np.empty((0, 2, 2), np.uint64)]
+        small = ~np.repeat(size > SMALL_GROUP, size)
+        at = np.flatnonzero(small)
+        for shift in range(1, SMALL_GROUP):
+            at = at[at < len(key) - shift]
+            at = at[key[at + shift] == key[at]]
+            if len(at) == 0:
+                break
+            differ = fp[at] ^ fp[at + shift]
+            good = _distance(differ) <= scheme.most
+            good[good] = _first_signature(differ[good], scheme) == key[at[good]] >> 22
+            found.append(np.stack((fp[at[good]], fp[at[good] + shift]), 1))
+        found += [_forest(fp[begin[i] : begin[i] + size[i]], scheme.most) for i in np.flatnonzero(size > SMALL_GROUP)]
+        pairs = np.concatenate(found)
+        return pa.RecordBatch.from_arrays([_struct(pairs[:, 0]), _struct(pairs[:, 1])], names=["src", "dst"])
 
-def _meet(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-            fp = fp.view(np.uint64)
-            first = np.concatenate(([True], key[1:] != key[:-1]))
-            begin = np.flatnonzero(first)
-            size = np.diff(np.append(begin, len(key)))
-            big = size > SMALL_GROUP
-            a, b = [], []
-            small = ~np.repeat(big, size)
-            for shift in range(1, SMALL_GROUP):
-                met = np.flatnonzero((key[shift:] == key[:-shift]) & small[shift:])
-                if len(met) == 0:
-                    break
-                x, y = fp[met], fp[met + shift]
-                differ = x ^ y
-                good = np.bitwise_count(differ) <= most
-                good[good] = _first_signature(differ[good]) == key[met[good]] >> 22
-                a.append(x[good])
-                b.append(y[good])
-            for i in np.flatnonzero(big):
-                edges = np.array(_forest(fp[begin[i] : begin[i] + size[i]], most), np.uint64).reshape(-1, 2)
-                a.append(edges[:, 0])
-                b.append(edges[:, 1])
-            a, b = (np.concatenate(v).view(np.int64) if v else np.empty(0, np.int64) for v in (a, b))
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["src", "dst"])
-
-        held_key, held_fp = np.empty(0, np.int64), np.empty(0, np.int64)
+        held_key, held_fp = np.empty(0, np.int64), np.empty((0, 2), np.uint64)
         for batch in batches:
             key = np.concatenate((held_key, batch.column(0).to_numpy(zero_copy_only=False)))
-            fp = np.concatenate((held_fp, batch.column(1).to_numpy(zero_copy_only=False)))
+            fp = np.concatenate((held_fp, _words(batch.column(1))))
             whole = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last group may go on in the next batch
             if whole:
                 yield links(key[:whole], fp[:whole])
@@ -141,31 +185,43 @@ def _meet(most: int):
     return run
 
 
-def link_fingerprints(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """(src, dst) links between distinct fingerprints ``fp`` that connect all within ``max_bits`` bits.
-
-    ``max_bits`` is at most 5: three segments then still hold one with at most one differing bit.
-    """
-    if not 0 <= max_bits <= 5:
-        raise ValueError("three segments with one wiped bit each find up to five differing bits")
-    signatures = fps.mapInArrow(_variants, "signature long, fp long")
+def link_fingerprints(fps: DataFrame, scheme: Scheme = FOUR_BITS) -> DataFrame:
+    """(src, dst) links between distinct fingerprints ``fp`` that connect those that meet and differ in few enough bits."""
+    signatures = fps.mapInArrow(_variants(scheme), f"signature long, fp {FP}")
     dealt = signatures.repartition("signature").sortWithinPartitions("signature")
-    return dealt.mapInArrow(_meet(max_bits), "src long, dst long")
+    return dealt.mapInArrow(_meet(scheme), f"src {FP}, dst {FP}")
+
+
+def _grouped(docs: DataFrame, shingle: int, scheme: Scheme, row) -> tuple[DataFrame, DataFrame]:
+    """(row, fp) of every document and (fp, root) of every fingerprint."""
+    rows = docs.select(row.alias("row"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("bytes"))
+    kind = rows.schema["row"].dataType.simpleString()
+    prints = settled(rows.mapInArrow(_fingerprints(shingle, scheme.seeds), f"row {kind}, fp {FP}"))
+    fps = settled(prints.select("fp").distinct())
+    roots = connected_components(settled(link_fingerprints(fps, scheme)))
+    return prints, fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = MAX_BITS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Each row's ``keep`` columns, ``fingerprint`` (16 hex digits) and ``component_id``.
+def near_duplicates(docs: DataFrame, shingle: int = 4, scheme: Scheme = FOUR_BITS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Each row's ``keep`` columns (doc_id among them), ``fingerprint`` (hex digits) and ``component_id``.
 
     component_id is the smallest doc_id that links can reach from the row.
     """
-    rows = docs.select(F.struct(*keep).alias("row"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("bytes"))
-    kind = rows.schema["row"].dataType.simpleString()
-    prints = settled(rows.mapInArrow(_fingerprints(shingle), f"row {kind}, fp long"))
-    fps = settled(prints.groupBy("fp").agg(F.min("row.doc_id").alias("least")))
-    links = settled(link_fingerprints(fps.select("fp"), max_bits))
-    roots = connected_components(links)
-    placed = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    placed = placed.join(named, "root").select("fp", "component_id")
-    met = prints.join(placed, "fp")
-    return met.select("row.*", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    prints, roots = _grouped(docs, shingle, scheme, F.struct(*keep))
+    least = prints.groupBy("fp").agg(F.min("row.doc_id").alias("least")).join(roots, "fp")
+    named = least.groupBy("root").agg(F.min("least").alias("component_id"))
+    placed = least.join(named, "root").select("fp", "component_id")
+    digits = [F.lower(F.lpad(F.hex(f"fp.{w}"), 16, "0")) for w in "ab"[: len(scheme.seeds)]]
+    return prints.join(placed, "fp").select("row.*", F.concat(*digits).alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, scheme: Scheme = ALIKE) -> DataFrame:
+    """``docs`` with one row of each group: that of the least doc_id (a null one last), of equal ids that of the least digest.
+
+    Only keys and fingerprints are grouped; texts are dealt out once, by key, to pick the rows that stay.
+    """
+    columns = [c for c in docs.columns if c != "_key"]
+    keyed = docs.select(*columns, F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("_key"))
+    prints, roots = _grouped(keyed, shingle, scheme, F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_key"))
+    first = prints.groupBy("fp").agg(F.min("row").alias("row")).join(roots, "fp").groupBy("root").agg(F.min("row").alias("row"))
+    return keyed.join(first.select("row._key"), "_key", "left_semi").dropDuplicates(["_key"]).select(*columns)
