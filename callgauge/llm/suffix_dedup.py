@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import settled
@@ -250,19 +250,15 @@ def _window_digests(length: int):
 def repeated_spans(docs: DataFrame, length: int = LENGTH, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """(key, start, stop) byte spans, overlapping ones included, of repeated windows; docs: key, bytes."""
     runs = docs.mapInArrow(_runs(length), RUN_SCHEMA)
-    same, named = Window.partitionBy("name", "digest"), Window.partitionBy("name")
-    met = (
-        runs.withColumn("n_name", F.count("*").over(named))
-        .filter("n_name > 1")
-        .withColumn("n_same", F.count("*").over(same))
-        .withColumn("nth", F.row_number().over(same.orderBy("key", "first")))
-        .withColumn("n_kinds", F.sum((F.col("nth") == 1).cast("long")).over(named))
-        .filter("n_same > 1 OR n_kinds > 1")
-        .select("key", "name", "first", "last", "n_same", "n_kinds", "nth")
-    )
-    met = settled(met)
-    copies = met.filter("n_same > 1").select("key", F.col("first").alias("start"), (F.col("last") + length).alias("stop"))
-    asked = met.filter("n_kinds > 1 AND nth = 1")
+    # Counts are pre-aggregated by task, and a name of very many runs is split by the join.
+    names = runs.groupBy("name").agg(F.count("*").alias("n"), F.min("digest").alias("low"), F.max("digest").alias("high")).filter("n > 1")
+    met = settled(runs.join(names.select("name", (F.col("low") != F.col("high")).alias("several")), "name"))
+    kinds = settled(met.filter("several").groupBy("name", "digest").agg(F.count("*").alias("n_same"), F.min("key").alias("least")))
+    counted = kinds.join(kinds.groupBy("name").agg(F.count("*").alias("n_kinds")), "name")
+    placed = met.filter("several").join(counted, ["name", "digest"])
+    same = met.filter("NOT several").select("key", "first", "last").unionByName(placed.filter("n_same > 1").select("key", "first", "last"))
+    copies = same.select("key", F.col("first").alias("start"), (F.col("last") + length).alias("stop"))
+    asked = placed.filter("key = least").dropDuplicates(["name", "digest"])
     regions = asked.join(docs, "key").select("name", "key", "first", F.expr(f"substring(bytes, first + 1, last - first + {length})").alias("region"), "n_kinds")
     regions = settled(regions)
     few = regions.filter(F.col("n_kinds") <= group_limit).select("name", "key", "first", "region")
