@@ -13,7 +13,8 @@ def seeded_rank(key: Column, seed: int) -> Column:
 def stratified_sample(rows: DataFrame, stratum: str, key: str, n: int = 5, seed: int = 42, order: Column | None = None) -> DataFrame:
     """``n`` rows of each stratum with their rank (from 0); ``order`` replaces the seeded hash."""
     by = Window.partitionBy(stratum).orderBy(seeded_rank(F.col(key), seed) if order is None else order, key)
-    return rows.withColumn("rank", F.row_number().over(by) - 1).filter(F.col("rank") < n)
+    first = rows.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= n)  # a top-k of each group before the shuffle
+    return first.withColumn("rank", F.col("rank") - 1)
 
 
 def refusal_split(rows: DataFrame, key: str, n_safe: int = 5, n_unsafe: int = 1, seed: int = 42, order: Column | None = None) -> DataFrame:
