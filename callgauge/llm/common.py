@@ -13,6 +13,8 @@ from pyspark.sql.types import StructType
 
 #: The six ASCII characters that separate words.
 SPACES = b" \t\n\x0b\x0c\r"
+#: Rows that a pass turns into Python objects at a time.
+ROWS = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,12 +70,15 @@ def appended(docs: DataFrame, inputs: list[str], added: str, start: Callable[[],
     taken = {n.lower() for n in new.names}
     kept = [c for c in docs.columns if c.lower() not in taken]
     schema = StructType([docs.schema[c] for c in kept] + new.fields)
+    sent = kept + [c for c in inputs if c not in kept]
+    at = [sent.index(c) for c in inputs]
     n = len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = start()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *make(*batch.columns[n:])], names=schema.names)
+            for row in range(0, max(1, batch.num_rows), ROWS):  # few texts at a time are Python objects
+                part = batch.slice(row, ROWS)
+                yield pa.RecordBatch.from_arrays([*part.columns[:n], *make(*(part.column(i) for i in at))], names=schema.names)
 
-    picked = docs.select(*(F.col(f"`{c}`") for c in kept), *(F.col(c).alias(f"_input{i}") for i, c in enumerate(inputs)))
-    return picked.mapInArrow(run, schema)
+    return docs.select(*(F.col(f"`{c}`") for c in sent)).mapInArrow(run, schema)

@@ -19,6 +19,7 @@ from __future__ import annotations
 import heapq
 import json
 import mmap
+import re
 import struct
 import uuid
 from collections import Counter
@@ -36,7 +37,7 @@ from .common import appended, shared_folder
 LEXICON_WORDS = 50_000
 LONGEST_WORD = 64
 NAIVE_SYMBOLS = 48
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 
 #: Fixed: the pattern of byte-level BPE, with white space by its Unicode property.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -116,21 +117,32 @@ class Vocabulary:
 
 
 class Splitter:
-    """Cuts a text into special strings and words."""
+    """Cuts a text into pieces that are encoded on their own, and pieces into words.
+
+    A single blank between two other characters that aren't white space always begins a word, so
+    most texts fall into pieces by a plain split; the rest is cut into words at once. Special strings are pieces.
+    """
 
     def __init__(self, special: dict[str, int]) -> None:
         self.special = special
         self.words = regex.compile(PATTERN).findall
+        self.blanks_beside_spaces = re.compile(r" \s|\s ").search
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")").split if special else None
 
     def __call__(self, text: str) -> list[str]:
         if self.cut is None or not any(s in text for s in self.special):
-            return self.words(text)
+            return self._plain(text)
         out = []
         for i, part in enumerate(self.cut(text)):
-            out += [part] if i % 2 else self.words(part)
+            out += [part] if i % 2 else self._plain(part)
         return out
 
+    def _plain(self, text: str) -> list[str]:
+        if self.blanks_beside_spaces(text):
+            return self.words(text)
+        first, *rest = text.split(" ")
+        return [first, *[" " + piece for piece in rest]]
+
 
 def minimal_automaton(words: list[bytes]) -> list[tuple[bool, tuple[tuple[int, int], ...]]]:
     """States of the smallest acyclic automaton of sorted distinct ``words``: (final, (byte, state) arcs); the last is the start."""
@@ -232,14 +244,17 @@ def _word_counts(special: dict[str, int]):
         split, held = Splitter(special), Counter()
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
+            words: Counter = Counter()
+            for piece, n in held.items():
+                for word in [piece] if piece in special else split.words(piece):
+                    words[word] += n
             held.clear()
-            return out
+            return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
 
         for batch in batches:
             for text in batch.column(0):
                 held.update(split(text.as_py() or ""))
-                if len(held) > 300_000:
+                if len(held) > 200_000:
                     yield flush()
         if held:
             yield flush()
@@ -292,19 +307,20 @@ class Codec:
             split = Splitter(vocabulary.special)
 
             class Known(dict):
-                def __missing__(self, word: str) -> bytes:
+                def __missing__(self, piece: str) -> bytes:
                     if len(self) > CACHE_WORDS:
                         self.clear()
-                    if word in vocabulary.special:
-                        found = np.array([vocabulary.special[word]], np.int32).tobytes()
+                    if piece in vocabulary.special:
+                        found = np.array([vocabulary.special[piece]], np.int32).tobytes()
                     else:
-                        raw = word.encode()
-                        found = lexicon.ids(raw) if lexicon else None
-                        if found is None:
-                            found = np.array(vocabulary.merge(raw), np.int32).tobytes()
-                    self[word] = found
+                        found = b"".join([of_word(w.encode()) for w in split.words(piece)])
+                    self[piece] = found
                     return found
 
+            def of_word(word: bytes) -> bytes:
+                found = lexicon.ids(word) if lexicon else None
+                return np.array(vocabulary.merge(word), np.int32).tobytes() if found is None else found
+
             known = Known()
 
             def make(text: pa.Array) -> list[pa.Array]:

@@ -65,7 +65,7 @@ def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     codec = lexicon_bpe.Codec(spark, VOCABULARY).compile(docs)
-    coded = codec.decode(codec.encode(docs))
+    coded = codec.decode(codec.encode(docs).drop("text"))
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
