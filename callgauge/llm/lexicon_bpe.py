@@ -22,11 +22,13 @@ import mmap
 import re
 import struct
 import uuid
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
@@ -37,7 +39,7 @@ from .common import appended, shared_folder
 LEXICON_WORDS = 50_000
 LONGEST_WORD = 64
 NAIVE_SYMBOLS = 48
-CACHE_WORDS = 100_000
+CACHE_WORDS = 300_000
 
 #: Fixed: the pattern of byte-level BPE, with white space by its Unicode property.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -66,26 +68,26 @@ class Vocabulary:
         for token, i in self.special.items():
             self.bytes[i] = token.encode()
         self.of_byte = [ids[c] for c, _ in sorted(of.items(), key=lambda x: x[1])]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.merges: dict[tuple[int, int], int] = {}  # rank, then id of the merged token
         for rank, pair in enumerate(stated["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges[ids[a], ids[b]] = (rank, ids[a + b])
+            self.merges[ids[a], ids[b]] = rank << 32 | ids[a + b]
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of one word."""
-        ids = [self.of_byte[b] for b in word]
+        of, find, none = self.of_byte, self.merges.get, 1 << 62
+        ids = [of[b] for b in word]
         if len(ids) > NAIVE_SYMBOLS:
             return self._merge_long(ids)
-        merges = self.merges
-        while len(ids) > 1:
-            best, at = None, 0
-            for i in range(len(ids) - 1):
-                found = merges.get((ids[i], ids[i + 1]))
-                if found is not None and (best is None or found < best):
-                    best, at = found, i
-            if best is None:
-                break
-            ids[at : at + 2] = [best[1]]
+        found = [find(pair, none) for pair in zip(ids, ids[1:])]
+        while found and (best := min(found)) < none:
+            i = found.index(best)
+            ids[i : i + 2] = [best & 0xFFFFFFFF]
+            del found[i]
+            if i < len(found):
+                found[i] = find((ids[i], ids[i + 1]), none)
+            if i:
+                found[i - 1] = find((ids[i - 1], ids[i]), none)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
@@ -97,7 +99,7 @@ class Vocabulary:
         def offer(i: int) -> None:
             j = after[i]
             if j < n and (found := self.merges.get((ids[i], ids[j]))) is not None:
-                heapq.heappush(heap, (found[0], i, ids[i], ids[j], found[1]))
+                heapq.heappush(heap, (found >> 32, i, ids[i], ids[j], found & 0xFFFFFFFF))
 
         for i in range(n - 1):
             offer(i)
@@ -254,7 +256,7 @@ def _word_counts(special: dict[str, int]):
         for batch in batches:
             for text in batch.column(0):
                 held.update(split(text.as_py() or ""))
-                if len(held) > 200_000:
+                if len(held) > 400_000:
                     yield flush()
         if held:
             yield flush()
@@ -313,13 +315,23 @@ class Codec:
                     if piece in vocabulary.special:
                         found = np.array([vocabulary.special[piece]], np.int32).tobytes()
                     else:
-                        found = b"".join([of_word(w.encode()) for w in split.words(piece)])
+                        found = b"".join([of_word(w) for w in split.words(piece)])
                     self[piece] = found
                     return found
 
-            def of_word(word: bytes) -> bytes:
-                found = lexicon.ids(word) if lexicon else None
-                return np.array(vocabulary.merge(word), np.int32).tobytes() if found is None else found
+            seen: dict[str, bytes] = {}
+
+            def of_word(word: str) -> bytes:
+                found = seen.get(word)
+                if found is None:
+                    raw = word.encode()
+                    found = lexicon.ids(raw) if lexicon else None
+                    if found is None:
+                        found = array("i", vocabulary.merge(raw)).tobytes()
+                    if len(seen) > CACHE_WORDS:
+                        seen.clear()
+                    seen[word] = found
+                return found
 
             known = Known()
 
@@ -340,7 +352,9 @@ class Codec:
             token = shared.value.bytes.__getitem__
 
             def make(ids: pa.Array) -> list[pa.Array]:
-                return [pa.array([b"".join(map(token, i.values.to_pylist() if i.is_valid else [])).decode("utf-8", "replace") for i in ids], pa.string())]
+                flat = ids.flatten().to_pylist()
+                ends = np.cumsum(pc.coalesce(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)).tolist()
+                return [pa.array([b"".join(map(token, flat[a:b])).decode("utf-8", "replace") for a, b in zip([0, *ends], ends)], pa.string())]
 
             return make
 
