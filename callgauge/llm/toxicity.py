@@ -7,7 +7,7 @@ probabilities as good as those it will meet.
 
 The models are fitted on a sample of at most ``SAMPLE`` labelled rows (folds by hash of the text,
 so copies share a fold); features are the ``FEATURES`` with the strongest association with a
-category among those of five rows or more. The cut that flags a category is set on out-of-fold
+category among those of ``LEAST_ROWS`` rows or more, if it gains ``LEAST_GAIN`` in log-likelihood. The cut that flags a category is set on out-of-fold
 predictions. Prediction is one pass over whole texts without a shuffle.
 
 ``severity`` adds a category derived from the labels: rows of the first category that hold more of the features
@@ -39,6 +39,8 @@ FEATURES = 3000
 FOLDS = 4
 BEGINNINGS = range(4, 9)
 LEAST_ROWS = 3
+#: Log-likelihood that a feature must gain; chance alone reaches it in few of thousands of features.
+LEAST_GAIN = 6.0
 #: A clean document flagged costs as much as so many toxic ones missed.
 FALSE_COST = 2.0
 
@@ -97,7 +99,7 @@ def strongest_features(sample: DataFrame, n_labels: int, most: int) -> list[str]
     if not gains:
         return []
     gain = F.greatest(*gains, F.lit(0.0))
-    return [r.feature for r in table.select("feature", gain.alias("gain")).orderBy(F.desc("gain"), "feature").limit(most).collect()]
+    return [r.feature for r in table.select("feature", gain.alias("gain")).filter(F.col("gain") >= LEAST_GAIN).orderBy(F.desc("gain"), "feature").limit(most).collect()]
 
 
 def _present(features: dict[str, int]):
