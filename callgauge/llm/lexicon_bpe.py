@@ -23,8 +23,8 @@ import re
 import struct
 import uuid
 from array import array
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +34,16 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import appended, shared_folder
+from .common import ROWS, appended, shared_folder
 
 LEXICON_WORDS = 50_000
 LONGEST_WORD = 64
 NAIVE_SYMBOLS = 48
-CACHE_WORDS = 300_000
+#: Distinct words whose counts a task holds before it sums them up and passes them on.
+HELD_WORDS = 1_000_000
+#: Letters of Latin alphabets and marks after words, for the short way of cutting pieces.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ž"
+MARKS = ",.;:!?"
 
 #: Fixed: the pattern of byte-level BPE, with white space by its Unicode property.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -72,6 +76,42 @@ class Vocabulary:
         for rank, pair in enumerate(stated["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.merges[ids[a], ids[b]] = rank << 32 | ids[a + b]
+        keys = np.array([a << 32 | b for a, b in self.merges], np.int64)
+        order = np.argsort(keys)
+        self.pairs = keys[order], np.array(list(self.merges.values()), np.int64)[order]
+
+    def merge_all(self, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The ids of words of one length (a row of bytes each), as blocks of row numbers and their ids.
+
+        Each round merges one pair of every row that still has one, so the rows stay of one length.
+        """
+        keys, packed = self.pairs
+        none = np.int64(1 << 62)
+
+        def rank(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+            key = left.astype(np.int64) << 32 | right
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            return np.where(keys[at] == key, packed[at], none)
+
+        rows, ids = np.arange(len(words)), np.array(self.of_byte, np.int32)[words]
+        ranks = rank(ids[:, :-1], ids[:, 1:])
+        while len(rows) and (width := ids.shape[1]) > 1:
+            each, at = np.arange(len(rows)), ranks.argmin(1)
+            best = ranks[each, at]
+            done = best == none
+            if done.any():
+                yield rows[done], ids[done]
+                rows, ids, ranks, at, best = (x[~done] for x in (rows, ids, ranks, at, best))
+                each = each[: len(rows)]
+            ids[each, at] = best & 0xFFFFFFFF
+            columns = np.arange(width - 1)
+            ids = np.take_along_axis(ids, columns + (columns > at[:, None]), 1)
+            ranks = np.take_along_axis(ranks, columns[:-1] + (columns[:-1] >= at[:, None]), 1)
+            for left in (at - 1, at):
+                some = np.flatnonzero((left >= 0) & (left < width - 2))
+                ranks[some, left[some]] = rank(ids[some, left[some]], ids[some, left[some] + 1])
+        if len(rows):
+            yield rows, ids
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of one word."""
@@ -118,11 +158,34 @@ class Vocabulary:
         return [x for x in ids if x >= 0]
 
 
+@dataclass
+class WordTable:
+    """Texts as numbers of pieces (``n`` pieces a text), pieces as numbers of words (``sizes`` words a piece), and the distinct words."""
+
+    words: pa.Array
+    of_pieces: np.ndarray
+    sizes: np.ndarray
+    pieces: np.ndarray
+    n: np.ndarray
+
+    def counts(self) -> np.ndarray:
+        """How often each word occurs."""
+        times = np.repeat(np.bincount(self.pieces, minlength=len(self.sizes)), self.sizes)
+        return np.bincount(self.of_pieces, times, len(self.words)).astype(np.int64)
+
+
+def spread(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``values[starts[c]:starts[c] + sizes[c]]`` of all ``codes`` one after the other, and their sizes."""
+    size = sizes[codes]
+    ends = np.cumsum(size)
+    return values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[codes] - ends + size, size)], size
+
+
 class Splitter:
     """Cuts a text into pieces that are encoded on their own, and pieces into words.
 
     A single blank between two other characters that aren't white space always begins a word, so
-    most texts fall into pieces by a plain split; the rest is cut into words at once. Special strings are pieces.
+    most texts fall into pieces by a plain split, in Arrow; the rest is cut into words at once. Special strings are pieces.
     """
 
     def __init__(self, special: dict[str, int]) -> None:
@@ -131,19 +194,63 @@ class Splitter:
         self.blanks_beside_spaces = re.compile(r" \s|\s ").search
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")").split if special else None
 
-    def __call__(self, text: str) -> list[str]:
-        if self.cut is None or not any(s in text for s in self.special):
-            return self._plain(text)
-        out = []
-        for i, part in enumerate(self.cut(text)):
-            out += [part] if i % 2 else self._plain(part)
-        return out
+    def plain(self, text: str) -> bool:
+        """Whether a split at blanks gives the pieces."""
+        return not (self.blanks_beside_spaces(text) or any(s in text for s in self.special))
 
-    def _plain(self, text: str) -> list[str]:
-        if self.blanks_beside_spaces(text):
+    def __call__(self, text: str) -> list[str]:
+        """The words and special strings of one text."""
+        if self.cut is None:
             return self.words(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + piece for piece in rest]]
+        return [w for i, part in enumerate(self.cut(text)) for w in ([part] if i % 2 else self.words(part))]
+
+    def table(self, text: pa.Array) -> WordTable:
+        """The words of a column of texts."""
+        text = pc.fill_null(text, "")
+        strings = text.to_pylist()
+        plain = np.array([self.plain(t) for t in strings], bool)
+        lists = pc.split_pattern(text.filter(pa.array(plain)), " ")
+        coded = lists.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        n = np.zeros(len(strings), np.int64)
+        n[plain] = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+
+        # kinds of pieces: one word of letters, such a word and a mark, anything else
+        pieces = coded.dictionary.cast(pa.string())
+        one = pc.match_substring_regex(pieces, f"^[{LETTERS}]+$")
+        two = pc.match_substring_regex(pieces, f"^[{LETTERS}]+[{MARKS}]$")
+        single, marked = pieces.filter(one), pieces.filter(two)
+        rest = pieces.filter(pc.invert(pc.or_(one, two))).to_pylist()
+        kind = np.where(one.to_numpy(zero_copy_only=False), 0, np.where(two.to_numpy(zero_copy_only=False), 1, 2))
+        number = np.empty(len(pieces), np.int64)  # of a piece, by kinds
+        number[np.argsort(kind, kind="stable")] = np.arange(len(pieces))
+        codes = number[codes]
+
+        cut = [self.words(" " + piece) for piece in rest]
+        known: dict[str, int] = {}  # pieces without a blank before them: the rows' first ones, and words of other rows
+        first = np.cumsum(n[plain]) - n[plain]
+        codes[first] = [known.setdefault(t.split(" ", 1)[0], len(pieces) + len(known)) for t, p in zip(strings, plain) if p]
+        cut += map(self.words, known)
+        if not plain.all():
+            whole: dict[str, int] = {}
+            other = [[whole.setdefault(w, len(pieces) + len(known) + len(whole)) for w in self(t)] for t, p in zip(strings, plain) if not p]
+            cut += [[w] for w in whole]
+            parts, slow = iter(np.split(codes, np.cumsum(n[plain])[:-1])), iter(other)
+            codes = np.concatenate([next(parts) if p else np.array(next(slow), np.int64) for p in plain])
+            n[~plain] = [len(o) for o in other]
+
+        blank = pa.scalar(" ")
+        words = pa.concat_arrays([
+            pc.binary_join_element_wise(blank, single, ""),
+            pc.binary_join_element_wise(blank, pc.utf8_slice_codeunits(marked, 0, -1), ""),
+            pc.utf8_slice_codeunits(marked, -1),
+            pa.array([w for c in cut for w in c], pa.string()),
+        ]).dictionary_encode()
+        at = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        a, b = len(single), len(single) + len(marked)
+        of_pieces = np.concatenate((at[:a], np.column_stack((at[a:b], at[b : b + len(marked)])).ravel(), at[b + len(marked) :]))
+        sizes = np.concatenate((np.full(a, 1), np.full(len(marked), 2), [len(c) for c in cut])).astype(np.int64)
+        return WordTable(words.dictionary.cast(pa.string()), of_pieces, sizes, codes, n)
 
 
 def minimal_automaton(words: list[bytes]) -> list[tuple[bool, tuple[tuple[int, int], ...]]]:
@@ -214,7 +321,7 @@ class Lexicon:
         view, at = memoryview(image), struct.calcsize(_HEADER)
         parts = []
         for n in (size, size, size, n_states, n_offsets, n_pool):
-            parts.append(view[at : at + 4 * n].cast("i"))
+            parts.append(np.frombuffer(view[at : at + 4 * n], np.int32))
             at += 4 * n
         self.keys, self.targets, self.outputs, self.final, self.offsets, self.pool = parts
         self.mask = size - 1
@@ -224,42 +331,86 @@ class Lexicon:
         with open(path, "rb") as f:
             return cls(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
+    def find_all(self, words: np.ndarray) -> np.ndarray:
+        """The numbers of words of one length (a row of bytes each); -1 for words that aren't in the lexicon."""
+        state, number = np.full(len(words), self.start, np.int64), np.zeros(len(words), np.int64)
+        found = np.arange(len(words))  # rows that are still on a path
+        for column in words.T:
+            key = state[found] << 8 | column[found]
+            at = (key * _MIX >> 7) & self.mask
+            while (moved := np.flatnonzero((self.keys[at] != key) & (self.keys[at] >= 0))).size:
+                at[moved] = (at[moved] + 1) & self.mask
+            hit = self.keys[at] == key
+            found, at = found[hit], at[hit]
+            number[found] += self.outputs[at]
+            state[found] = self.targets[at]
+        out = np.full(len(words), -1, np.int64)
+        found = found[self.final[state[found]] != 0]
+        out[found] = number[found]
+        return out
+
     def ids(self, word: bytes) -> bytes | None:
-        """The word's ids as int32 bytes; None if it isn't in the lexicon."""
-        state, number, keys, mask = self.start, 0, self.keys, self.mask
-        for byte in word:
-            key = state << 8 | byte
-            at = (key * _MIX >> 7) & mask
-            while (found := keys[at]) != key:
-                if found < 0:
-                    return None
-                at = (at + 1) & mask
-            number += self.outputs[at]
-            state = self.targets[at]
-        if not self.final[state]:
-            return None
-        return self.pool[self.offsets[number] : self.offsets[number + 1]].tobytes()
+        """The ids of one word as int32 bytes; None if it isn't in the lexicon."""
+        number = int(self.find_all(np.frombuffer(word, np.uint8)[None])[0])
+        return None if number < 0 else self.pool[self.offsets[number] : self.offsets[number + 1]].tobytes()
+
+
+def ids_of_words(words: pa.Array, vocabulary: Vocabulary, lexicon: Lexicon | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, and where each word's begin and how many they are: from the lexicon, or else by exact merges."""
+    _, places, data = words.buffers()
+    places = np.frombuffer(places, np.int32)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int32)
+    data = np.frombuffer(data or b"", np.uint8)
+    lengths = np.diff(places)
+    starts, sizes = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+    pools = [lexicon.pool if lexicon else np.zeros(0, np.int32)]
+    end = len(pools[0])
+
+    def add(rows: np.ndarray, ids: np.ndarray) -> None:
+        nonlocal end
+        starts[rows], sizes[rows] = end + np.arange(len(rows)) * ids.shape[1], ids.shape[1]
+        pools.append(ids.ravel())
+        end += ids.size
+
+    special = pc.is_in(words, pa.array(list(vocabulary.special), pa.string())).to_numpy(zero_copy_only=False)
+    alone = special | (lengths > LONGEST_WORD)
+    for row in np.flatnonzero(alone).tolist():
+        word = words[row].as_py()
+        ids = [vocabulary.special[word]] if special[row] else vocabulary.merge(word.encode())
+        add(np.array([row]), np.array([ids], np.int32))
+    for length in np.unique(lengths[~alone]).tolist():
+        rows = np.flatnonzero((lengths == length) & ~alone)
+        if not length:
+            continue
+        matrix = data[places[rows][:, None] + np.arange(length)]
+        if lexicon:
+            number = lexicon.find_all(matrix)
+            found = number >= 0
+            at, number = rows[found], number[found]
+            starts[at], sizes[at] = lexicon.offsets[number], lexicon.offsets[number + 1] - lexicon.offsets[number]
+            rows, matrix = rows[~found], matrix[~found]
+        for some, ids in vocabulary.merge_all(matrix):
+            add(rows[some], ids)
+    return np.concatenate(pools), starts, sizes
 
 
 def _word_counts(special: dict[str, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, held = Splitter(special), Counter()
+        split, held = Splitter(special), []
 
-        def flush() -> pa.RecordBatch:
-            words: Counter = Counter()
-            for piece, n in held.items():
-                for word in [piece] if piece in special else split.words(piece):
-                    words[word] += n
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
+        def summed() -> pa.Table:
+            return pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"])
 
         for batch in batches:
-            for text in batch.column(0):
-                held.update(split(text.as_py() or ""))
-                if len(held) > 400_000:
-                    yield flush()
+            for row in range(0, batch.num_rows, ROWS):
+                table = split.table(batch.column(0).slice(row, ROWS))
+                n = table.counts()
+                held.append(pa.table({"word": table.words, "n": n}).filter(pa.array(n > 0)))  # a piece without its blank may not occur
+                if sum(map(len, held)) > HELD_WORDS:
+                    held[:] = [summed()]
+                    if len(held[0]) > HELD_WORDS // 2:
+                        yield from held.pop().to_batches()
         if held:
-            yield flush()
+            yield from summed().to_batches()
 
     return run
 
@@ -285,8 +436,10 @@ class Codec:
         def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             vocabulary: Vocabulary = shared.value
             for batch in batches:
-                words = [w for w in batch.column(0).to_pylist() if w not in vocabulary.special]
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([vocabulary.merge(w.encode()) for w in words], pa.list_(pa.int32()))], names=["word", "ids"])
+                words = batch.column(0).filter(pc.invert(pc.is_in(batch.column(0), pa.array(list(vocabulary.special), pa.string()))))
+                ids, size = spread(*ids_of_words(words, vocabulary, None), np.arange(len(words)))
+                ends = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([words, pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))], names=["word", "ids"])
 
         found = self.frequent_words(docs, most).mapInArrow(merged, "word string, ids array<int>").collect()  # bounded by most
         image = compile_lexicon([(r.word.encode(), list(r.ids)) for r in found])
@@ -308,37 +461,13 @@ class Codec:
             lexicon = Lexicon.mapped(SparkFiles.get(file)) if file else None
             split = Splitter(vocabulary.special)
 
-            class Known(dict):
-                def __missing__(self, piece: str) -> bytes:
-                    if len(self) > CACHE_WORDS:
-                        self.clear()
-                    if piece in vocabulary.special:
-                        found = np.array([vocabulary.special[piece]], np.int32).tobytes()
-                    else:
-                        found = b"".join([of_word(w) for w in split.words(piece)])
-                    self[piece] = found
-                    return found
-
-            seen: dict[str, bytes] = {}
-
-            def of_word(word: str) -> bytes:
-                found = seen.get(word)
-                if found is None:
-                    raw = word.encode()
-                    found = lexicon.ids(raw) if lexicon else None
-                    if found is None:
-                        found = array("i", vocabulary.merge(raw)).tobytes()
-                    if len(seen) > CACHE_WORDS:
-                        seen.clear()
-                    seen[word] = found
-                return found
-
-            known = Known()
-
             def make(text: pa.Array) -> list[pa.Array]:
-                raw = [b"".join(map(known.__getitem__, split(t.as_py() or ""))) for t in text]
-                offsets = np.concatenate(([0], np.cumsum([len(r) // 4 for r in raw]))).astype(np.int32)
-                return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), np.int32)))]
+                table = split.table(text)
+                of_pieces, size = spread(*ids_of_words(table.words, vocabulary, lexicon), table.of_pieces)
+                ends = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(table.sizes)))]
+                ids, size = spread(of_pieces, ends[:-1], np.diff(ends), table.pieces)
+                ends = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(table.n)))]
+                return [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))]
 
             return make
 
@@ -349,12 +478,18 @@ class Codec:
         shared = self.shared
 
         def start():
-            token = shared.value.bytes.__getitem__
+            tokens = pa.array(shared.value.bytes, pa.large_binary())  # null where an id isn't used
 
             def make(ids: pa.Array) -> list[pa.Array]:
-                flat = ids.flatten().to_pylist()
-                ends = np.cumsum(pc.coalesce(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)).tolist()
-                return [pa.array([b"".join(map(token, flat[a:b])).decode("utf-8", "replace") for a, b in zip([0, *ends], ends)], pa.string())]
+                found = tokens.take(ids.flatten())
+                if found.null_count:
+                    raise ValueError("ids outside the vocabulary")
+                _, places, data = found.buffers()
+                places = np.frombuffer(places, np.int64)[found.offset : found.offset + len(found) + 1]
+                n = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+                ends = places[np.concatenate(([0], np.cumsum(n)))].tolist() if len(found) else [0] * (len(n) + 1)
+                data = memoryview(data or b"")
+                return [pa.array([str(data[a:b], "utf-8", "replace") for a, b in zip(ends, ends[1:])], pa.string())]
 
             return make
 
