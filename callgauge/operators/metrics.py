@@ -76,14 +76,44 @@ def rolling_rate(calls: DataFrame, seconds: int = 60) -> DataFrame:
     return dealt.withColumn("calls_in_window", F.count("*").over(seen)).filter(F.col("_day") == F.to_date("timestamp")).drop("_day")
 
 
-def bh_adjust(tests: DataFrame, family: list[str], p: str = "p_value_raw") -> DataFrame:
-    """Extension: ``p_value_corrected`` by Benjamini and Hochberg within each family of tests."""
+#: Different p-values that one task ranks at a time.
+RANGE = 100_000
+
+
+def bh_adjust(tests: DataFrame, family: list[str], p: str = "p_value_raw", rows: int = RANGE) -> DataFrame:
+    """Extension: ``p_value_corrected`` by Benjamini and Hochberg within each family of tests; 1 where there is no p-value.
+
+    Equal values of a family count as one row. They are ranked within ranges of about ``rows`` of them; only the ranges'
+    sums and minima are carried along a family, so none has to fit one task.
+    """
+    from pyspark.ml.feature import Bucketizer
     from pyspark.sql import Window
 
-    by = Window.partitionBy(*family)
-    ranked = tests.withColumn("_m", F.count(p).over(by)).withColumn("_r", F.row_number().over(by.orderBy(F.col(p).asc_nulls_last())))
-    down = by.orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, 0)
-    return ranked.withColumn("p_value_corrected", F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_r")).over(down))).drop("_m", "_r")
+    key = [f"_f{i}" for i in range(len(family))]
+    named = [F.col(c).alias(k) for c, k in zip(family, key)]
+    values = tests.filter(F.col(p).isNotNull()).groupBy(*named, F.col(p).alias("_p")).agg(F.count("*").alias("_n")).withColumn("_x", F.col("_p").cast("double"))
+    finite = values.filter(~F.isnan("_x"))
+    n = -(-finite.count() // rows)
+    bounds = finite.agg(F.percentile_approx("_x", [i / n for i in range(1, n)], max(10_000, 20 * n))).first()[0] if n > 1 else []
+    splits = [float("-inf"), *sorted({b for b in bounds if abs(b) != float("inf")}), float("inf")]
+    ranged = Bucketizer(splits=splits, inputCol="_x", outputCol="_range", handleInvalid="keep").transform(values) if len(splits) > 2 else values.withColumn("_range", F.lit(0.0))
+
+    same = lambda a, b, on: F.expr(" AND ".join(["true", *(f"{a}.{c} <=> {b}.{c}" for c in on)]))
+    whole, part = Window.partitionBy(*key), Window.partitionBy(*key, "_range")
+    sums = ranged.groupBy(*key, "_range").agg(F.sum("_n").alias("_s"))
+    sums = sums.withColumns({"_m": F.sum("_s").over(whole), "_before": F.sum("_s").over(whole.orderBy("_range")) - F.col("_s")})
+    rank = F.col("_before") + F.sum("_n").over(part.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = ranged.alias("a").join(sums.alias("b"), same("a", "b", [*key, "_range"])).select("a.*", "_m", "_before").drop("_x").withColumn("_q", F.col("_p") * F.col("_m") / rank)
+    lows = ranked.groupBy(*key, "_range").agg(F.min("_q").alias("_low"))
+    lows = lows.withColumn("_after", F.min("_low").over(whole.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)))
+    least = F.min("_q").over(part.orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, 0))
+    corrected = ranked.alias("a").join(lows.alias("b"), same("a", "b", [*key, "_range"])).select("a.*", "_after").select(*key, "_p", F.least(F.lit(1.0), least, "_after").alias("_c"))
+
+    met = [F.col(f"t.`{c}`").eqNullSafe(F.col(f"c.{k}")) for c, k in zip([*family, p], [*key, "_p"])]
+    together = met[-1]
+    for m in met[:-1]:
+        together = together & m
+    return tests.alias("t").join(corrected.alias("c"), together, "left").select("t.*", F.coalesce("_c", F.lit(1.0)).alias("p_value_corrected"))
 
 
 def baseline_shift(points: DataFrame, metric: str, split: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 import sqlite3
 
 import pytest
@@ -101,3 +102,34 @@ def test_command_line(spark, tmp_path, capsys):
     CallStore(spark, str(tmp_path / "s")).write_calls(normalize.with_defaults(spark.createDataFrame([("1", "groq", "p " * 90)], "log_id string, provider string, prompt string")))
     assert cli.main(["--store", str(tmp_path / "s"), "inspect", "--provider", "groq"]) == 0
     assert "[...]" in capsys.readouterr().out
+
+
+@pytest.mark.parametrize("rows", [7, 100_000])
+def test_families_are_corrected_in_ranges(spark, rows):
+    rng = random.Random(5)
+    tests = [(i, rng.choice(["a", "a", "a", "b", None]), rng.choice([None, rng.random() ** 3, round(rng.random(), 1)])) for i in range(400)]
+    expected = {}
+    for family in ("a", "b", None):
+        order = sorted((p, i) for i, f, p in tests if f == family and p is not None)
+        low = 1.0
+        for rank in range(len(order), 0, -1):
+            low = min(low, order[rank - 1][0] * len(order) / rank)
+            expected[order[rank - 1][1]] = low
+    frame = spark.createDataFrame(tests, "id int, provider string, p_value_raw double")
+    found = metrics.bh_adjust(frame, ["provider"], rows=rows)
+    assert {r.id: r.p_value_corrected for r in found.collect()} == {i: expected.get(i, 1.0) for i, _, _ in tests}
+    one = metrics.bh_adjust(frame.filter("provider = 'a'"), [], rows=rows)
+    assert {r.id: r.p_value_corrected for r in one.collect()} == {i: expected.get(i, 1.0) for i, f, _ in tests if f == "a"}
+
+
+def test_all_events_are_corrected(spark, tmp_path):
+    from callgauge.plans import catalogue
+    from tests.oracle import SF
+
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    folder = str(tmp_path)
+    for name in ("events", "documents"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{folder}/{name}.parquet")
+    events.withColumn("event_id", F.col("event_id") + 5000).write.mode("append").parquet(f"{folder}/events.parquet")
+    found = catalogue.queries()["bh_adjust_all"](spark, folder)
+    assert found.count() == 2 * events.count() and found.filter("id >= 3000").count() > 0
