@@ -6,9 +6,11 @@ fingerprint is indexed under every variant of every segment with one bit wiped o
 meets under some variant. Variants are met by equality, in sorted partitions, and every meeting is
 verified on the whole fingerprint.
 
-Likeness of 0.8 in five-word shingles leaves about a seventh of the bits different, more than a guarantee can
-cover. ``drop_near_duplicates`` therefore takes 128 bits in eight segments: of pairs that differ in a
-seventh of their bits 93 % have a segment with at most one different bit, of pairs alike by 0.9 or more 99 %.
+``drop_near_duplicates`` looks for a likeness (Jaccard) of 0.8 in five-word shingles, which leaves about a seventh of the bits
+different, more than such a guarantee can cover. There fingerprints of 256 bits over the distinct shingles only propose pairs:
+those that are equal in 16 bits picked by one of ``Alike.tables`` tables and differ in at most ``Alike.most`` bits. Every
+proposed pair is then held against the shingle sets of its two documents, and only what is alike by 0.8 is linked.
+Equal fingerprints count as alike: at a likeness under 0.8 all 256 bits agree in less than one of 10^18 pairs.
 
 Equal fingerprints are folded first, so copies never meet each other. Small groups compare all
 members; larger ones are searched breadth first and report a spanning forest instead of all
@@ -54,8 +56,6 @@ class Scheme:
 
 
 FOUR_BITS = Scheme((42,), (21, 21, 22), 4)
-#: Linked up to 22 of 128 bits, which is the expected distance at a likeness of 0.77.
-ALIKE = Scheme((42, 43), (16,) * 8, 22)
 FP = "struct<a:bigint,b:bigint>"
 
 _BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -215,13 +215,221 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, scheme: Scheme = FOUR_BIT
     return prints.join(placed, "fp").select("row.*", F.concat(*digits).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, scheme: Scheme = ALIKE) -> DataFrame:
-    """``docs`` with one row of each group: that of the least doc_id (a null one last), of equal ids that of the least digest.
+# Near copies by likeness
 
-    Only keys and fingerprints are grouped; texts are dealt out once, by key, to pick the rows that stay.
+
+@dataclass(frozen=True)
+class Alike:
+    """Tables of 16 picked bits that propose pairs, and the bits of 256 that a proposed pair may differ in."""
+
+    tables: int
+    most: int
+
+    def picks(self) -> np.ndarray:
+        """(tables, 16) places of bits."""
+        rng = np.random.default_rng(7)
+        return np.stack([np.sort(rng.permutation(BITS)[:16]) for _ in range(self.tables)])
+
+    def masks(self) -> np.ndarray:
+        """(tables, words) with the picked bits set."""
+        bits = np.zeros((self.tables, BITS), np.uint8)
+        np.put_along_axis(bits, self.picks(), 1, 1)
+        return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+
+
+BITS = 256
+ALIKE = Alike(64, 44)
+
+
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """Distinct XXH64 values of the runs of ``shingle`` words, ascending; a shorter text is one run, one without words none."""
+    words = text.lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    runs = {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, runs), np.uint64, len(runs)))
+
+
+def _sketch(hashes: np.ndarray) -> list[int]:
+    """Words of the fingerprint of a shingle set; those after the first come from mixed values."""
+    out = [_majority(hashes)]
+    for word in range(1, BITS // 64):
+        x = hashes + np.uint64(word * 0x9E3779B97F4A7C15 % 2**64)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out.append(_majority(x ^ (x >> np.uint64(31))))
+    return out
+
+
+def _binary(fp: np.ndarray) -> pa.Array:
+    """(n, words) as a column of 32 bytes a row."""
+    n, width = len(fp), BITS // 8
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * width), pa.py_buffer(np.ascontiguousarray(fp))])
+
+
+def _unbinary(column: pa.Array) -> np.ndarray:
+    if not len(column):
+        return np.empty((0, BITS // 64), np.uint64)
+    begin = np.frombuffer(column.buffers()[1], np.int32)[column.offset]
+    return np.frombuffer(column.buffers()[2], np.uint8, len(column) * BITS // 8, begin).view(np.uint64).reshape(len(column), -1)
+
+
+def _sketches(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [_sketch(shingle_set(t.as_py(), shingle)) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), _binary(np.array(words, np.uint64).reshape(-1, BITS // 64))], names=["row", "fp"])
+
+    return run
+
+
+def _sets(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                found = [shingle_set(t.as_py(), shingle).view(np.int64) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], names=["fp", "runs"])
+
+    return run
+
+
+def _tables(scheme: Alike):
+    """Each fingerprint under its picked bits of every table, with its root."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        picks, power = scheme.picks(), (1 << np.arange(16)).astype(np.float32)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                fp = _unbinary(part.column(0))
+                bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8), axis=1, bitorder="little").astype(np.float32)
+                keys = [(bits[:, p] @ power).astype(np.int64) | t << 16 for t, p in enumerate(picks)]
+                roots = pa.chunked_array([part.column(1)] * len(keys), pa.binary()).combine_chunks()
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), _binary(np.tile(fp, (len(keys), 1))), roots], names=["signature", "fp", "root"])
+
+    return run
+
+
+def _first_table(differ: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """The first table in which each pair is equal; a pair counts only there."""
+    parts = [((differ[i : i + 1024, None, :] & masks) == 0).all(-1).argmax(1) for i in range(0, len(differ), 1024)]
+    return np.concatenate(parts) if parts else np.empty(0, np.int64)
+
+
+def _propose(scheme: Alike, forest: bool):
+    """Pairs that meet and differ in few enough bits, and if they were found in a large group.
+
+    forest: large groups report a spanning forest; otherwise all pairs of different roots.
+    """
+    masks = scheme.masks()
+
+    def counted(key: int, fp: np.ndarray, x: int, others: np.ndarray) -> np.ndarray:
+        """Pairs of one member and others, near enough and counted under this key."""
+        differ = fp[others] ^ fp[x]
+        good = _distance(differ) <= scheme.most
+        good[good] = _first_table(differ[good], masks) == key >> 16
+        return np.stack((np.tile(fp[x], (good.sum(), 1)), fp[others[good]]), 1)
+
+    def links(key: np.ndarray, fp: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def out(pairs: np.ndarray, large: bool) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([_binary(pairs[:, 0]), _binary(pairs[:, 1]), pa.array(np.full(len(pairs), large))], names=["src", "dst", "large"])
+
+        begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        size = np.diff(np.append(begin, len(key)))
+        found = [np.empty((0, 2, BITS // 64), np.uint64)]
+        at = np.flatnonzero(~np.repeat(size > SMALL_GROUP, size))
+        for shift in range(1, SMALL_GROUP):
+            at = at[at < len(key) - shift]
+            at = at[key[at + shift] == key[at]]
+            if len(at) == 0:
+                break
+            differ = fp[at] ^ fp[at + shift]
+            good = _distance(differ) <= scheme.most
+            if not forest:
+                good &= root[at] != root[at + shift]
+            good[good] = _first_table(differ[good], masks) == key[at[good]] >> 16
+            found.append(np.stack((fp[at[good]], fp[at[good] + shift]), 1))
+        yield out(np.concatenate(found), False)
+        for i in np.flatnonzero(size > SMALL_GROUP):
+            group = slice(begin[i], begin[i] + size[i])
+            if forest:
+                yield out(_forest(fp[group], scheme.most), True)
+            else:
+                for x in range(size[i] - 1):
+                    others = x + 1 + np.flatnonzero(root[group][x + 1 :] != root[group][x])
+                    if len(others):
+                        yield out(counted(key[begin[i]], fp[group], x, others), True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, fp, root = np.empty(0, np.int64), np.empty((0, BITS // 64), np.uint64), np.empty(0, object)
+        for batch in batches:
+            key = np.concatenate((key, batch.column(0).to_numpy(zero_copy_only=False)))
+            fp = np.concatenate((fp, _unbinary(batch.column(1))))
+            root = np.concatenate((root, np.full(batch.num_rows, None) if forest else batch.column(2).to_numpy(zero_copy_only=False)))
+            whole = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last group may go on in the next batch
+            if whole:
+                yield from links(key[:whole], fp[:whole], root[:whole])
+            key, fp, root = key[whole:], fp[whole:], root[whole:]
+        if len(key):
+            yield from links(key, fp, root)
+
+    return run
+
+
+def _proposed(fps: DataFrame, scheme: Alike, forest: bool) -> DataFrame:
+    """(src, dst, large) of the distinct pairs among ``fps`` (fp, root)."""
+    signatures = fps.mapInArrow(_tables(scheme), "signature long, fp binary, root binary")
+    if forest:
+        signatures = signatures.select("signature", "fp")
+    dealt = signatures.repartition("signature").sortWithinPartitions("signature")
+    pairs = dealt.mapInArrow(_propose(scheme, forest), "src binary, dst binary, large boolean")
+    return settled(pairs.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.max("large").alias("large")))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, prints: DataFrame, shingle: int) -> DataFrame:
+    """The pairs whose shingle sets are alike by 0.8 or more; a node often linked is a skewed key of joins that repeat one row."""
+    nodes = pairs.select(F.col("src").alias("fp")).unionByName(pairs.select(F.col("dst").alias("fp"))).distinct()
+    chosen = prints.groupBy("fp").agg(F.min("row._key").alias("_key")).join(nodes, "fp", "left_semi")
+    sets = settled(texts.join(chosen, "_key").select("fp", "bytes").mapInArrow(_sets(shingle), "fp binary, runs array<bigint>"))
+    met = pairs.join(sets.toDF("src", "_a"), "src").join(sets.toDF("dst", "_b"), "dst")
+    both = F.size(F.array_intersect("_a", "_b"))
+    return settled(met.filter(both * 9 >= (F.size("_a") + F.size("_b")) * 4).select("src", "dst"))  # both / union >= 0.8 in whole numbers
+
+
+def alike_roots(texts: DataFrame, prints: DataFrame, shingle: int, scheme: Alike) -> DataFrame:
+    """(node, root) of the fingerprints linked by likeness.
+
+    A forest may hang on pairs that turn out unlike. So the members of large groups meet a second
+    time, and all proposed pairs that the links so far leave apart are verified too.
+    """
+    fps = settled(prints.select("fp", F.lit(None).cast("binary").alias("root")).distinct())
+    pairs = _proposed(fps, scheme, True)
+    links = _verified(pairs, texts, prints, shingle)
+    roots = settled(connected_components(links))
+    large = pairs.filter("large")
+    if large.isEmpty():
+        return roots
+    members = large.select(F.col("src").alias("node")).unionByName(large.select(F.col("dst").alias("node"))).distinct()
+    again = settled(members.join(roots, "node", "left").select(F.col("node").alias("fp"), F.coalesce("root", "node").alias("root")))
+    rest = settled(_proposed(again, scheme, False).join(pairs, ["src", "dst"], "left_anti"))
+    if rest.isEmpty():
+        return roots
+    return connected_components(links.unionByName(_verified(rest.select("src", "dst"), texts, prints, shingle)))
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, scheme: Alike = ALIKE) -> DataFrame:
+    """``docs`` with one row of each group of texts linked by a likeness of 0.8: that of the least doc_id (a null one last), of equal ids that of the least digest.
+
+    Texts are dealt out by key only, to verify proposed pairs and to pick the rows that stay.
     """
     columns = [c for c in docs.columns if c != "_key"]
-    keyed = docs.select(*columns, F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("_key"))
-    prints, roots = _grouped(keyed, shingle, scheme, F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_key"))
-    first = prints.groupBy("fp").agg(F.min("row").alias("row")).join(roots, "fp").groupBy("root").agg(F.min("row").alias("row"))
+    bytes_ = F.coalesce("text", F.lit("")).cast("binary")
+    keyed = docs.select(*columns, F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(bytes_)).alias("_key"))
+    rows = keyed.select(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_key").alias("row"), bytes_.alias("bytes"))
+    prints = settled(rows.mapInArrow(_sketches(shingle), f"row {rows.schema['row'].dataType.simpleString()}, fp binary"))
+    texts = rows.select("row._key", "bytes").dropDuplicates(["_key"])
+    roots = alike_roots(texts, prints, shingle, scheme).withColumnRenamed("node", "fp")
+    least = prints.groupBy("fp").agg(F.min("row").alias("row")).join(roots, "fp", "left")
+    first = least.groupBy(F.coalesce("root", "fp")).agg(F.min("row").alias("row"))
     return keyed.join(first.select("row._key"), "_key", "left_semi").dropDuplicates(["_key"]).select(*columns)

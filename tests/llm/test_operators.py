@@ -110,6 +110,29 @@ def test_near_copies_go_and_others_stay(spark):
     assert len(ids) <= 32 and len(kept) - len(ids) == 2
 
 
+def _likeness(a, b):
+    a, b = ({tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def _edited(rng, words, edits):
+    out = list(words)
+    for i in rng.sample(range(len(out)), edits):
+        out[i] = f"e{rng.randrange(10**9)}"
+    return out
+
+
+def test_pairs_less_alike_stay(spark):
+    rng = random.Random(9)
+    rows = []
+    while len(rows) < 400:
+        words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        pair = " ".join(words), " ".join(_edited(rng, words, rng.randrange(7, 15)))
+        if 0.6 <= _likeness(*pair) < 0.8:
+            rows += [(len(rows), pair[0]), (len(rows) + 1, pair[1])]
+    assert simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).count() == len(rows)
+
+
 # Fingerprints
 
 
