@@ -238,7 +238,7 @@ class Alike:
 
 
 BITS = 256
-ALIKE = Alike(64, 44)
+ALIKE = Alike(128, 60)
 
 
 def shingle_set(text: bytes, shingle: int) -> np.ndarray:

@@ -122,6 +122,21 @@ def _edited(rng, words, edits):
     return out
 
 
+def test_pairs_alike_by_eight_tenths_meet(spark):
+    rng = random.Random(8)
+    rows, near = [], 0
+    while near < 400:
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice((60, 150, 300)))]
+        pair = " ".join(words), " ".join(_edited(rng, words, max(1, len(words) * 2 // 100)))
+        if 0.8 <= _likeness(*pair) <= 0.85:
+            rows += [(2 * near, pair[0]), (2 * near + 1, pair[1])]
+            near += 1
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).count()
+    recall = (len(rows) - kept) / near
+    print(f"recall at a likeness of 0.8 to 0.85: {recall:.4f}")
+    assert recall >= 0.985
+
+
 def test_pairs_less_alike_stay(spark):
     rng = random.Random(9)
     rows = []
@@ -133,6 +148,19 @@ def test_pairs_less_alike_stay(spark):
     assert simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).count() == len(rows)
 
 
+def test_large_group_of_one_template(spark):
+    rng = random.Random(10)
+    template = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    texts = [" ".join(_edited(rng, template, rng.choice((1, 4, 7, 8)))) for _ in range(120)]
+    root = list(range(120))
+    for i in range(120):
+        for j in range(i):
+            if root[i] != root[j] and _likeness(texts[i], texts[j]) >= 0.8:
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert 1 < len(set(root)) < 120 and sorted(r.doc_id for r in kept) == sorted(set(root))
+
+
 # Fingerprints
 
 
