@@ -59,6 +59,7 @@ def kinds_of(name: str, attributes: str) -> tuple[str, ...]:
 def tokens(page: str) -> Iterator[tuple[str, object, object]]:
     """("text", string, None), ("open", name, kinds) and ("close", name, None) in page order; blocks close properly."""
     stack: list[str] = []
+    unclosed: set[str] = set()
     at, low = 0, None
     scan = _TOKEN.match
     while at < len(page):
@@ -82,14 +83,17 @@ def tokens(page: str) -> Iterator[tuple[str, object, object]]:
         while stack and name in _CLOSED_BY.get(stack[-1], ()):
             yield "close", stack.pop(), None
         yield "open", name, kinds_of(name, m.group(3))
-        if name in RAW:
+        if name in ("svg", "math") and m.group(3).endswith("/"):
+            yield "close", name, None
+        elif name in RAW:
             low = low or page.lower()  # ASCII letters keep their places; others may not, so look again if they don't
             if len(low) != len(page):
                 low = re.sub("[A-Z]+", lambda x: x.group().lower(), page)
-            end = low.find(f"</{name}", at)
+            end = -1 if name in unclosed else low.find(f"</{name}", at)
             yield "close", name, None
             if end < 0:
-                at = len(page)
+                unclosed.add(name)
+                at = len(page) if name in ("script", "style") else at  # of others only the tag goes
             else:
                 gt = page.find(">", end)
                 at = gt + 1 if gt >= 0 else len(page)

@@ -220,6 +220,14 @@ def test_main_text():
     assert html_main.main_text(None, weights) == "" and html_main.main_text("<p>", weights) == ""
 
 
+def test_icons_and_unclosed_raw_elements_leave_the_text():
+    weights = html_main.Weights(html_main.Counter())
+    for tag in ("<svg class=icon/>", "<svg />", "<math/>", "<svg>", "<textarea>", "<canvas id=x>"):
+        assert html_main.main_text(f"<article>{tag}<p>One two three</p></article>", weights) == "One two three"
+    assert html_main.main_text("<article><svg/><p>One</p><svg><title>no</title></svg><p>two</p></article>", weights) == "One two"
+    assert html_main.main_text("<article><p>One two</p></article><script>no no", weights) == "One two"
+
+
 # Quality, toxicity, languages, mixing
 
 
