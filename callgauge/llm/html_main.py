@@ -7,7 +7,8 @@ stands outside the main text, counted on labelled pages: the pages of the corpus
 their main text themselves, by one ``article`` element, and a few written out below for kinds that those may
 lack. Kinds are a tag's name, its classes, its id and its role.
 
-One pass counts the kinds (pre-aggregated by task), a second one extracts; pages are never shuffled.
+One pass counts the kinds (pre-aggregated by task), a second one extracts. Pages are shuffled only if more kinds
+than ``SHARED`` weigh unlike an unknown one: the rarer ones are then joined to the pages that have them.
 
 Behaviour: null and empty pages have empty texts; broken markup is read as far as it goes, unclosed
 blocks end with their parent; repeated rows are treated alike; an empty table gives an empty result; other
@@ -19,7 +20,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import Counter
+from collections import ChainMap, Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import appended
+from .common import appended, settled
 
 #: Fixed values of HTML: elements whose content isn't text of the page, elements without content, and elements that run within a line.
 RAW = frozenset("script style template noscript textarea title iframe xmp noembed noframes svg math object canvas".split())
@@ -150,6 +151,12 @@ def _count_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+#: Kinds that are never boilerplate by their counts.
+GENERIC = frozenset("html body div main section article p span".split())
+#: Kinds whose weights go to all tasks at once; rarer ones are joined to the pages that have them.
+SHARED = 50_000
+
+
 class Weights:
     """What tags cost and which kinds are boilerplate."""
 
@@ -162,14 +169,34 @@ class Weights:
         self.word = max(0.2, -odds("", "words")) if "" in kinds else 1.0
         self.tag = {k: self.word * min(3.0, max(0.02, 0.02 + odds(k, "tags") / 2)) for k in kinds if k}
         self.unknown_tag = self.word * 0.05
-        generic = {"html", "body", "div", "main", "section", "article", "p", "span"}
-        self.boilerplate = {k for k in kinds if k not in generic and odds(k, "words") > 1 and not tags[k, "words", True]} | CHROME | {k for k in kinds if tags[k, "words", True] * 20 < tags[k, "words", False] and k[:1] == "."}
+        self.boilerplate = {k for k in kinds if k not in GENERIC and odds(k, "words") > 1 and not tags[k, "words", True]} | CHROME | {k for k in kinds if tags[k, "words", True] * 20 < tags[k, "words", False] and k[:1] == "."}
+        self.rare: set[str] = set()
+        self.rest: DataFrame | None = None
+
+    @classmethod
+    def of(cls, word: float, rows: list, rest: DataFrame | None) -> Weights:
+        """From computed rows (kind, cost, bad) and a table of those that are too many to send to all tasks."""
+        out = cls(Counter())
+        out.word, out.unknown_tag, out.rest = word, word * 0.05, rest
+        out.tag = {r[0]: r[1] for r in rows}
+        out.boilerplate = {r[0] for r in rows if r[2]} | CHROME
+        return out
+
+    def also(self, rows: list) -> Weights:
+        """These and the rows (kind, cost, bad) of one page's rare kinds."""
+        out = Weights.of(self.word, [], None)
+        out.tag = ChainMap({r[0]: r[1] for r in rows}, self.tag)
+        out.boilerplate, out.rare = self.boilerplate, {r[0] for r in rows if r[2]}
+        return out
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"rest": None}  # tables stay on the driver
 
     def cost(self, kinds: tuple[str, ...]) -> float:
         return max(self.tag.get(k, self.unknown_tag) for k in kinds)
 
     def is_boilerplate(self, kinds: tuple[str, ...]) -> bool:
-        return not self.boilerplate.isdisjoint(kinds)
+        return not (self.boilerplate.isdisjoint(kinds) and self.rare.isdisjoint(kinds))
 
 
 #: Kinds that mark the main block itself; a header within it still counts as part of the article.
@@ -207,30 +234,73 @@ def main_text(page: str | None, weights: Weights) -> str:
     return " ".join(html.unescape("".join(pieces[start:end])).split())
 
 
-def fit_weights(pages: DataFrame) -> Weights:
-    """Weights from the self-labelled pages of ``pages`` and the written ones."""
-    counts = pages.select("html").mapInArrow(_count_pages, "kind string, what string, inside boolean, n long")
-    summed = counts.groupBy("kind", "what", "inside").agg(F.sum("n").alias("n"))
-    frequent = summed.orderBy(F.desc("n"), "kind", "what", "inside").limit(20_000).collect()  # the model's kinds, by their frequency
+def fit_weights(pages: DataFrame, shared: int = SHARED) -> Weights:
+    """Weights of all kinds from the self-labelled pages of ``pages`` and the written ones.
+
+    Only kinds that weigh like an unknown one are left out. ``shared`` bounds what is collected; the rest stays a table.
+    """
     total: Counter = Counter()
     for text, main in LABELLED:
         total.update(count_kinds(text, main))
-    for r in frequent:
-        total[r.kind, r.what, r.inside] += r.n
-    return Weights(total)
+    schema = "kind string, what string, inside boolean, n long"
+    written = pages.sparkSession.createDataFrame([(*k, n) for k, n in total.items()], schema)
+    counts = pages.select("html").mapInArrow(_count_pages, schema).unionByName(written)
+    of = lambda what, inside: F.sum(F.when((F.col("what") == what) & (F.col("inside") == inside), F.col("n")).otherwise(0))
+    kinds = settled(counts.groupBy("kind").agg(of("tags", False).alias("to"), of("tags", True).alias("ti"), of("words", False).alias("wo"), of("words", True).alias("wi")))
+    words = kinds.filter("kind = ''").first()
+    word = max(0.2, -math.log((words.wo + 0.5) / (words.wi + 0.5)))
+    odds = lambda out, inside: F.log((F.col(out) + 0.5) / (F.col(inside) + 0.5))
+    cost = F.lit(word) * F.least(F.lit(3.0), F.greatest(F.lit(0.02), F.lit(0.02) + odds("to", "ti") / 2))
+    named = F.col("kind").startswith(".") & (F.col("wi") * 20 < F.col("wo"))
+    bad = ~F.col("kind").isin(*GENERIC) & (odds("wo", "wi") > 1) & (F.col("wi") == 0) | named | F.col("kind").isin(*CHROME)
+    weighed = kinds.filter("kind <> ''").select("kind", cost.alias("cost"), bad.alias("bad"), (F.col("to") + F.col("ti")).alias("n"))
+    weighed = weighed.filter(F.col("bad") | (F.col("cost") != F.lit(word * 0.05)))
+    if weighed.count() <= shared:
+        return Weights.of(word, weighed.select("kind", "cost", "bad").collect(), None)
+    weighed = settled(weighed)
+    frequent = weighed.orderBy(F.desc("n"), "kind").limit(shared).select("kind", "cost", "bad").collect()
+    rest = weighed.join(pages.sparkSession.createDataFrame([(r.kind,) for r in frequent], "kind string"), "kind", "left_anti") if frequent else weighed
+    return Weights.of(word, frequent, settled(rest.select("kind", "cost", "bad")))
+
+
+def _with_rare(pages: DataFrame, weights: Weights) -> tuple[DataFrame, str]:
+    """``pages`` and a column of the weights of each page's kinds in ``weights.rest``, with the column's name."""
+    row, rare = "_page_row", "_page_rare"
+    numbered = settled(pages.withColumn(row, F.monotonically_increasing_id()))
+    shared = pages.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value.tag
+        for batch in batches:
+            for at, page in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = list({k for what, _, kinds in tokens(page.as_py() or "") if what == "open" for k in kinds if k not in known})
+                yield pa.RecordBatch.from_arrays([pa.array([at] * len(own), pa.int64()), pa.array(own, pa.string())], names=[row, "kind"])
+
+    met = numbered.select(row, "html").mapInArrow(run, f"{row} long, kind string").join(weights.rest, "kind")
+    found = met.groupBy(row).agg(F.collect_list(F.struct("kind", "cost", "bad")).alias(rare))
+    return numbered.join(found, row, "left").drop(row), rare
 
 
 def extract_main_text(pages: DataFrame, weights: Weights | None = None) -> DataFrame:
     """``pages`` and ``text``, ``n_chars`` (code points) of its ``html``."""
-    shared = pages.sparkSession.sparkContext.broadcast(weights or fit_weights(pages))  # at most 20,000 kinds
+    weights = weights or fit_weights(pages)
+    inputs = ["html"]
+    if weights.rest is not None:
+        pages, rare = _with_rare(pages, weights)
+        inputs.append(rare)
+    shared = pages.sparkSession.sparkContext.broadcast(weights)
 
     def start():
         own = shared.value
 
-        def make(column: pa.Array) -> list[pa.Array]:
-            texts = [main_text(p.as_py(), own) for p in column]
+        def make(column: pa.Array, rare: pa.Array | None = None) -> list[pa.Array]:
+            if rare is None:
+                texts = [main_text(p.as_py(), own) for p in column]
+            else:
+                texts = [main_text(p.as_py(), own.also([tuple(x.values()) for x in r]) if (r := more.as_py()) else own) for p, more in zip(column, rare)]
             return [pa.array(texts, pa.string()), pa.array(np.fromiter(map(len, texts), np.int64, len(texts)))]
 
         return make
 
-    return appended(pages, ["html"], "text string, n_chars long", start)
+    out = appended(pages, inputs, "text string, n_chars long", start)
+    return out if len(inputs) == 1 else out.drop(rare)

@@ -220,6 +220,26 @@ def test_main_text():
     assert html_main.main_text(None, weights) == "" and html_main.main_text("<p>", weights) == ""
 
 
+def test_rare_kinds_keep_their_weights(spark):
+    page = "<body><div class=promo-{0}>buy this now</div><article id=a{0}><p class=x>One two three four</p><div class='rare-{0}'>five six</div></article></body>"
+    other = "<body><div class=promo-{0}>buy {1}</div><div><p>Seven eight nine</p></div></body>"
+    rows = [(page.format(i),) for i in range(40)] + [(other.format(i, "more " * 30),) for i in range(40)] + [(None,), (other.format(0, "more"),)]
+    pages = spark.createDataFrame(rows, "html string")
+    counts = html_main.Counter()
+    for text, main in html_main.LABELLED:
+        counts.update(html_main.count_kinds(text, main))
+    for (text,) in rows:
+        counts.update(html_main.count_kinds(text or ""))
+    weights = html_main.Weights(counts)
+    expected = sorted((html_main.main_text(text, weights) for (text,) in rows))
+    assert expected.count("Seven eight nine") == 41
+    for shared in (0, 20, 50_000):
+        fitted = html_main.fit_weights(pages, shared)
+        assert (fitted.rest is None) == (shared == 50_000)
+        found = html_main.extract_main_text(pages, fitted)
+        assert found.columns == ["html", "text", "n_chars"] and sorted(r.text for r in found.collect()) == expected
+
+
 def test_icons_and_unclosed_raw_elements_leave_the_text():
     weights = html_main.Weights(html_main.Counter())
     for tag in ("<svg class=icon/>", "<svg />", "<math/>", "<svg>", "<textarea>", "<canvas id=x>"):
