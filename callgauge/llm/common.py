@@ -1,4 +1,4 @@
-"""What the operators share: reading tables, settled intermediate tables, bounded samples, Arrow passes."""
+"""What the operators share: reading tables, settled intermediate tables, bounded samples, joins of hot keys, Arrow passes."""
 
 from __future__ import annotations
 
@@ -22,23 +22,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is named (tests)."""
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` or the context names it; a temporary one in local mode only."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="callgauge-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once and written as a table in the shared folder.
+    """``df`` computed once and written as a table in the shared folder, until it is discarded.
 
     Later jobs read the table, so a lost executor costs a reread and not the work before it.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._settled_at = path
+    return table
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Removes settled tables that no later plan reads."""
+    for found in tables:
+        if path := getattr(found, "_settled_at", None):
+            place = found.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(found.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+#: A key that more than one in so many rows have is dealt over several tasks.
+SPLITS = 400
+
+
+def hot_join(rows: DataFrame, stats: DataFrame, on: list[str], n: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` to ``stats``, which has one row for each key and in ``n`` how many of the ``total`` rows have it.
+
+    Hot keys are dealt over as many tasks as their share asks for. At most ``SPLITS`` keys are hot, so their list is broadcast.
+    """
+    parts = F.greatest(F.lit(1), F.ceil(F.col(n) * SPLITS / F.lit(max(1, total)))).cast("int")
+    counted = stats.withColumn("_parts", parts)
+    hot = F.broadcast(counted.filter("_parts > 1").select(*on, "_parts"))
+    salt = F.coalesce(F.pmod(F.xxhash64(*rows.columns), F.col("_parts")).cast("int"), F.lit(0))
+    dealt = rows.join(hot, on, "left").withColumn("_salt", salt).drop("_parts")
+    spread = counted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    return dealt.join(spread, [*on, "_salt"]).drop("_salt")
 
 
 def bounded_sample(df: DataFrame, key: str, bound: int, seed: int) -> DataFrame:

@@ -6,13 +6,17 @@ way that keeps equal strings together: every window of ``length`` bytes is named
 hash of its ``GRAM``-byte substrings. Equal windows have equal names, and neighbouring windows
 mostly share theirs, so a text falls into runs of windows of one name.
 
-1. Each text yields its runs: name, digest of the run's bytes, place. Runs of one name meet in
-   one partition. Runs with equal bytes are all repeated, and one of them stands for the rest.
+1. Each text yields its runs: name, digest of the run's bytes, place. Runs of one name meet.
+   Runs with equal bytes are all repeated, and one of them stands for the rest.
 2. A name that has several different runs needs the suffix array: their bytes are fetched from
    the texts, and each block of whole names is sorted by the two-stage method
    (``suffix_order``); neighbours whose common prefix reaches ``length`` are repeated.
-3. A name with more than ``group_limit`` different runs is too large for one block. Its windows
-   are compared as 128-bit digests instead, which deal out evenly.
+3. A name with more different runs than a block holds is divided: windows that hold the named bytes in
+   the first half of the places possible go apart from those that do in the second, and each half is
+   named anew by the bytes that all its windows share. What still is too large is divided again.
+
+Joins on names, digests and texts deal hot keys over several tasks. Texts are told apart by a 64-bit hash of id and
+text, runs by 128 bits.
 
 Behaviour: a null text counts as empty; texts under ``length`` bytes lose nothing; rows with the
 same text (repeated ids included) are copies of each other and each loses all its windows; an
@@ -30,11 +34,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import discard, hot_join, settled
 
 LENGTH = 200
 GRAM = 32
-GROUP_LIMIT = 2000
+#: Different runs of one name that are sorted in one block, and the bytes from which a block takes no further name.
+BLOCK_RUNS = 2000
 BLOCK_BYTES = 1 << 19
 
 
@@ -107,12 +112,13 @@ def _runs(length: int):
     return run
 
 
-def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
+def suffix_order(data: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
     """The suffix array of ``data``, right in the first ``depth`` bytes, by two-stage sorting.
 
     Suffixes smaller than their successors are sorted directly. Every other suffix follows from
     the order of its successor: buckets are scanned in ascending order of the first byte, and
-    the predecessor of each suffix scanned is put at the head of its own bucket.
+    the predecessor of each suffix scanned is put at the head of its own bucket. wanted: the suffixes
+    to order (all); those that the order of these follows from come with them.
     """
     n = len(data)
     if n == 0:
@@ -121,28 +127,30 @@ def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
     run_end = np.append(change, n - 1)
     rises = np.append(data[change + 1] > data[change], False)
     smaller = np.repeat(rises, np.diff(np.append(-1, run_end)))
-    counts = np.bincount(data, minlength=256)
+    needed = np.ones(n, bool) if wanted is None else _with_sources(smaller, wanted)
+    counts = np.bincount(data[needed], minlength=256)
     end = np.cumsum(counts)
     start = end - counts
-    direct = np.flatnonzero(smaller)
+    direct = np.flatnonzero(smaller & needed)
     raw = data.tobytes()
-    keyed = sorted(zip([raw[i : i + depth] for i in direct.tolist()], direct.tolist()))
-    direct = np.array([i for _, i in keyed], np.int64)
-    del keyed
+    heads = [raw[i : i + depth] for i in direct.tolist()]
+    direct = direct[np.array(sorted(range(len(heads)), key=heads.__getitem__), np.int64)]
+    del heads
     n_direct = np.bincount(data[direct], minlength=256)
-    order = np.empty(n, np.int64)
+    order = np.empty(int(counts.sum()), np.int64)
     taken = 0
     for c in np.flatnonzero(n_direct):
         order[end[c] - n_direct[c] : end[c]] = direct[taken : taken + n_direct[c]]
         taken += n_direct[c]
     head = start.copy()
-    if not smaller[n - 1]:
+    if needed[n - 1]:  # the last suffix has no successor
         order[head[data[n - 1]]] = n - 1
         head[data[n - 1]] += 1
+    induced = needed & ~smaller
 
     def induce(seen: np.ndarray) -> None:
         before = seen[seen > 0] - 1
-        before = before[~smaller[before]]
+        before = before[induced[before]]
         if len(before) == 0:
             return
         chars = data[before]
@@ -163,6 +171,18 @@ def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
+def _with_sources(smaller: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The wanted suffixes, and those after each that is larger than its successor, up to the next smaller one."""
+    n = len(smaller)
+    last = np.flatnonzero(wanted & ~np.append(wanted[1:], False))  # of each stretch
+    direct = np.append(np.flatnonzero(smaller), n - 1)
+    until = direct[np.searchsorted(direct[:-1], last)]
+    step = np.zeros(n + 1, np.int64)
+    np.add.at(step, last + 1, 1)
+    np.add.at(step, until + 1, -1)
+    return wanted | (np.cumsum(step[:-1]) > 0)
+
+
 def common_prefixes(data: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
     """For each two neighbours of ``order``, the length of their common prefix, ``most`` at most."""
     padded = np.concatenate((data, np.zeros(most + 8, np.uint8))).astype(np.uint64)
@@ -191,7 +211,7 @@ def repeated_windows(regions: list[bytes], length: int) -> list[np.ndarray]:
     np.add.at(step, offset, 1)
     np.add.at(step, offset + sizes - length + 1, -1)
     inside = np.cumsum(step[:-1]) > 0  # starts whose window stays in its region
-    order = suffix_order(data, length)
+    order = suffix_order(data, length, inside)
     order = order[inside[order]]
     equal = common_prefixes(data, order, length) >= length
     hit = np.zeros(len(order), bool)
@@ -220,54 +240,134 @@ def _spans(keys, firsts, found, length):
 def _sorted_blocks(length: int):
     """Rows come in order of name; whole names are gathered to a block and sorted together."""
 
+    def spans(rows) -> pa.RecordBatch:
+        return _spans([r[1] for r in rows], [r[2] for r in rows], repeated_windows([r[3] for r in rows], length), length)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, size, name = [], 0, None
+        rows, size, name, places = [], 0, None, set()
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[0] != name and size >= BLOCK_BYTES:
-                    yield _spans([r[1] for r in rows], [r[2] for r in rows], repeated_windows([r[3] for r in rows], length), length)
-                    rows, size = [], 0
+                if row[0] != name:
+                    places.clear()
+                    if size >= BLOCK_BYTES:
+                        yield spans(rows)
+                        rows, size = [], 0
                 name = row[0]
-                rows.append(row)
-                size += len(row[3])
+                if row[1:3] not in places:  # repeated rows of a table bring the same place
+                    places.add(row[1:3])
+                    rows.append(row)
+                    size += len(row[3])
         if rows:
-            yield _spans([r[1] for r in rows], [r[2] for r in rows], repeated_windows([r[3] for r in rows], length), length)
+            yield spans(rows)
 
     return run
 
 
-def _window_digests(length: int):
+PART_SCHEMA = "name long, digest long, key long, first int, least int, most int, place int, region binary"
+
+
+def _fetch(length: int):
+    """Regions of the runs asked for, from texts that come with all places asked of them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, first, region in zip(*(c.to_pylist() for c in batch.columns[1:])):
-                n = len(region) - length + 1
-                digest = [xxhash.xxh3_128_digest(region[i : i + length]) for i in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(np.full(n, key, np.int64)), pa.array(np.arange(first, first + n, dtype=np.int32))], names=["digest", "key", "start"])
+            for i in range(batch.num_rows):
+                key, text, asked = (batch.column(c)[i].as_py() for c in range(3))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([a["name"] for a in asked], pa.int64()),
+                        pa.array([key] * len(asked), pa.int64()),
+                        pa.array([a["first"] for a in asked], pa.int32()),
+                        pa.array([a["n_kinds"] for a in asked], pa.int64()),
+                        pa.array([text[a["first"] : a["last"] + length] for a in asked], pa.binary()),
+                    ],
+                    names=["name", "key", "first", "n_kinds", "region"],
+                )
+
+    return run
+
+
+def _halves(length: int):
+    """Of each run, the windows with the named bytes in either half of the places ``least`` to ``most``, as runs of their own.
+
+    ``place`` is where the bytes named first start in the region; it is looked for if negative.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _gram_table()
+        for batch in batches:
+            out = []
+            for name, key, first, least, most, place, region in zip(*(c.to_pylist() for c in batch.columns)):
+                if place < 0:
+                    last = len(region) - length
+                    grams = gram_hashes(np.frombuffer(region, np.uint8), table).view(np.int64)
+                    place = last + int(np.argmax(grams[last:] == name))
+                middle = (least + most) // 2
+                for low, high in ((least, middle), (middle + 1, most)):
+                    a, b = max(0, place - high), min(len(region) - length, place - low)  # starts of such windows
+                    if a <= b:
+                        shared = region[place - low : place - high + length]
+                        part = region[a : b + length]
+                        out.append((_signed(xxhash.xxh3_64_intdigest(shared, low)), _signed(xxhash.xxh3_64_intdigest(part)), key, first + a, low, high, place - a, part))
+            columns = zip(*out) if out else [[]] * 8
+            kinds = [pa.int64()] * 3 + [pa.int32()] * 4 + [pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[c.split()[0] for c in PART_SCHEMA.split(", ")])
 
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """(key, start, stop) byte spans, overlapping ones included, of repeated windows; docs: key, bytes."""
-    runs = docs.mapInArrow(_runs(length), RUN_SCHEMA)
-    # Counts are pre-aggregated by task, and a name of very many runs is split by the join.
-    names = runs.groupBy("name").agg(F.count("*").alias("n"), F.min("digest").alias("low"), F.max("digest").alias("high")).filter("n > 1")
-    met = settled(runs.join(names.select("name", (F.col("low") != F.col("high")).alias("several")), "name"))
-    kinds = settled(met.filter("several").groupBy("name", "digest").agg(F.count("*").alias("n_same"), F.min("key").alias("least")))
-    counted = kinds.join(kinds.groupBy("name").agg(F.count("*").alias("n_kinds")), "name")
-    placed = met.filter("several").join(counted, ["name", "digest"])
-    same = met.filter("NOT several").select("key", "first", "last").unionByName(placed.filter("n_same > 1").select("key", "first", "last"))
-    copies = same.select("key", F.col("first").alias("start"), (F.col("last") + length).alias("stop"))
-    asked = placed.filter("key = least").dropDuplicates(["name", "digest"])
-    regions = asked.join(docs, "key").select("name", "key", "first", F.expr(f"substring(bytes, first + 1, last - first + {length})").alias("region"), "n_kinds")
-    regions = settled(regions)
-    few = regions.filter(F.col("n_kinds") <= group_limit).select("name", "key", "first", "region")
-    sorted_spans = few.repartition("name").sortWithinPartitions("name").mapInArrow(_sorted_blocks(length), SPAN_SCHEMA)
-    many = regions.filter(F.col("n_kinds") > group_limit).select("name", "key", "first", "region")
-    digests = many.mapInArrow(_window_digests(length), "digest binary, key long, start int")
-    twice = digests.groupBy("digest").count().filter("count > 1").select("digest")
-    digest_spans = digests.join(twice, "digest").select("key", "start", (F.col("start") + length).alias("stop"))
-    return copies.unionByName(sorted_spans).unionByName(digest_spans)
+def _signed(value: int) -> int:
+    return value - 2**64 if value >= 2**63 else value
+
+
+def _sort(regions: DataFrame, length: int) -> DataFrame:
+    dealt = regions.select("name", "key", "first", "region").repartition("name").sortWithinPartitions("name")
+    return dealt.mapInArrow(_sorted_blocks(length), SPAN_SCHEMA)
+
+
+def _divided(large: DataFrame, length: int, block_runs: int) -> list[DataFrame]:
+    """Tables of the spans repeated in names of too many runs, which are divided until all fit; rounds grow with the logarithm of ``length``."""
+    large = settled(large.select("name", "key", "first", F.lit(0).alias("least"), F.lit(length - GRAM).alias("most"), F.lit(-1).alias("place"), "region"))
+    out = []
+    while not large.isEmpty():
+        parts = settled(large.mapInArrow(_halves(length), PART_SCHEMA))
+        one = F.struct("key", "first", "least", "most", "place", "region")
+        kinds = settled(parts.groupBy("name", "digest").agg(F.count("*").alias("n_same"), F.min(one).alias("one")))
+        names = kinds.groupBy("name").agg(F.count("*").alias("n_kinds")).filter("n_kinds > 1")
+        n_parts, n_kinds = parts.count(), kinds.count()
+        same = hot_join(parts.select("name", "digest", "key", "first", F.octet_length("region").alias("size")), kinds.filter("n_same > 1").select("name", "digest", "n_same"), ["name", "digest"], "n_same", n_parts)
+        out.append(settled(same.select("key", F.col("first").alias("start"), (F.col("first") + F.col("size")).alias("stop"))))
+        met = settled(hot_join(kinds.select("name", "one"), names, ["name"], "n_kinds", n_kinds).select("name", "one.*", "n_kinds"))
+        discard(parts, kinds, large)
+        out.append(settled(_sort(met.filter(F.col("n_kinds") <= block_runs), length)))
+        large = settled(met.filter(F.col("n_kinds") > block_runs).drop("n_kinds"))
+        discard(met)
+    discard(large)
+    return out
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, block_runs: int = BLOCK_RUNS) -> DataFrame:
+    """(key, start, stop) byte spans, overlapping ones included, of repeated windows, settled; docs: key, bytes."""
+    runs = settled(docs.mapInArrow(_runs(length), RUN_SCHEMA))
+    names = settled(runs.groupBy("name").agg(F.count("*").alias("n"), (F.min("digest") != F.max("digest")).alias("several")).filter("n > 1"))
+    met = settled(hot_join(runs, names, ["name"], "n", runs.count()).drop("n"))
+    discard(runs, names)
+    several = met.filter("several")
+    kinds = settled(several.groupBy("name", "digest").agg(F.count("*").alias("n_same"), F.min(F.struct("key", "first", "last")).alias("one")))
+    per_name = settled(kinds.groupBy("name").agg(F.count("*").alias("n_kinds")))
+    copies = hot_join(several.drop("several"), kinds.filter("n_same > 1").select("name", "digest", "n_same"), ["name", "digest"], "n_same", met.count())
+    found = [settled(x.select("key", F.col("first").alias("start"), (F.col("last") + length).alias("stop"))) for x in (met.filter("NOT several"), copies)]
+    asked = hot_join(kinds.select("name", "one"), per_name, ["name"], "n_kinds", kinds.count()).groupBy("one.key").agg(F.collect_list(F.struct("name", "one.first", "one.last", "n_kinds")).alias("asked"))
+    regions = settled(docs.join(asked, "key").mapInArrow(_fetch(length), "name long, key long, first int, n_kinds long, region binary"))
+    discard(met, kinds, per_name)
+    found.append(settled(_sort(regions.filter(F.col("n_kinds") <= block_runs), length)))
+    found += _divided(regions.filter(F.col("n_kinds") > block_runs), length, block_runs)
+    whole = found[0]
+    for more in found[1:]:
+        whole = whole.unionByName(more)
+    spans = settled(whole.distinct())
+    discard(regions, *found)
+    return spans
 
 
 def _merged(spans, n: int) -> list[tuple[int, int]]:
@@ -300,14 +400,14 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([row, *(pa.array(v) for v in out.values())], names=["row", *out])
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, group_limit: int = GROUP_LIMIT, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, block_runs: int = BLOCK_RUNS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Each row's ``keep`` columns and n_bytes, n_removed, n_spans, kept (text), kept_sha256.
 
     ``kept`` drops what is left of a code point that a span cuts; ``kept_sha256`` is of the bytes.
     """
     bytes_ = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select(F.xxhash64(F.col("doc_id"), F.col("text")).alias("key"), bytes_.alias("bytes"), F.struct(*keep).alias("row"))
-    spans = repeated_spans(rows.select("key", "bytes"), length, group_limit).distinct()
+    spans = repeated_spans(rows.select("key", "bytes"), length, block_runs)
     by_key = spans.groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     met = rows.join(by_key, "key", "left").select("row", "bytes", F.col("spans.start").alias("starts"), F.col("spans.stop").alias("stops"))
     kind = rows.select("row").schema["row"].dataType.simpleString()

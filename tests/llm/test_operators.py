@@ -38,13 +38,16 @@ def removed_plainly(texts, n):
     return gone
 
 
-@pytest.mark.parametrize("limit", [0, 2000])
+@pytest.mark.parametrize("limit", [1, 2000])
 def test_suffix_dedup_against_brute_force(spark, limit):
     rng = random.Random(limit)
     pool = ["".join(rng.choice("ab é") for _ in range(rng.randint(20, 90))) for _ in range(12)]
-    texts = ["".join(rng.choice(pool) if rng.random() < 0.5 else "".join(rng.choice("abcdefgh") for _ in range(60)) for _ in range(rng.randint(0, 6))) for _ in range(60)] + ["a" * 300, "", None, pool[0] * 3]
+    line = "a line that very many of the texts hold"
+    fresh = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    texts = ["".join(rng.choice(pool) if rng.random() < 0.5 else fresh(60) for _ in range(rng.randint(0, 6))) for _ in range(60)] + ["a" * 300, "", None, pool[0] * 3]
+    texts += [fresh(50) + line + fresh(50) for _ in range(30)] + [fresh(9) + line + "x" * 40 + fresh(9) for _ in range(20)] + [texts[-1]] * 20
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    found = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs, length=64, group_limit=limit).collect()}
+    found = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs, length=64, block_runs=limit).collect()}
     raw = [(t or "").encode() for t in texts]
     for i, gone in enumerate(removed_plainly(raw, 64)):
         kept = bytes(b for b, g in zip(raw[i], gone) if not g)
@@ -55,7 +58,12 @@ def test_suffix_dedup_against_brute_force(spark, limit):
 def test_suffix_order():
     rng = random.Random(2)
     for text in (b"banana", b"", b"aaaa", bytes(rng.choice(b"ab") for _ in range(200))):
-        assert suffix_dedup.suffix_order(np.frombuffer(text, np.uint8), 500).tolist() == sorted(range(len(text)), key=lambda i: text[i:])
+        data = np.frombuffer(text, np.uint8)
+        plain = sorted(range(len(text)), key=lambda i: text[i:])
+        assert suffix_dedup.suffix_order(data, 500).tolist() == plain
+        wanted = np.array([rng.random() < 0.3 for _ in text], bool)
+        some = suffix_dedup.suffix_order(data, 500, wanted).tolist()
+        assert [i for i in some if wanted[i]] == [i for i in plain if wanted[i]]
 
 
 # SimHash
