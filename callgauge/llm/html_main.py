@@ -1,14 +1,19 @@
 """Main text of web pages as the maximum-scoring run of words and tags.
 
-A page becomes a row of words and tags. Words score positive, tags negative, and words inside a
-block of boilerplate (menu, advert, form, ...) negative; one linear scan finds the contiguous region of the highest
-sum, and its words outside boilerplate blocks are the main text. Weights are the log-odds that a kind of tag
-stands outside the main text, counted on labelled pages: the pages of the corpus that mark
-their main text themselves, by one ``article`` element, and a few written out below for kinds that those may
-lack. Kinds are a tag's name, its classes, its id and its role.
+A page becomes a row of words and tags. Words score positive, tags negative, and words inside a block beside the main
+text (menu, advert, form, ...) negative; one linear scan finds the contiguous region of the highest sum. A region that
+lies in a main block (``article``, ``main`` or a class of such a name) is rounded out to the whole block, so scores
+choose the block and nothing of it gets lost. The region's words, without those of blocks beside, are the main text.
 
-One pass counts the kinds (pre-aggregated by task), a second one extracts. Pages are shuffled only if more kinds
-than ``SHARED`` weigh unlike an unknown one: the rarer ones are then joined to the pages that have them.
+Weights are log-odds counted on labelled pages: pages that mark their main text themselves by one ``article`` element.
+A tag costs the more, the oftener its kind (name, classes, id, role) stands outside the main text. A block is beside the
+main text by its name (``CHROME``) or if words below its class, id or role stand outside the main text on labelled
+pages; words below ``CHROME`` teach nothing about the kinds within, so a menu's links don't speak against links.
+``BESIDE`` names count as a few words seen outside, which labelled pages outweigh. An element that
+holds a main block, or a form that holds most words of its page, is a wrapper and not a block beside; a header in a main block is part of it.
+
+The weights are fitted on about ``SAMPLE`` pages by a hash of their html, all kinds of at least ``LEAST_PAGES`` of them; others are neutral.
+Extraction is one pass over all pages without a shuffle.
 
 Behaviour: null and empty pages have empty texts; broken markup is read as far as it goes, unclosed
 blocks end with their parent; repeated rows are treated alike; an empty table gives an empty result; other
@@ -20,28 +25,36 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import ChainMap, Counter
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import appended, settled
+from .common import appended, bounded_sample
 
 #: Fixed values of HTML: elements whose content isn't text of the page, elements without content, and elements that run within a line.
 RAW = frozenset("script style template noscript textarea title iframe xmp noembed noframes svg math object canvas".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
-#: Elements that are boilerplate by definition.
+#: Elements that stand beside the main text by their name.
 CHROME = frozenset("nav footer aside form header menu dialog button select head".split())
-#: Labelled pages that stand in for kinds of blocks the corpus may not mark: (html, class or id of the main block).
-LABELLED = [
-    ("<body><header class=header id=header>a</header><div class='menu nav navbar navigation breadcrumb breadcrumbs toolbar topbar'>b</div><div class='content main post article entry body story'>text</div><div class='footer sidebar widget related recommended share social'>c</div></body>", "content"),
-    ("<body><div class='notice cookie cookies consent banner alert popup modal overlay newsletter subscribe signup'>a</div><main class=content><p>text</p></main><div class='comments comment comment-list replies disqus'>b</div></body>", "content"),
-    ("<body><div class='ad ads advert adverts advertisement sponsored sponsor promo promotion'>a</div><section class=content><p>text</p></section><div class='copyright legal pagination pager tags meta byline login search skip'>b</div></body>", "content"),
-]
+#: Elements, classes and ids that mark a main block.
+MAIN = frozenset("article main .article .content .entry .main .post .story".split())
+#: Classes, ids and roles that pages commonly give to blocks beside the main text; they count as ``BESIDE_WORDS`` words seen outside.
+BESIDE = frozenset(
+    """
+    .ad .ads .advert .advertisement .adverts .alert .banner .breadcrumb .breadcrumbs .comment .comment-list .comments .consent .contentinfo
+    .cookie .cookies .copyright .disqus .footer .header .legal .login .menu .modal .nav .navbar .navigation .newsletter .notice .overlay .pager
+    .pagination .popup .promo .promotion .recommended .related .replies .search .share .sidebar .signup .skip .social .sponsor .sponsored
+    .subscribe .toolbar .topbar .widget
+    """.split()
+)
+BESIDE_WORDS = 20
+SAMPLE = 20_000
+LEAST_PAGES = 3
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|[^<]++|<", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -106,30 +119,34 @@ def tokens(page: str) -> Iterator[tuple[str, object, object]]:
         yield "close", stack.pop(), None
 
 
-def count_kinds(page: str, main: str | None = None) -> Counter:
-    """Of each kind: tags outside and inside the main block, and words below such tags; main: its class, or else ``article``.
+def is_main(kinds: tuple[str, ...]) -> bool:
+    return not MAIN.isdisjoint(kinds)
+
 
-    Empty if the page has no main block or several.
+def count_kinds(page: str) -> Counter:
+    """Of each kind: tags outside and inside the one ``article``, and words below such tags but not below ``CHROME``.
+
+    Empty if the page has no article or several.
     """
     out: Counter = Counter()
     above: list[tuple[str, ...]] = []
-    depth_main, n_main = 0, 0
+    inside, n_main, chrome = 0, 0, 0
     for what, value, kinds in tokens(page):
         if what == "open":
-            is_main = value == "article" if main is None else f".{main}" in kinds
-            n_main += is_main and not depth_main
-            if not is_main:
-                for k in kinds:
-                    out[k, "tags", bool(depth_main)] += 1
-            above.append(kinds if not is_main else ())
-            depth_main += is_main or depth_main > 0
+            main = value == "article"
+            n_main += main and not inside
+            inside += main or inside > 0
+            chrome += value in CHROME or chrome > 0
+            for k in kinds:
+                out[k, "tags", bool(inside) and not main] += 1
+            above.append(kinds)
         elif what == "close":
             above.pop()
-            depth_main = max(0, depth_main - 1)
-        elif n := len(value.split()):
+            inside, chrome = max(0, inside - 1), max(0, chrome - 1)
+        elif not chrome and (n := len(value.split())):
             for k in {k for kinds in above for k in kinds}:
-                out[k, "words", bool(depth_main)] += n
-            out["", "words", bool(depth_main)] += n
+                out[k, "words", bool(inside)] += n
+            out["", "words", bool(inside)] += n
     return out if n_main == 1 else Counter()
 
 
@@ -138,92 +155,95 @@ def _count_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush() -> pa.RecordBatch:
         keys = list(held)
-        out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.bool_()), pa.array(list(held.values()), pa.int64())], names=["kind", "what", "inside", "n"])
+        out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.bool_()), pa.array([held[k] for k in keys], pa.int64())], names=["kind", "what", "inside", "n"])
         held.clear()
         return out
 
     for batch in batches:
         for page in batch.column(0):
-            held.update(count_kinds(page.as_py() or ""))
-        if len(held) > 100_000:
-            yield flush()
+            found = count_kinds(page.as_py() or "")
+            held.update(found)
+            held.update((k, "pages", True) for k in {k for k, _, _ in found})
+            if len(held) > 100_000:
+                yield flush()
     if held:
         yield flush()
 
 
-#: Kinds that are never boilerplate by their counts.
-GENERIC = frozenset("html body div main section article p span".split())
-#: Kinds whose weights go to all tasks at once; rarer ones are joined to the pages that have them.
-SHARED = 50_000
-
-
 class Weights:
-    """What tags cost and which kinds are boilerplate."""
+    """What tags cost and which kinds stand beside the main text."""
 
     def __init__(self, counts: Counter) -> None:
-        tags: Counter = Counter()
-        for (kind, what, inside), n in counts.items():
-            tags[kind, what, inside] += n
-        kinds = {k for k, _, _ in tags}
-        odds = lambda k, what: math.log((tags[k, what, False] + 0.5) / (tags[k, what, True] + 0.5))
-        self.word = max(0.2, -odds("", "words")) if "" in kinds else 1.0
-        self.tag = {k: self.word * min(3.0, max(0.02, 0.02 + odds(k, "tags") / 2)) for k in kinds if k}
-        self.unknown_tag = self.word * 0.05
-        self.boilerplate = {k for k in kinds if k not in GENERIC and odds(k, "words") > 1 and not tags[k, "words", True]} | CHROME | {k for k in kinds if tags[k, "words", True] * 20 < tags[k, "words", False] and k[:1] == "."}
-        self.rare: set[str] = set()
-        self.rest: DataFrame | None = None
-
-    @classmethod
-    def of(cls, word: float, rows: list, rest: DataFrame | None) -> Weights:
-        """From computed rows (kind, cost, bad) and a table of those that are too many to send to all tasks."""
-        out = cls(Counter())
-        out.word, out.unknown_tag, out.rest = word, word * 0.05, rest
-        out.tag = {r[0]: r[1] for r in rows}
-        out.boilerplate = {r[0] for r in rows if r[2]} | CHROME
-        return out
-
-    def also(self, rows: list) -> Weights:
-        """These and the rows (kind, cost, bad) of one page's rare kinds."""
-        out = Weights.of(self.word, [], None)
-        out.tag = ChainMap({r[0]: r[1] for r in rows}, self.tag)
-        out.boilerplate, out.rare = self.boilerplate, {r[0] for r in rows if r[2]}
-        return out
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"rest": None}  # tables stay on the driver
+        seen = Counter(counts)
+        for k in BESIDE:
+            seen[k, "words", False] += BESIDE_WORDS
+        odds = lambda k, what: math.log((seen[k, what, False] + 0.5) / (seen[k, what, True] + 0.5))
+        kinds = {k for k, _, _ in seen if k}
+        self.word = 1.0
+        self.unknown_tag = 0.05
+        self.tag = {k: min(3.0, max(0.02, odds(k, "tags") / 2)) for k in kinds if seen[k, "tags", False] or seen[k, "tags", True]}
+        self.beside = {k for k in kinds if k.startswith(".") and k not in MAIN and odds(k, "words") > 1} | CHROME
 
     def cost(self, kinds: tuple[str, ...]) -> float:
         return max(self.tag.get(k, self.unknown_tag) for k in kinds)
 
-    def is_boilerplate(self, kinds: tuple[str, ...]) -> bool:
-        return not (self.boilerplate.isdisjoint(kinds) and self.rare.isdisjoint(kinds))
+    def is_beside(self, kinds: tuple[str, ...]) -> bool:
+        return kinds[0] in RAW or kinds[0] not in ("html", "body") and not self.beside.isdisjoint(kinds)
 
 
-#: Kinds that mark the main block itself; a header within it still counts as part of the article.
-_MAIN = frozenset(["article", "main", ".content", ".post", ".entry", ".article", ".story"])
+def wrappers(page: list[tuple[str, object, object]]) -> tuple[set[int], bool]:
+    """Places of the opened elements that hold a main block and of forms that hold over half of the words; whether a single outermost main block has words."""
+    out: set[int] = set()
+    path: list[int] = []
+    words, forms, mains = 0, Counter(), set()
+    for i, (what, value, kinds) in enumerate(page):
+        if what == "open":
+            if is_main(kinds):
+                out.update(path)
+            path.append(i)
+        elif what == "close":
+            path.pop()
+        else:
+            n = len(value.split())
+            words += n
+            for at in path:
+                if page[at][1] == "form":
+                    forms[at] += n
+            if n and (main := next((at for at in path if is_main(page[at][2])), None)) is not None:
+                mains.add(main)
+    return out | {at for at, n in forms.items() if 2 * n > words}, len(mains) == 1
 
 
 def main_text(page: str | None, weights: Weights) -> str:
     """The words of the best region, joined by blanks."""
-    pieces: list[str] = []  # runs of text; an empty one ends a block
+    read = list(tokens(page or ""))
+    wraps, single = wrappers(read)
+    pieces: list[str] = []  # runs of text; white space ends a block
     scores: list[float] = []
-    below, path = 0, []
-    for what, value, kinds in tokens(page or ""):
+    blocks: list[tuple[int, int]] = []  # main blocks, inner ones first
+    path: list[tuple[int, bool, bool]] = []
+    below, within = 0, 0
+    for i, (what, value, kinds) in enumerate(read):
         if what == "text":
             n = len(value.split())
             pieces.append("" if below else value)
-            scores.append(-weights.word * n if below else weights.word * n)
+            scores.append(-weights.word * n if below or single and not within else weights.word * n)
         elif what == "open":
-            bad = value in RAW or weights.is_boilerplate(kinds)
-            path.append(bad)
-            below += bad
+            beside = i not in wraps and weights.is_beside(kinds) and not (value == "header" and within)
+            main = is_main(kinds) and not beside and not below
+            path.append((i, beside, main))
+            below += beside
+            within += main
             pieces.append("" if value in INLINE else "\n")
             scores.append(-weights.cost(kinds))
         else:
-            below -= path.pop()
-            if value not in INLINE:
-                pieces.append("\n")
-                scores.append(0.0)
+            at, beside, main = path.pop()
+            below -= beside
+            within -= main
+            if main:
+                blocks.append((at, i + 1))
+            pieces.append("" if value in INLINE else "\n")
+            scores.append(-weights.tag.get(value, 0.0) if main else 0.0)
     best, start, end, run, at = 0.0, 0, 0, 0.0, 0
     for i, s in enumerate(scores):
         if run <= 0:
@@ -231,76 +251,30 @@ def main_text(page: str | None, weights: Weights) -> str:
         run += s
         if run > best:
             best, start, end = run, at, i + 1
+    if end:
+        start, end = next(((a, b) for a, b in blocks if a <= start and end <= b), (start, end))
     return " ".join(html.unescape("".join(pieces[start:end])).split())
 
 
-def fit_weights(pages: DataFrame, shared: int = SHARED) -> Weights:
-    """Weights of all kinds from the self-labelled pages of ``pages`` and the written ones.
-
-    Only kinds that weigh like an unknown one are left out. ``shared`` bounds what is collected; the rest stays a table.
-    """
-    total: Counter = Counter()
-    for text, main in LABELLED:
-        total.update(count_kinds(text, main))
-    schema = "kind string, what string, inside boolean, n long"
-    written = pages.sparkSession.createDataFrame([(*k, n) for k, n in total.items()], schema)
-    counts = pages.select("html").mapInArrow(_count_pages, schema).unionByName(written)
-    of = lambda what, inside: F.sum(F.when((F.col("what") == what) & (F.col("inside") == inside), F.col("n")).otherwise(0))
-    kinds = settled(counts.groupBy("kind").agg(of("tags", False).alias("to"), of("tags", True).alias("ti"), of("words", False).alias("wo"), of("words", True).alias("wi")))
-    words = kinds.filter("kind = ''").first()
-    word = max(0.2, -math.log((words.wo + 0.5) / (words.wi + 0.5)))
-    odds = lambda out, inside: F.log((F.col(out) + 0.5) / (F.col(inside) + 0.5))
-    cost = F.lit(word) * F.least(F.lit(3.0), F.greatest(F.lit(0.02), F.lit(0.02) + odds("to", "ti") / 2))
-    named = F.col("kind").startswith(".") & (F.col("wi") * 20 < F.col("wo"))
-    bad = ~F.col("kind").isin(*GENERIC) & (odds("wo", "wi") > 1) & (F.col("wi") == 0) | named | F.col("kind").isin(*CHROME)
-    weighed = kinds.filter("kind <> ''").select("kind", cost.alias("cost"), bad.alias("bad"), (F.col("to") + F.col("ti")).alias("n"))
-    weighed = weighed.filter(F.col("bad") | (F.col("cost") != F.lit(word * 0.05)))
-    if weighed.count() <= shared:
-        return Weights.of(word, weighed.select("kind", "cost", "bad").collect(), None)
-    weighed = settled(weighed)
-    frequent = weighed.orderBy(F.desc("n"), "kind").limit(shared).select("kind", "cost", "bad").collect()
-    rest = weighed.join(pages.sparkSession.createDataFrame([(r.kind,) for r in frequent], "kind string"), "kind", "left_anti") if frequent else weighed
-    return Weights.of(word, frequent, settled(rest.select("kind", "cost", "bad")))
-
-
-def _with_rare(pages: DataFrame, weights: Weights) -> tuple[DataFrame, str]:
-    """``pages`` and a column of the weights of each page's kinds in ``weights.rest``, with the column's name."""
-    row, rare = "_page_row", "_page_rare"
-    numbered = settled(pages.withColumn(row, F.monotonically_increasing_id()))
-    shared = pages.sparkSession.sparkContext.broadcast(weights)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value.tag
-        for batch in batches:
-            for at, page in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = list({k for what, _, kinds in tokens(page.as_py() or "") if what == "open" for k in kinds if k not in known})
-                yield pa.RecordBatch.from_arrays([pa.array([at] * len(own), pa.int64()), pa.array(own, pa.string())], names=[row, "kind"])
-
-    met = numbered.select(row, "html").mapInArrow(run, f"{row} long, kind string").join(weights.rest, "kind")
-    found = met.groupBy(row).agg(F.collect_list(F.struct("kind", "cost", "bad")).alias(rare))
-    return numbered.join(found, row, "left").drop(row), rare
+def fit_weights(pages: DataFrame, sample: int = SAMPLE) -> Weights:
+    """Weights from the self-labelled pages among about ``sample`` of ``pages``."""
+    some = bounded_sample(pages.select("html"), "html", sample, 5)
+    counts = some.mapInArrow(_count_pages, "kind string, what string, inside boolean, n long").groupBy("kind", "what", "inside").agg(F.sum("n").alias("n"))
+    rows = counts.withColumn("_n", F.max(F.when(F.col("what") == "pages", F.col("n"))).over(Window.partitionBy("kind"))).filter(F.col("_n") >= LEAST_PAGES)
+    return Weights(Counter({(r.kind, r.what, r.inside): r.n for r in rows.filter("what <> 'pages'").collect()}))  # bounded by the sample
 
 
 def extract_main_text(pages: DataFrame, weights: Weights | None = None) -> DataFrame:
     """``pages`` and ``text``, ``n_chars`` (code points) of its ``html``."""
-    weights = weights or fit_weights(pages)
-    inputs = ["html"]
-    if weights.rest is not None:
-        pages, rare = _with_rare(pages, weights)
-        inputs.append(rare)
-    shared = pages.sparkSession.sparkContext.broadcast(weights)
+    shared = pages.sparkSession.sparkContext.broadcast(weights or fit_weights(pages))  # kinds of a bounded sample
 
     def start():
         own = shared.value
 
-        def make(column: pa.Array, rare: pa.Array | None = None) -> list[pa.Array]:
-            if rare is None:
-                texts = [main_text(p.as_py(), own) for p in column]
-            else:
-                texts = [main_text(p.as_py(), own.also([tuple(x.values()) for x in r]) if (r := more.as_py()) else own) for p, more in zip(column, rare)]
+        def make(column: pa.Array) -> list[pa.Array]:
+            texts = [main_text(p.as_py(), own) for p in column]
             return [pa.array(texts, pa.string()), pa.array(np.fromiter(map(len, texts), np.int64, len(texts)))]
 
         return make
 
-    out = appended(pages, inputs, "text string, n_chars long", start)
-    return out if len(inputs) == 1 else out.drop(rare)
+    return appended(pages, ["html"], "text string, n_chars long", start)

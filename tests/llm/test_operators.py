@@ -1,5 +1,7 @@
 import hashlib
+import html
 import random
+import re
 
 import numpy as np
 import pytest
@@ -216,44 +218,69 @@ def test_logs_fold_and_read_back(spark):
 # HTML
 
 
-def test_main_text():
+def plain_article(page):
+    """The article of a page of the tables, by regular expressions."""
+    found = re.search(r"<article>(.*?)</article>", page or "", re.S)
+    text = re.sub(r"<script.*?</script>|<style.*?</style>|<!--.*?-->", "", found[1] if found else "", flags=re.S)
+    return " ".join(html.unescape(re.sub(r"<[^<>]*>", "\n", re.sub(r"</?b>", "", text))).split())
+
+
+def test_html_query_against_plain_reading(spark):
+    pages = {r.page_id: r for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()}
+    found = registry.op5_html(spark, "/root/testdata/sf0.01").collect()
+    assert len(found) == len(pages)
+    for r in found:
+        assert (r.url, r.text, r.n_chars) == (pages[r.page_id].url, plain_article(pages[r.page_id].html), len(r.text))
+
+
+def corpus_weights():
     counts = html_main.Counter()
-    for page, main in html_main.LABELLED:
-        counts.update(html_main.count_kinds(page, main))
-    weights = html_main.Weights(counts)
+    for _ in range(5):
+        counts.update(html_main.count_kinds("<body><nav><ul><li><a>b</a></ul></nav><div class='adbox'>buy this now</div><article><p>One two three</p></article><footer>c</footer></body>"))
+    return html_main.Weights(counts)
+
+
+NO_COUNTS = html_main.Weights(html_main.Counter())
+
+
+@pytest.mark.parametrize("weights", [NO_COUNTS, corpus_weights()])
+def test_articles_stay_whole(weights):
+    for page, text in (
+        ("<article><p>See <a>the link</a> now please and then</p><ul><li>one two</li><li>x</ul><p>end of it all here</p></article>", "See the link now please and then one two x end of it all here"),
+        ("<article><header><h1>Title here</h1></header><p>body text is here</p></article>", "Title here body text is here"),
+        ("<div class=content><p>para one has words</p><div class=comments><p>what a page this is</p></div><p>para two</p></div>", "para one has words para two"),
+        ("<body class='menu has-sidebar'><form id=f><nav>menu</nav><div><p>" + "word " * 30 + "</p></div><input></form></body>", "word " * 29 + "word"),
+        ("<div class=ad>buy and buy again and again</div><article>short</article><div>rather more text that is not marked</div>", "short"),
+        ("<article><p>one<table><tr><td>two<td>three</table><form><label>no</label></form><aside>no</aside><p>four</article>", "one two three four"),
+        ("<header>site</header><div><h1>Title of it</h1><p>one two three four</p></div><div class=footer>no</div>", "Title of it one two three four"),
+        ("<article>" + "<p>long text </p>" * 100_000 + "</article>", "long text " * 99_999 + "long text"),
+    ):
+        assert html_main.main_text(page, weights) == text
+
+
+def test_main_text():
     page = """<!DOCTYPE html><head><title>no</title></head><body><header>site</header><nav><ul><li><a href=/>a</a></ul></nav><div class="ad">buy &amp; buy</div>
     <article><h1>Head</h1><p>One&nbsp;&lt;two&gt; <b>th</b>ree<p>Four<br>five<script>var t="</p>";</script><div class='advert x'>no no</div><form>no</form></article>
     <div class="comments"><p>what a page</p></div><aside>see also</aside><footer>&copy; us</footer>"""
-    assert html_main.main_text(page, weights) == "Head One <two> three Four five"
-    assert html_main.main_text(None, weights) == "" and html_main.main_text("<p>", weights) == ""
+    assert html_main.main_text(page, NO_COUNTS) == "Head One <two> three Four five"
+    assert html_main.main_text(None, NO_COUNTS) == "" and html_main.main_text("<p>", NO_COUNTS) == ""
 
 
-def test_rare_kinds_keep_their_weights(spark):
-    page = "<body><div class=promo-{0}>buy this now</div><article id=a{0}><p class=x>One two three four</p><div class='rare-{0}'>five six</div></article></body>"
-    other = "<body><div class=promo-{0}>buy {1}</div><div><p>Seven eight nine</p></div></body>"
-    rows = [(page.format(i),) for i in range(40)] + [(other.format(i, "more " * 30),) for i in range(40)] + [(None,), (other.format(0, "more"),)]
-    pages = spark.createDataFrame(rows, "html string")
-    counts = html_main.Counter()
-    for text, main in html_main.LABELLED:
-        counts.update(html_main.count_kinds(text, main))
-    for (text,) in rows:
-        counts.update(html_main.count_kinds(text or ""))
-    weights = html_main.Weights(counts)
-    expected = sorted((html_main.main_text(text, weights) for (text,) in rows))
-    assert expected.count("Seven eight nine") == 41
-    for shared in (0, 20, 50_000):
-        fitted = html_main.fit_weights(pages, shared)
-        assert (fitted.rest is None) == (shared == 50_000)
-        found = html_main.extract_main_text(pages, fitted)
-        assert found.columns == ["html", "text", "n_chars"] and sorted(r.text for r in found.collect()) == expected
+def test_kinds_beside_are_learned(spark):
+    page = "<body><div class=box>buy this now</div><article id=a{0}><p class=x>One two three four</p><div class='related y'>five six " + "seven " * 20 + "</div></article></body>"
+    other = "<body><div class=box>buy {0}</div><div><p>Seven eight nine</p></div></body>"
+    pages = spark.createDataFrame([(page.format(i),) for i in range(40)] + [(other.format("more " * 30),)] * 40 + [(None,)], "html string")
+    weights = html_main.fit_weights(pages)
+    assert ".box" in weights.beside and ".related" not in weights.beside and ".a1" not in weights.tag
+    texts = {r.text for r in html_main.extract_main_text(pages, weights).collect()}
+    assert texts == {"One two three four five six " + " ".join(["seven"] * 20), "Seven eight nine", ""}
 
 
 def test_icons_and_unclosed_raw_elements_leave_the_text():
-    weights = html_main.Weights(html_main.Counter())
     for tag in ("<svg class=icon/>", "<svg />", "<math/>", "<svg>", "<textarea>", "<canvas id=x>"):
-        assert html_main.main_text(f"<article>{tag}<p>One two three</p></article>", weights) == "One two three"
-    assert html_main.main_text("<article><svg/><p>One</p><svg><title>no</title></svg><p>two</p></article>", weights) == "One two"
-    assert html_main.main_text("<article><p>One two</p></article><script>no no", weights) == "One two"
+        assert html_main.main_text(f"<article>{tag}<p>One two three</p></article>", NO_COUNTS) == "One two three"
+    assert html_main.main_text("<article><svg/><p>One</p><svg><title>no</title></svg><p>two</p></article>", NO_COUNTS) == "One two"
+    assert html_main.main_text("<article><p>One two</p></article><script>no no", NO_COUNTS) == "One two"
 
 
 # Quality, toxicity, languages, mixing
