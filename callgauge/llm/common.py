@@ -57,15 +57,16 @@ def discard(*tables: DataFrame | None) -> None:
 SPLITS = 400
 
 
-def hot_join(rows: DataFrame, stats: DataFrame, on: list[str], n: str, total: int) -> DataFrame:
+def hot_join(rows: DataFrame, stats: DataFrame, on: list[str], n: str, total: int, by: list[str] | None = None) -> DataFrame:
     """Inner join of ``rows`` to ``stats``, which has one row for each key and in ``n`` how many of the ``total`` rows have it.
 
-    Hot keys are dealt over as many tasks as their share asks for. At most ``SPLITS`` keys are hot, so their list is broadcast.
+    Hot keys are dealt over as many tasks as their share asks for, by a hash of the columns ``by`` (all). At most ``SPLITS``
+    keys are hot, so their list is broadcast.
     """
     parts = F.greatest(F.lit(1), F.ceil(F.col(n) * SPLITS / F.lit(max(1, total)))).cast("int")
     counted = stats.withColumn("_parts", parts)
     hot = F.broadcast(counted.filter("_parts > 1").select(*on, "_parts"))
-    salt = F.coalesce(F.pmod(F.xxhash64(*rows.columns), F.col("_parts")).cast("int"), F.lit(0))
+    salt = F.coalesce(F.pmod(F.xxhash64(*(by or rows.columns)), F.col("_parts")).cast("int"), F.lit(0))
     dealt = rows.join(hot, on, "left").withColumn("_salt", salt).drop("_parts")
     spread = counted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
     return dealt.join(spread, [*on, "_salt"]).drop("_salt")

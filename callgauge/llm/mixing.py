@@ -5,20 +5,27 @@ share of the input's. A document's number of copies is the inverse of the Poisso
 function with that mean at a uniform number hashed from the seed and doc_id, so it is the same
 in every run and independent of partitions. Copies are then shuffled globally by a hash.
 
+The distribution function is stated from 14 deviations below the mean to 14 above, so its length grows with the root of
+the rate; its terms are closed forms, summed up once for each source.
+
 Behaviour: rows of equal doc_id get equal counts for equal rates; a null doc_id is hashed by
 its text; a null source is a source of its own; a null text has no code points; a source without a
 target, or with the target zero, gets no copies, unless no targets are given, which means equal ones for
-all sources; a source with only empty texts has the rate 1; an empty table gives an empty result.
+all sources; a source with only empty texts has the rate 1; an empty table gives an empty result; other columns pass
+through, whatever their names, and those named like an added column are replaced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rates of up to so many sources are broadcast; more are joined by key, with each source dealt over SALTS keys.
-BROADCAST_SOURCES = 20_000
-SALTS = 64
+from .common import hot_join, settled
+
+#: Distributions of up to so many steps in all are broadcast; more are joined by source, with large sources dealt over several tasks.
+BROADCAST_STEPS = 1_000_000
+#: Deviations from the mean, and steps besides, that a distribution covers on either side.
+SPREAD, BESIDES = 14, 30
 
 
 def uniform(seed: int, key: Column) -> Column:
@@ -28,50 +35,60 @@ def uniform(seed: int, key: Column) -> Column:
 
 
 def source_rates(docs: DataFrame, targets: dict[str | None, float] | None = None, total_chars: float | None = None) -> DataFrame:
-    """(source, rate): the mean number of copies of a source's documents.
+    """(source, n_docs, rate): the documents of a source and the mean number of copies of each, settled.
 
     targets: weights by source, in any unit; total_chars: code points wanted in all (the input's).
     """
-    sizes = docs.groupBy("source").agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).cast("double").alias("chars"))
-    spark = docs.sparkSession
+    sizes = settled(docs.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum(F.coalesce(F.length("text"), F.lit(0))).cast("double").alias("chars")))
     if targets is None:
         weighted = sizes.withColumn("weight", F.lit(1.0))
     else:
-        given = spark.createDataFrame([(k, float(v)) for k, v in targets.items()], "name string, weight double")
-        weighted = sizes.join(F.broadcast(given), F.col("source").eqNullSafe(F.col("name")), "left").select("source", "chars", F.coalesce("weight", F.lit(0.0)).alias("weight"))
+        given = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in targets.items()], "name string, weight double")
+        weighted = sizes.join(given, F.col("source").eqNullSafe(F.col("name")), "left").select("source", "n_docs", "chars", F.coalesce("weight", F.lit(0.0)).alias("weight"))
     sums = weighted.agg(F.sum("chars").alias("chars"), F.sum("weight").alias("weight")).first()
     total = total_chars if total_chars is not None else sums.chars or 0.0
     rate = F.when(F.col("chars") > 0, F.col("weight") * F.lit(total) / (F.lit(sums.weight or 1.0) * F.col("chars"))).otherwise(F.lit(1.0))
-    return weighted.select("source", rate.alias("rate"))
+    return settled(weighted.select("source", "n_docs", rate.alias("rate")))
+
+
+def log_factorial(k: Column) -> Column:
+    """ln k!, from the factorial up to 20 and from Stirling's series beyond."""
+    x = F.greatest(k, F.lit(1)).cast("double")
+    series = (x + 0.5) * F.ln(x) - x + 0.918938533204672742 + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * F.pow(x, F.lit(5.0))) - 1 / (1680 * F.pow(x, F.lit(7.0)))
+    return F.when(k <= 20, F.ln(F.factorial(F.least(k, F.lit(20)).cast("int")).cast("double"))).otherwise(series)
 
 
-def poisson_steps(rate: Column) -> Column:
-    """Distribution function at 0, 1, ... until it rounds to one."""
-    most = F.ceil(rate + 14 * F.sqrt(rate) + 30).cast("int")
-    state = F.struct(F.lit(0.0).alias("logs"), F.array(F.exp(-rate)).alias("cdf"))
+def _steps(rate: Column) -> tuple[Column, Column]:
+    """The first and last number of copies that the distribution states."""
+    wide = SPREAD * F.sqrt(rate) + BESIDES
+    return F.greatest(F.lit(0), F.floor(rate - wide)).cast("bigint"), F.ceil(rate + wide).cast("bigint")
 
-    def step(s: Column, k: Column) -> Column:
-        logs = s.logs + F.ln(k.cast("double"))
-        return F.struct(logs.alias("logs"), F.concat(s.cdf, F.array(F.element_at(s.cdf, -1) + F.exp(-rate + k * F.ln(rate) - logs))).alias("cdf"))
 
-    return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), most), state, step, lambda s: s.cdf)).otherwise(F.array(F.lit(1.0)))
+def poisson_distributions(rates: DataFrame) -> DataFrame:
+    """(source, n_docs, low, cdf): the distribution function at low, low + 1, ... of each source with a rate above 0."""
+    low, high = _steps(F.col("rate"))
+    terms = rates.filter("rate > 0").select("source", "n_docs", "rate", low.alias("low"), F.explode(F.sequence(low, high)).alias("k"))
+    p = F.exp(-F.col("rate") + F.col("k") * F.ln("rate") - log_factorial(F.col("k")))
+    summed = terms.withColumn("c", F.sum(p).over(Window.partitionBy("source").orderBy("k")))
+    return summed.groupBy("source", "n_docs", "low").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "c"))), lambda s: s.c).alias("cdf"))
 
 
 def replicate(docs: DataFrame, targets: dict[str | None, float] | None = None, seed: int = 17, total_chars: float | None = None) -> DataFrame:
     """All columns of ``docs`` and n_copies, copy (from 0) and shuffle_key, a row for each copy, globally shuffled."""
     added = ("n_copies", "copy", "shuffle_key")
-    base = docs.select(*(c for c in docs.columns if c.lower() not in added))
-    rates = source_rates(docs, targets, total_chars).select(F.col("source").alias("_source"), poisson_steps(F.col("rate")).alias("_cdf"))
-    n_sources = docs.select("source").distinct().count()
-    same = F.col("source").eqNullSafe(F.col("_source"))
+    of_source = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("none"))  # null is a source too
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.coalesce("text", F.lit(""))))
-    if n_sources <= BROADCAST_SOURCES:
-        met = base.join(F.broadcast(rates), same)
+    rows = docs.select(F.struct(*(c for c in docs.columns if c.lower() not in added)).alias("row"), of_source.alias("of"), key.alias("key"))
+    rates = source_rates(docs, targets, total_chars)
+    low, high = _steps(F.col("rate"))
+    sums = rates.agg(F.sum(high - low + 1).alias("steps"), F.sum("n_docs").alias("docs")).first()
+    distributions = poisson_distributions(rates).select(of_source.alias("of"), "n_docs", "low", "cdf")
+    if (sums.steps or 0) <= BROADCAST_STEPS:
+        met = rows.join(F.broadcast(distributions), "of")
     else:
-        salted = rates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        met = base.withColumn("_deal", F.pmod(F.hash(key), F.lit(SALTS))).join(salted, same & (F.col("_deal") == F.col("_salt"))).drop("_deal", "_salt")
-    u = uniform(seed, key)
-    counted = met.withColumn("_u", u).withColumn("n_copies", F.size(F.filter("_cdf", lambda c: c <= F.col("_u"))).cast("bigint"))
-    copies = counted.filter("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_copies") - 1)))
-    placed = copies.withColumn("shuffle_key", F.md5(F.concat(F.lit(f"{seed}/"), key, F.lit("/"), F.col("copy").cast("string")).cast("binary")))
-    return placed.drop("_u", "_cdf", "_source").repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+        met = hot_join(rows, settled(distributions), ["of"], "n_docs", sums.docs, by=["key"])
+    drawn = met.select("row", "key", "low", "cdf", uniform(seed, F.col("key")).alias("u"))
+    counted = drawn.select("row", "key", (F.col("low") + F.size(F.filter("cdf", lambda c: c <= F.col("u")))).alias("n_copies")).filter("n_copies > 0")
+    copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_copies") - 1)))
+    placed = copies.withColumn("shuffle_key", F.md5(F.concat(F.lit(f"{seed}/"), "key", F.lit("/"), F.col("copy").cast("string")).cast("binary")))
+    return placed.select("row.*", *added).repartition("shuffle_key").sortWithinPartitions("shuffle_key")

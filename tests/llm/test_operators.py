@@ -2,6 +2,7 @@ import hashlib
 import html
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -330,6 +331,31 @@ def test_mixing_reaches_targets(spark):
     assert abs(counts["a"] - 1800) < 180 and abs(counts["b"] - 900) < 130 and abs(counts[None] - 300) < 80
 
 
+def test_mixing_at_high_rates(spark):
+    rng = np.random.default_rng(1)
+    docs = spark.createDataFrame([(0, "x", "small"), (1, "x" * 100_000, "large")], "doc_id long, text string, source string")
+    began = time.time()
+    n = {r.source: r.n for r in mixing.replicate(docs, {"small": 100_000 / 100_001, "large": 1 / 100_001}).groupBy("source").agg(F.count("*").alias("n")).collect()}
+    assert abs(n["small"] - 100_000) < 1600 and time.time() - began < 60
+    for rate in (0.3, 7.0, 2500.0):
+        row = mixing.poisson_distributions(spark.createDataFrame([("a", 1, rate)], "source string, n_docs long, rate double")).first()
+        drawn = rng.poisson(rate, 20_000)
+        for k in (int(rate), int(rate + rate**0.5)):
+            assert abs(row.cdf[k - row.low] - (drawn <= k).mean()) < 0.015
+        assert abs(row.cdf[-1] - 1) < 1e-11
+
+
+@pytest.mark.parametrize("bound", [0, 10**6])
+def test_mixing_with_clashing_columns(spark, monkeypatch, bound):
+    monkeypatch.setattr(mixing, "BROADCAST_STEPS", bound)
+    names = ["_source", "_cdf", "_u", "_salt", "_parts", "row", "of", "key", "u", "low", "cdf", "n_docs", "COPY"]
+    docs = spark.createDataFrame([(i, "text", "a" if i % 3 else None, *["mine"] * len(names)) for i in range(300)], "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    plain = mixing.replicate(docs.select("doc_id", "text", "source"))
+    found = mixing.replicate(docs)
+    assert found.columns == ["doc_id", "text", "source", *names[:-1], "n_copies", "copy", "shuffle_key"]
+    assert sorted(found.select(plain.columns).collect()) == sorted(plain.collect()) and found.filter("_source = 'mine' AND key = 'mine'").count() == found.count()
+
+
 @pytest.mark.parametrize("rows", [ODD, []])
 def test_odd_rows(spark, rows):
     docs = odd_rows(spark) if rows else odd_rows(spark).limit(0)
