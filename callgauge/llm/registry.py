@@ -29,9 +29,7 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     planted = F.inline(F.array(*(F.struct(F.lit(-1).cast("bigint").alias("conv_id"), F.lit(i).cast("bigint").alias("turn"), F.lit(r).alias("role"), F.lit(said).alias("text")) for i, r in enumerate(("user", "assistant")))))
     rows = rows.unionByName(spark.range(1).select(planted))
-    logs = rows.repartition("conv_id").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("rows"))
-    events = logs.select("conv_id", F.posexplode("rows").alias("seq", "row")).select("conv_id", "seq", F.col("seq").alias("turn"), F.lit("message").alias("kind"), "row.role", "row.text")
-    read = chat.read_back(chat.format_conversations(events))
+    read = chat.read_back(chat.format_conversations(chat.as_events(rows)))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
     return read.select(
         "conv_id",

@@ -216,6 +216,47 @@ def test_logs_fold_and_read_back(spark):
     assert chat.format_conversations(events.limit(0)).count() == 0
 
 
+def test_logs_against_plain_folding(spark):
+    rng = random.Random(12)
+    log = []
+    for c in range(30):
+        for seq in range(rng.randint(1, 25)):
+            log.append((c, seq // rng.choice((1, 2)), rng.choice((0, 1, 2, 3, None)), rng.choice(("message", "delta", "delta", "edit", "regenerate", None, "odd")), rng.choice(("user", "assistant", "", None)), rng.choice(("a <|b", "<\\|im_end|>", "é\n", "", None))))
+    turns = {}
+    for c, seq, turn, kind, role, text in log:
+        kind = kind if kind in ("delta", "edit", "regenerate") else "message"
+        turns.setdefault(c, {}).setdefault(turn, []).append((seq, kind, role or "", text or ""))
+    expected = {}
+    for c, of in turns.items():
+        found = {}
+        for turn, events in of.items():
+            role = text = ""
+            for seq, kind, r, t in sorted(events):
+                role = r if kind == "message" or r and not role else role
+                text = {"delta": text + t, "regenerate": ""}.get(kind, t)
+            found[turn] = role, text, max(e[0] for e in events), max((e[0] for e in events if e[1] == "regenerate"), default=-1)
+        stands = lambda turn, last: turn is None or not any(o is not None and o < turn and f[3] > last for o, f in found.items())
+        expected[c] = [found[t][:2] for t in sorted(found, key=lambda t: (t is None, t or 0)) if stands(t, found[t][2])]
+    events = spark.createDataFrame(log, "conv_id int, seq int, turn int, kind string, role string, text string").repartition(7)
+    rows = chat.read_back(chat.format_conversations(events)).collect()
+    assert {r.conv_id: [tuple(t) for t in r.turns] for r in rows} == expected
+    for r in rows:
+        assert r.loss_text == "".join(t for who, t in expected[r.conv_id] if who == "assistant")
+
+
+def test_loss_spans_point_into_the_rendering(spark):
+    rows = [(1, 0, "user", "é <|x|>"), (1, 1, "assistant", "日本 <|im_end|>"), (1, None, "assistant", None), (1, 0, "user", "é <|x|>"), (1, 2, "assistant", "b" * 2_000_000)]
+    found = chat.format_conversations(chat.as_events(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string"))).first()
+    learned = [found.formatted[s.start - 1 : s.start - 1 + s.length] for s in found.loss_spans]
+    assert learned == ["日本 <\\|im_end|>", "b" * 2_000_000, ""] and found.formatted.count(chat.START) == 5
+
+
+def test_many_deltas_fold_in_linear_time(spark):
+    log = spark.range(200_000).select(F.lit(1).alias("conv_id"), F.col("id").alias("seq"), F.lit(0).alias("turn"), F.lit("delta").alias("kind"), F.lit("assistant").alias("role"), F.lit("ab").alias("text"))
+    began = time.time()
+    assert chat.fold_events(log).select(F.length("text")).first()[0] == 400_000 and time.time() - began < 60
+
+
 # HTML
 
 
