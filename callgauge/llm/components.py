@@ -2,7 +2,8 @@
 
 Each step is a grouped minimum and a join; links shrink towards stars round their smallest node,
 in a number of rounds that grows with the logarithm of the longest path. Every round is settled
-in the shared folder, so its lineage stays short.
+in the shared folder, so its lineage stays short, and the round before is removed. A node of very many links is
+dealt over several tasks.
 """
 
 from __future__ import annotations
@@ -10,25 +11,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import discard, hot_join, settled
 
 
 def _both_ways(links: DataFrame) -> DataFrame:
     return links.select(F.col("src").alias("u"), F.col("dst").alias("v")).unionByName(links.select(F.col("dst").alias("u"), F.col("src").alias("v")))
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, total: int) -> DataFrame:
     """Every larger neighbour of a node is linked to the least node beside it."""
     both = _both_ways(links)
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("m").alias("src"), F.col("v").alias("dst")).distinct()
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+    return hot_join(both.filter("v > u"), least, ["u"], "n", 2 * total).select(F.col("m").alias("src"), F.col("v").alias("dst")).distinct()
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, total: int) -> DataFrame:
     """Every smaller neighbour of a node, and the node, are linked to the least of them."""
     down = links.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    near = down.join(least, "u").filter("v <> m").select(F.col("m").alias("src"), F.col("v").alias("dst"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    near = hot_join(down, least, ["u"], "n", total).filter("v <> m").select(F.col("m").alias("src"), F.col("v").alias("dst"))
     return near.unionByName(least.select(F.col("m").alias("src"), F.col("u").alias("dst"))).distinct()
 
 
@@ -47,7 +48,10 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not seen[0]:
             break
-        now = settled(_small_star(_large_star(now)))
+        wide = settled(_large_star(now, seen[0]))
+        discard(now)
+        now = settled(_small_star(wide, wide.count()))
+        discard(wide)
         if (sums := _sums(now)) == seen:
             break
         seen = sums

@@ -8,7 +8,9 @@ verified on the whole fingerprint.
 
 ``drop_near_duplicates`` looks for a likeness (Jaccard) of 0.8 in five-word shingles, which leaves about a seventh of the bits
 different, more than such a guarantee can cover. There fingerprints of 256 bits over the distinct shingles only propose pairs:
-those that are equal in 16 bits picked by one of ``Alike.tables`` tables and differ in at most ``Alike.most`` bits. Every
+those that are equal in the bits picked by one of many tables and differ in at most ``Alike.most`` bits. With the number of
+fingerprints, more bits are picked, so that meetings by chance stay few, and more tables are taken, so that a pair alike by 0.8 is missed by all
+in one of ``MISSED`` cases at every size. Every
 proposed pair is then held against the shingle sets of its two documents, and only what is alike by 0.8 is linked.
 Equal fingerprints count as alike: at a likeness under 0.8 all 256 bits agree in less than one of 10^18 pairs.
 
@@ -18,11 +20,12 @@ pairs, which keeps every link's two ends connected.
 
 Behaviour: null and empty texts have no words and the fingerprint zero, linked like any other;
 repeated rows share a fingerprint; a null doc_id counts as larger than all others for the choice
-of component_id; an empty table gives an empty result; other columns pass through untouched.
+of component_id; an empty table gives an empty result; other columns, whatever their names, pass through untouched.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import discard, hot_join, settled
 from .components import connected_components
 
 SMALL_GROUP = 24
@@ -150,6 +153,22 @@ def _forest(fp: np.ndarray, most: int) -> np.ndarray:
     return np.concatenate(edges) if edges else np.empty((0, 2, 2), np.uint64)
 
 
+def _whole_groups(batches: Iterator[tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndarray, ...]]:
+    """The columns of batches in order of the first one, cut so that no group of equal keys is."""
+    held: list[tuple[np.ndarray, ...]] = []
+    for columns in batches:
+        key = columns[0]
+        if not len(key):
+            continue
+        whole = int(np.searchsorted(key, key[-1]))  # the last group may go on in the next batch
+        if whole or held and held[-1][0][-1] != key[-1]:
+            yield tuple(map(np.concatenate, zip(*held, tuple(c[:whole] for c in columns))))
+            held = []
+        held.append(tuple(c[whole:] for c in columns))
+    if held:
+        yield tuple(map(np.concatenate, zip(*held)))
+
+
 def _meet(scheme: Scheme):
     def links(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
@@ -171,16 +190,8 @@ def _meet(scheme: Scheme):
         return pa.RecordBatch.from_arrays([_struct(pairs[:, 0]), _struct(pairs[:, 1])], names=["src", "dst"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_key, held_fp = np.empty(0, np.int64), np.empty((0, 2), np.uint64)
-        for batch in batches:
-            key = np.concatenate((held_key, batch.column(0).to_numpy(zero_copy_only=False)))
-            fp = np.concatenate((held_fp, _words(batch.column(1))))
-            whole = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last group may go on in the next batch
-            if whole:
-                yield links(key[:whole], fp[:whole])
-            held_key, held_fp = key[whole:], fp[whole:]
-        if len(held_key):
-            yield links(held_key, held_fp)
+        for key, fp in _whole_groups((b.column(0).to_numpy(zero_copy_only=False), _words(b.column(1))) for b in batches):
+            yield links(key, fp)
 
     return run
 
@@ -192,53 +203,60 @@ def link_fingerprints(fps: DataFrame, scheme: Scheme = FOUR_BITS) -> DataFrame:
     return dealt.mapInArrow(_meet(scheme), f"src {FP}, dst {FP}")
 
 
-def _grouped(docs: DataFrame, shingle: int, scheme: Scheme, row) -> tuple[DataFrame, DataFrame]:
-    """(row, fp) of every document and (fp, root) of every fingerprint."""
-    rows = docs.select(row.alias("row"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("bytes"))
-    kind = rows.schema["row"].dataType.simpleString()
-    prints = settled(rows.mapInArrow(_fingerprints(shingle, scheme.seeds), f"row {kind}, fp {FP}"))
-    fps = settled(prints.select("fp").distinct())
-    roots = connected_components(settled(link_fingerprints(fps, scheme)))
-    return prints, fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
-
-
 def near_duplicates(docs: DataFrame, shingle: int = 4, scheme: Scheme = FOUR_BITS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Each row's ``keep`` columns (doc_id among them), ``fingerprint`` (hex digits) and ``component_id``.
 
     component_id is the smallest doc_id that links can reach from the row.
     """
-    prints, roots = _grouped(docs, shingle, scheme, F.struct(*keep))
-    least = prints.groupBy("fp").agg(F.min("row.doc_id").alias("least")).join(roots, "fp")
-    named = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    placed = least.join(named, "root").select("fp", "component_id")
+    rows = docs.select(F.struct(*keep).alias("row"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("bytes"))
+    prints = settled(rows.mapInArrow(_fingerprints(shingle, scheme.seeds), f"row {rows.schema['row'].dataType.simpleString()}, fp {FP}"))
+    fps = settled(prints.groupBy("fp").agg(F.min("row.doc_id").alias("least"), F.count("*").alias("n")))
+    links = settled(link_fingerprints(fps.select("fp"), scheme))
+    roots = settled(connected_components(links).withColumnRenamed("node", "fp"))
+    discard(links)
+    least = fps.join(roots, "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
+    named = least.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n_prints"))
+    placed = settled(hot_join(least, named, ["root"], "n_prints", fps.count()).select("fp", "n", "component_id"))
+    discard(roots, fps)
     digits = [F.lower(F.lpad(F.hex(f"fp.{w}"), 16, "0")) for w in "ab"[: len(scheme.seeds)]]
-    return prints.join(placed, "fp").select("row.*", F.concat(*digits).alias("fingerprint"), "component_id")
+    met = hot_join(prints, placed, ["fp"], "n", prints.count(), by=["row"])
+    return met.select("row.*", F.concat(*digits).alias("fingerprint"), "component_id")
 
 
 # Near copies by likeness
 
 
+BITS = 256
+#: The share of bits in which a pair alike by 0.8 differs: the angle between the two sets over 180 degrees.
+DIFFERENT = math.acos(0.8 / 0.9) / math.pi
+#: One in so many pairs alike by 0.8 agrees in no table.
+MISSED = 2000
+
+
 @dataclass(frozen=True)
 class Alike:
-    """Tables of 16 picked bits that propose pairs, and the bits of 256 that a proposed pair may differ in."""
+    """Tables of a few picked bits that propose pairs, and the bits of 256 that a proposed pair may differ in."""
 
+    bits: int
     tables: int
-    most: int
+    most: int = 60
+
+    @classmethod
+    def of(cls, n: int) -> Alike:
+        """Bits and tables for ``n`` fingerprints: rows of the index grow with about the fourth root of ``n``, meetings by chance no faster."""
+        bits = 16 + max(0, math.ceil((math.log2(max(1, n)) - 18) * 0.75))
+        return cls(bits, math.ceil(math.log(MISSED) / -math.log1p(-((1 - DIFFERENT) ** bits))))
 
     def picks(self) -> np.ndarray:
-        """(tables, 16) places of bits."""
+        """(tables, bits) places of bits."""
         rng = np.random.default_rng(7)
-        return np.stack([np.sort(rng.permutation(BITS)[:16]) for _ in range(self.tables)])
+        return np.stack([np.sort(rng.permutation(BITS)[: self.bits]) for _ in range(self.tables)])
 
     def masks(self) -> np.ndarray:
         """(tables, words) with the picked bits set."""
-        bits = np.zeros((self.tables, BITS), np.uint8)
-        np.put_along_axis(bits, self.picks(), 1, 1)
-        return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
-
-
-BITS = 256
-ALIKE = Alike(128, 60)
+        found = np.zeros((self.tables, BITS), np.uint8)
+        np.put_along_axis(found, self.picks(), 1, 1)
+        return np.packbits(found, axis=1, bitorder="little").view(np.uint64)
 
 
 def shingle_set(text: bytes, shingle: int) -> np.ndarray:
@@ -298,13 +316,13 @@ def _tables(scheme: Alike):
     """Each fingerprint under its picked bits of every table, with its root."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        picks, power = scheme.picks(), (1 << np.arange(16)).astype(np.float32)
+        picks, power = scheme.picks(), (1 << np.arange(scheme.bits)).astype(np.float64)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 fp = _unbinary(part.column(0))
-                bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8), axis=1, bitorder="little").astype(np.float32)
-                keys = [(bits[:, p] @ power).astype(np.int64) | t << 16 for t, p in enumerate(picks)]
+                bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8), axis=1, bitorder="little").astype(np.float64)
+                keys = [(bits[:, p] @ power).astype(np.int64) | t << scheme.bits for t, p in enumerate(picks)]
                 roots = pa.chunked_array([part.column(1)] * len(keys), pa.binary()).combine_chunks()
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), _binary(np.tile(fp, (len(keys), 1))), roots], names=["signature", "fp", "root"])
 
@@ -328,7 +346,7 @@ def _propose(scheme: Alike, forest: bool):
         """Pairs of one member and others, near enough and counted under this key."""
         differ = fp[others] ^ fp[x]
         good = _distance(differ) <= scheme.most
-        good[good] = _first_table(differ[good], masks) == key >> 16
+        good[good] = _first_table(differ[good], masks) == key >> scheme.bits
         return np.stack((np.tile(fp[x], (good.sum(), 1)), fp[others[good]]), 1)
 
     def links(key: np.ndarray, fp: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -348,7 +366,7 @@ def _propose(scheme: Alike, forest: bool):
             good = _distance(differ) <= scheme.most
             if not forest:
                 good &= root[at] != root[at + shift]
-            good[good] = _first_table(differ[good], masks) == key[at[good]] >> 16
+            good[good] = _first_table(differ[good], masks) == key[at[good]] >> scheme.bits
             found.append(np.stack((fp[at[good]], fp[at[good] + shift]), 1))
         yield out(np.concatenate(found), False)
         for i in np.flatnonzero(size > SMALL_GROUP):
@@ -362,17 +380,9 @@ def _propose(scheme: Alike, forest: bool):
                         yield out(counted(key[begin[i]], fp[group], x, others), True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, fp, root = np.empty(0, np.int64), np.empty((0, BITS // 64), np.uint64), np.empty(0, object)
-        for batch in batches:
-            key = np.concatenate((key, batch.column(0).to_numpy(zero_copy_only=False)))
-            fp = np.concatenate((fp, _unbinary(batch.column(1))))
-            root = np.concatenate((root, np.full(batch.num_rows, None) if forest else batch.column(2).to_numpy(zero_copy_only=False)))
-            whole = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last group may go on in the next batch
-            if whole:
-                yield from links(key[:whole], fp[:whole], root[:whole])
-            key, fp, root = key[whole:], fp[whole:], root[whole:]
-        if len(key):
-            yield from links(key, fp, root)
+        read = lambda b: (b.column(0).to_numpy(zero_copy_only=False), _unbinary(b.column(1)), np.full(b.num_rows, None) if forest else b.column(2).to_numpy(zero_copy_only=False))
+        for group in _whole_groups(map(read, batches)):
+            yield from links(*group)
 
     return run
 
@@ -388,48 +398,57 @@ def _proposed(fps: DataFrame, scheme: Alike, forest: bool) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, prints: DataFrame, shingle: int) -> DataFrame:
-    """The pairs whose shingle sets are alike by 0.8 or more; a node often linked is a skewed key of joins that repeat one row."""
+    """The pairs whose shingle sets are alike by 0.8 or more, settled; a node often linked is a skewed key of joins that repeat one row."""
     nodes = pairs.select(F.col("src").alias("fp")).unionByName(pairs.select(F.col("dst").alias("fp"))).distinct()
-    chosen = prints.groupBy("fp").agg(F.min("row._key").alias("_key")).join(nodes, "fp", "left_semi")
-    sets = settled(texts.join(chosen, "_key").select("fp", "bytes").mapInArrow(_sets(shingle), "fp binary, runs array<bigint>"))
+    chosen = prints.groupBy("fp").agg(F.min("row.key").alias("key")).join(nodes, "fp", "left_semi")
+    sets = settled(texts.join(chosen, "key").select("fp", "bytes").mapInArrow(_sets(shingle), "fp binary, runs array<bigint>"))
     met = pairs.join(sets.toDF("src", "_a"), "src").join(sets.toDF("dst", "_b"), "dst")
     both = F.size(F.array_intersect("_a", "_b"))
-    return settled(met.filter(both * 9 >= (F.size("_a") + F.size("_b")) * 4).select("src", "dst"))  # both / union >= 0.8 in whole numbers
+    found = settled(met.filter(both * 9 >= (F.size("_a") + F.size("_b")) * 4).select("src", "dst"))  # both / union >= 0.8 in whole numbers
+    discard(sets)
+    return found
 
 
-def alike_roots(texts: DataFrame, prints: DataFrame, shingle: int, scheme: Alike) -> DataFrame:
-    """(node, root) of the fingerprints linked by likeness.
+def alike_roots(texts: DataFrame, prints: DataFrame, shingle: int, scheme: Alike | None = None) -> DataFrame:
+    """(node, root) of the fingerprints linked by likeness, settled; scheme: that for their number, if none is given.
 
     A forest may hang on pairs that turn out unlike. So the members of large groups meet a second
     time, and all proposed pairs that the links so far leave apart are verified too.
     """
     fps = settled(prints.select("fp", F.lit(None).cast("binary").alias("root")).distinct())
+    scheme = scheme or Alike.of(fps.count())
     pairs = _proposed(fps, scheme, True)
     links = _verified(pairs, texts, prints, shingle)
     roots = settled(connected_components(links))
     large = pairs.filter("large")
-    if large.isEmpty():
-        return roots
-    members = large.select(F.col("src").alias("node")).unionByName(large.select(F.col("dst").alias("node"))).distinct()
-    again = settled(members.join(roots, "node", "left").select(F.col("node").alias("fp"), F.coalesce("root", "node").alias("root")))
-    rest = settled(_proposed(again, scheme, False).join(pairs, ["src", "dst"], "left_anti"))
-    if rest.isEmpty():
-        return roots
-    return connected_components(links.unionByName(_verified(rest.select("src", "dst"), texts, prints, shingle)))
-
-
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, scheme: Alike = ALIKE) -> DataFrame:
+    if not large.isEmpty():
+        members = large.select(F.col("src").alias("node")).unionByName(large.select(F.col("dst").alias("node"))).distinct()
+        again = settled(members.join(roots, "node", "left").select(F.col("node").alias("fp"), F.coalesce("root", "node").alias("root")))
+        more = _proposed(again, scheme, False)
+        rest = settled(more.join(pairs, ["src", "dst"], "left_anti"))
+        discard(again, more)
+        if not rest.isEmpty():
+            also = _verified(rest.select("src", "dst"), texts, prints, shingle)
+            roots = settled(connected_components(links.unionByName(also)))
+            discard(also)
+        discard(rest)
+    discard(fps, pairs, links)
+    return roots
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, scheme: Alike | None = None) -> DataFrame:
     """``docs`` with one row of each group of texts linked by a likeness of 0.8: that of the least doc_id (a null one last), of equal ids that of the least digest.
 
     Texts are dealt out by key only, to verify proposed pairs and to pick the rows that stay.
     """
-    columns = [c for c in docs.columns if c != "_key"]
     bytes_ = F.coalesce("text", F.lit("")).cast("binary")
-    keyed = docs.select(*columns, F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(bytes_)).alias("_key"))
-    rows = keyed.select(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_key").alias("row"), bytes_.alias("bytes"))
+    key = F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(bytes_))
+    keyed = docs.select(F.struct("*").alias("doc"), key.alias("key"), F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", key.alias("key")).alias("row"), bytes_.alias("bytes"))
+    rows = keyed.select("row", "bytes")
     prints = settled(rows.mapInArrow(_sketches(shingle), f"row {rows.schema['row'].dataType.simpleString()}, fp binary"))
-    texts = rows.select("row._key", "bytes").dropDuplicates(["_key"])
+    texts = keyed.select("key", "bytes").dropDuplicates(["key"])
     roots = alike_roots(texts, prints, shingle, scheme).withColumnRenamed("node", "fp")
     least = prints.groupBy("fp").agg(F.min("row").alias("row")).join(roots, "fp", "left")
-    first = least.groupBy(F.coalesce("root", "fp")).agg(F.min("row").alias("row"))
-    return keyed.join(first.select("row._key"), "_key", "left_semi").dropDuplicates(["_key"]).select(*columns)
+    first = settled(least.groupBy(F.coalesce("root", "fp")).agg(F.min("row").alias("row")).select("row.key"))
+    discard(prints, roots)
+    return keyed.select("key", "doc").join(first, "key", "left_semi").dropDuplicates(["key"]).select("doc.*")

@@ -105,6 +105,27 @@ def test_links_against_brute_force(spark):
     assert sorted(map(sorted, ours.values())) == sorted(map(sorted, plain.values()))
 
 
+def test_simhash_query_against_brute_force(spark):
+    rows = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    prints = {}
+    for doc_id, text in rows:
+        words = re.sub("[A-Z]", lambda m: m[0].lower(), text)
+        words = re.findall(r"[^\x20\x09-\x0D]+", words)
+        shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
+        hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+        prints[doc_id] = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    root = {i: i for i in prints}
+    ids = sorted(prints)
+    values = np.array([prints[i] for i in ids], np.uint64)
+    for k, i in enumerate(ids):
+        for j in np.flatnonzero(np.bitwise_count(values ^ values[k]) <= 4):
+            a, b = sorted((root[i], root[ids[j]]))
+            if a != b:
+                root = {n: a if r == b else r for n, r in root.items()}
+    found = {r.doc_id: (r.fingerprint, r.component_id) for r in registry.op4_simhash(spark, SF).collect()}
+    assert found == {i: (f"{prints[i]:016x}", root[i]) for i in ids}
+
+
 def test_near_copies_go_and_others_stay(spark):
     rng = random.Random(4)
     words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
@@ -121,6 +142,20 @@ def test_near_copies_go_and_others_stay(spark):
     assert len(ids) <= 32 and len(kept) - len(ids) == 2
 
 
+def test_rows_stay_with_all_their_columns(spark):
+    names = ["_key", "key", "row", "doc", "bytes", "fp", "node"]
+    docs = spark.createDataFrame([(i, "the same five words here and there", *["mine"] * len(names)) for i in (3, 1, 2)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    kept = simhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(1, "the same five words here and there", *["mine"] * len(names))]
+
+
+def test_tables_grow_with_the_rows():
+    for n in (1, 10**5, 10**8, 10**11):
+        scheme = simhash.Alike.of(n)
+        assert (1 - (1 - simhash.DIFFERENT) ** scheme.bits) ** scheme.tables < 1 / 1900
+    assert simhash.Alike.of(10**5).bits == 16 and simhash.Alike.of(10**9).tables < 6 * simhash.Alike.of(10**5).tables
+
+
 def _likeness(a, b):
     a, b = ({tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in (a, b))
     return len(a & b) / len(a | b)
