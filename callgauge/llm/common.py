@@ -81,14 +81,15 @@ def bounded_sample(df: DataFrame, key: str, bound: int, seed: int) -> DataFrame:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, names: tuple[str, ...], bound: int, seed: int) -> DataFrame:
-    """doc_id, text and the label columns ``names`` of about ``bound`` labelled rows.
+    """doc_id, text and the label columns ``names`` of about ``bound`` labelled documents, one row for each doc_id.
 
     Labels without an id or without any of ``names`` are left out; of repeated ids the largest
-    label counts. The sample of labels is bounded, so it is broadcast and no text is shuffled.
+    label counts, and of their texts that of the least hash. The sample of labels is bounded, so it is broadcast and only its texts are shuffled.
     """
     known = labels.dropna(subset=["doc_id", *names]).groupBy("doc_id").agg(*(F.max(n).alias(n) for n in names))
     some = bounded_sample(known, "doc_id", bound, seed)
-    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    met = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    return met.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), *(F.max(n).alias(n) for n in names))
 
 
 def appended(docs: DataFrame, inputs: list[str], added: str, start: Callable[[], Callable[..., list[pa.Array]]]) -> DataFrame:

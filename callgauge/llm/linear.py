@@ -25,10 +25,10 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_logistic(rows: Rows, dense: np.ndarray, y: np.ndarray, use: np.ndarray, penalty: float = 1.0, steps: int = 150) -> np.ndarray:
+def fit_logistic(rows: Rows, dense: np.ndarray, y: np.ndarray, use: np.ndarray, known: np.ndarray | None = None, penalty: float = 1.0, steps: int = 150) -> np.ndarray:
     """Weights of columns, of dense columns and of the intercept, by accelerated gradient steps.
 
-    use: which rows are trained on; penalty: on squared weights, in rows.
+    use: which rows are trained on; known: which columns may have weights (all); penalty: on squared weights, in rows.
     """
     k = dense.shape[1]
     n = max(1, int(use.sum()))
@@ -41,6 +41,8 @@ def fit_logistic(rows: Rows, dense: np.ndarray, y: np.ndarray, use: np.ndarray,
         g = np.where(use, sigmoid(z) - y, 0.0)
         grad = np.concatenate((rows.transposed_dot(g), dense.T @ g, [g.sum()])) / n
         grad[:-1] += penalty / n * w[:-1]
+        if known is not None:
+            grad[: rows.width][~known] = 0
         size = np.maximum(0.99 * size, np.abs(grad))
         v = 0.9 * v + grad / size
         w = w - 0.1 * rate * v * (1 - step / steps)

@@ -3,8 +3,9 @@
 Rule statistics of each text (symbols, repeated lines and words, capitals, exclamation marks, word lengths) go into
 an isolation forest: trees of random splits, in which a document that is unlike the others comes
 to stand alone after few splits. The anomaly score is 2 to the power of minus the mean path length over that expected.
-The forest is grown on the good rows among at most ``SAMPLE`` labelled ones, within the box that all of these
-span, and the cut is set on their labels, a rejected good document counting as ``FALSE_COST`` missed bad ones. Hard limits (``base_failed``) come before it.
+The forest is grown on the good rows among at most ``SAMPLE`` labelled documents, within the box that all of these
+span: where bad rows are as common as one in ten, a forest grown on all rows takes them for a group and isolates none. The cut is set on their
+labels, a rejected good document counting as ``FALSE_COST`` missed bad ones. Hard limits (``base_failed``) come before it.
 
 One pass over whole texts without a shuffle; only the sampled rows' statistics reach the driver.
 
@@ -125,20 +126,10 @@ class Forest:
         return 2.0 ** (-total / len(self.column) / self.scale)
 
 
-def separations(x: np.ndarray, bad: np.ndarray) -> np.ndarray:
-    """For each column, the largest gap between the distributions of good and bad rows, squared (0.01 at least)."""
-    out = []
-    for column in x.T:
-        at = np.unique(column)
-        gap = np.searchsorted(np.sort(column[bad]), at, "right") / max(1, bad.sum()) - np.searchsorted(np.sort(column[~bad]), at, "right") / max(1, (~bad).sum())
-        out.append(max(0.01, float(np.abs(gap).max()) ** 2))
-    return np.array(out)
-
-
-def grow_forest(x: np.ndarray, low: np.ndarray, high: np.ndarray, weights: np.ndarray, seed: int = 11, trees: int = TREES, tree_rows: int = TREE_ROWS) -> Forest:
+def grow_forest(x: np.ndarray, low: np.ndarray, high: np.ndarray, seed: int = 11, trees: int = TREES, tree_rows: int = TREE_ROWS) -> Forest:
     """Trees of random columns and split values, each on a random part of the rows ``x``.
 
-    A column is drawn in proportion to its weight. Split values are uniform over the box that a node covers, which is [low, high] at the root: so
+    Columns are drawn evenly. Split values are uniform over the box that a node covers, which is [low, high] at the root: so
     a tree also cuts through regions that hold none of the rows, and what falls there is isolated early.
     """
     rng = np.random.default_rng(seed)
@@ -154,7 +145,7 @@ def grow_forest(x: np.ndarray, low: np.ndarray, high: np.ndarray, weights: np.nd
             if level >= depth or len(part) < 2 or len(open_) == 0:
                 nodes[at] = [-1, 0.0, 0, level + expected_path(len(part))]
                 continue
-            c = int(rng.choice(open_, p=weights[open_] / weights[open_].sum()))
+            c = int(rng.choice(open_))
             v = float(rng.uniform(a[c], b[c]))
             right = part[:, c] >= v
             nodes[at] = [c, v, len(nodes), 0.0]
@@ -184,7 +175,7 @@ def fit_forest(docs: DataFrame, labels: DataFrame, label: str = "quality", sampl
     if not 0 < bad.sum() < len(bad):
         return None
     x = np.array([r.rates for r in rows])
-    forest = grow_forest(x[~bad], x.min(0), x.max(0), separations(x, bad), seed)
+    forest = grow_forest(x[~bad], x.min(0), x.max(0), seed)
     forest.cut = best_threshold(forest.scores(x), bad, FALSE_COST)
     return forest
 

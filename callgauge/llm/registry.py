@@ -16,7 +16,8 @@ VOCABULARY = tokenizer_path("byte_bpe_50k.json")
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    chain = toxicity.fit_chain(docs, table(spark, sf_dir, "labels"), ("toxic",))
+    labels = table(spark, sf_dir, "labels").withColumn("toxic_junk", F.when(F.col("quality") == 0, F.col("toxic")).otherwise(F.col("toxic") * 0))
+    chain = toxicity.fit_chain(docs, labels, ("toxic", "toxic_junk"))
     return toxicity.score_toxicity(docs, chain).drop("text")
 
 
