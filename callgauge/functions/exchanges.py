@@ -48,9 +48,13 @@ def is_object(value: Column) -> Column:
 
 
 def _filled(value: Column, path: str) -> Column:
-    """The string at a path; null if it is absent, null, empty, zero or false."""
-    text = F.try_variant_get(value, path, "string")
-    return F.when(~text.isin("", "false", "0", "[]", "{}"), text)
+    """The value at a path as text; null if it is absent, null, an empty text, list or object, the number zero or false."""
+    found = F.try_variant_get(value, path, "variant")
+    text, kind = F.try_variant_get(value, path, "string"), F.schema_of_variant(found)
+    number = F.try_variant_get(found, "$", "double")
+    empty = F.when(kind == "STRING", text == "").when(kind == "BOOLEAN", text == "false").when(kind == "VOID", True)
+    empty = empty.when(kind.startswith("ARRAY"), text == "[]").when(kind.startswith("OBJECT"), text == "{}").otherwise(number == 0)
+    return F.when(~F.coalesce(empty, F.lit(False)), text)
 
 
 def model_id(request: Column, response: Column) -> Column:

@@ -26,9 +26,10 @@ def subset_filter(subset: str) -> Column:
 
 
 def with_task_flags(calls: DataFrame, refusal_tasks: DataFrame) -> DataFrame:
-    """Calls and should_refuse of their task (null if unknown); of repeated task ids the last one stated counts. Tasks are a few rows, broadcast."""
-    flags = refusal_tasks.groupBy("task_id").agg(F.last("should_refuse").alias("should_refuse"))
-    return calls.join(F.broadcast(flags.withColumnRenamed("task_id", "eval_task_id")), "eval_task_id", "left")
+    """Calls and should_refuse of their task (null if unknown); of repeated task ids the one stated last counts, in order of files, partitions and rows."""
+    stated = refusal_tasks.select("task_id", "should_refuse", F.monotonically_increasing_id().alias("_place"))
+    flags = stated.groupBy("task_id").agg(F.max_by("should_refuse", "_place").alias("should_refuse"))
+    return calls.join(flags.withColumnRenamed("task_id", "eval_task_id"), "eval_task_id", "left")
 
 
 def strict_rate() -> Column:
@@ -63,17 +64,18 @@ def metric_points(calls: DataFrame, refusal_tasks: DataFrame, latency_ok_only: b
 
 
 def rolling_rate(calls: DataFrame, seconds: int = 60) -> DataFrame:
-    """Calls of the same provider in the ``seconds`` up to each call, for holding against a cap.
+    """Calls of the same provider in the ``seconds`` up to each call, for holding against a cap; null for a call without a time.
 
-    A long history of one provider is dealt out by day too: a day's calls and the last ``seconds`` of the day before meet in one group.
+    A long history of one provider is dealt out by day too: a day's calls and those of the last ``seconds`` before it meet in one group.
     """
     from pyspark.sql import Window
 
     near = F.expr(f"INTERVAL {int(seconds)} SECONDS")
-    days = F.array_distinct(F.array(F.to_date("timestamp"), F.to_date(F.col("timestamp") + near)))
-    dealt = calls.withColumn("_day", F.explode(days))
+    days = F.sequence(F.to_date("timestamp"), F.to_date(F.col("timestamp") + near))
+    dealt = calls.withColumn("_day", F.explode_outer(days))
     seen = Window.partitionBy("provider", "_day").orderBy(F.col("timestamp").cast("timestamp_ntz").cast("timestamp").cast("double")).rangeBetween(-seconds, 0)
-    return dealt.withColumn("calls_in_window", F.count("*").over(seen)).filter(F.col("_day") == F.to_date("timestamp")).drop("_day")
+    counted = dealt.withColumn("calls_in_window", F.when(F.col("timestamp").isNotNull(), F.count("*").over(seen)))
+    return counted.filter(F.col("_day").eqNullSafe(F.to_date("timestamp"))).drop("_day")
 
 
 #: Different p-values that one task ranks at a time.

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import answers, exchanges, json_checks
 from ..operators import grading, metrics, normalize, reads, sampling
+from ..schemas import CALL_LOG, RAW_EXCHANGES
 from ..sources import tasks as task_sets
+from ..sources.sqlite_source import read_sqlite
 from ..sources.store import CallStore
+from ..streaming import capture
 from . import views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,12 +72,18 @@ def _choice_tasks(spark: SparkSession) -> DataFrame:
 
 
 def graded_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The call log with its scores: three kinds of task, graded apart and brought together."""
+    """The call log with its scores, in one pass."""
+    return grading.grade_calls(views.call_log(spark, sf_dir), _choice_tasks(spark), task_sets.FORMAT_TASKS)
+
+
+@query("SELECT log_id, eval_task_type, eval_score FROM graded UNION ALL SELECT log_id, eval_task_type, eval_score FROM graded WHERE eval_task_type = 'refusal'")
+def batches_together(spark, sf_dir):
+    """The three kinds of task graded apart and brought together, repeats included."""
     calls = views.call_log(spark, sf_dir)
     of = lambda kind: calls.filter(F.col("eval_task_type") == kind)
-    accuracy = grading.grade_accuracy(of("accuracy"), _choice_tasks(spark))
-    formats = grading.grade_format(of("format"), task_sets.FORMAT_TASKS)
-    return grading.union_batches(accuracy, formats, grading.grade_refusals(of("refusal")))
+    refusals = grading.grade_refusals(of("refusal"))
+    parts = grading.grade_accuracy(of("accuracy"), _choice_tasks(spark)), grading.grade_format(of("format"), task_sets.FORMAT_TASKS), refusals, refusals
+    return grading.union_batches(*(p.select("log_id", "eval_task_type", "eval_score") for p in parts))
 
 
 # Normalization
@@ -366,17 +375,9 @@ def rolling_rate(spark, sf_dir):
     return metrics.rolling_rate(views.call_log(spark, sf_dir).select("log_id", "provider", "timestamp")).select("log_id", "provider", "calls_in_window")
 
 
-@query(f"""SELECT id, provider, round(least(1.0, min(p_value_raw * m / r) OVER (PARTITION BY provider ORDER BY r DESC ROWS UNBOUNDED PRECEDING)), 9) AS p_value_corrected FROM (
-SELECT *, count(p_value_raw) OVER (PARTITION BY provider) AS m, row_number() OVER (PARTITION BY provider ORDER BY p_value_raw NULLS LAST, id) AS r FROM ({_EVENTS.replace('{call_log}', 'call_log')}) WHERE id < 3000)""")
-def bh_adjust(spark, sf_dir):
-    tests = _events(spark, sf_dir).filter("id < 3000").select("id", "provider", "p_value_raw")
-    return metrics.bh_adjust(tests, ["provider"]).select("id", "provider", F.round("p_value_corrected", 9).alias("p_value_corrected"))
-
-
 @query(f"""SELECT id, provider, round(least(1.0, min(p_value_raw * m / r) OVER (PARTITION BY provider ORDER BY r DESC ROWS UNBOUNDED PRECEDING)), 9) AS p_value_corrected FROM (
 SELECT *, count(p_value_raw) OVER (PARTITION BY provider) AS m, row_number() OVER (PARTITION BY provider ORDER BY p_value_raw NULLS LAST, id) AS r FROM ({_EVENTS.replace('{call_log}', 'call_log')}))""")
-def bh_adjust_all(spark, sf_dir):
-    """All events; ``bh_adjust``, whose SQL is fixed, covers those with id < 3000."""
+def bh_adjust(spark, sf_dir):
     tests = _events(spark, sf_dir).select("id", "provider", "p_value_raw")
     return metrics.bh_adjust(tests, ["provider"]).select("id", "provider", F.round("p_value_corrected", 9).alias("p_value_corrected"))
 
@@ -385,14 +386,61 @@ def bh_adjust_all(spark, sf_dir):
 
 
 def _scratch(spark: SparkSession) -> str:
+    """A new folder below the one that the cluster shares; a temporary one in local mode only."""
     import tempfile
     import uuid
 
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{shared or tempfile.mkdtemp(prefix='callgauge-')}/{uuid.uuid4().hex}"
 
 
-@query(_POINTS.replace("max(timestamp)", "max(timestamp)"))
+@query("SELECT log_id, timestamp, 'proxy' AS integration_path, provider, outcome, latency_ms FROM call_log WHERE host <> 'example.com' AND event_id % 29 <> 0")
+def captured_calls(spark, sf_dir):
+    """Exchanges that went through the capturing stream, all of them twice, into a store."""
+    where = _scratch(spark)
+    raw = views.exchanges(spark, sf_dir).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    columns = [c.split() for c in RAW_EXCHANGES.split(", ")]
+    raw = raw.select(*(F.col(n).cast(t) for n, t in columns))
+    raw.unionByName(raw).write.parquet(f"{where}/in")
+    store = CallStore(spark, f"{where}/store")
+    capture.capture(capture.read_exchanges(spark, f"{where}/in", "parquet"), store, f"{where}/checkpoint", integration_path="proxy", late="60 days", trigger={"availableNow": True}).awaitTermination()
+    return store.calls().select("log_id", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "integration_path", "provider", "outcome", "latency_ms")
+
+
+@query(_POINTS)
+def run_once_points(spark, sf_dir):
+    """Points of graded calls that came in two batches of the evaluating stream, the runs divided between them."""
+    where = _scratch(spark)
+    graded = normalize.with_defaults(graded_calls(spark, sf_dir).withColumn("timestamp", F.col("timestamp").cast("timestamp")))
+    graded.withColumn("_half", F.pmod(F.xxhash64("log_id"), F.lit(2))).repartition("_half").drop("_half").write.option("maxRecordsPerFile", 1_000_000).parquet(f"{where}/in")
+    store = CallStore(spark, f"{where}/store")
+    arrived = spark.readStream.schema(graded.schema).option("maxFilesPerTrigger", 1).parquet(f"{where}/in")
+    capture.run_forever(arrived, views.refusal_tasks(spark), store, f"{where}/checkpoint", 0).awaitTermination()
+    points = store.table("metric_series").withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+    return _rounded(points.drop("id"))
+
+
+@query("SELECT log_id, timestamp, provider, model_id, outcome, latency_ms, eval_run_id, eval_task_type FROM call_log WHERE outcome <> 'timeout'")
+def sqlite_scan(spark, sf_dir):
+    """The call log out of an SQLite file, read in several ranges."""
+    import os
+    import sqlite3
+
+    path, names = _scratch(spark) + ".db", [c.split()[0] for c in CALL_LOG.split(", ")]
+    local = path.removeprefix("file:")
+    os.makedirs(os.path.dirname(local), exist_ok=True)
+    calls = normalize.with_defaults(views.call_log(spark, sf_dir).withColumn("timestamp", F.col("timestamp").cast("timestamp")))
+    rows = calls.withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS")).select(*names).toLocalIterator()
+    with sqlite3.connect(local) as db:
+        db.execute(f"CREATE TABLE log_rows ({', '.join(names)})")
+        db.executemany(f"INSERT INTO log_rows VALUES ({', '.join('?' * len(names))})", (tuple(r) for r in rows))
+    found = read_sqlite(spark, local, rows_per_partition=500).filter("outcome <> 'timeout'")
+    return found.select("log_id", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "provider", "model_id", "outcome", "latency_ms", "eval_run_id", "eval_task_type")
+
+
+@query(_POINTS)
 def stream_metric_points(spark, sf_dir):
     """The points of calls that went through a stream into a folder, one availableNow run."""
     graded, where = graded_calls(spark, sf_dir), _scratch(spark)

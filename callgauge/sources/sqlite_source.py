@@ -25,6 +25,7 @@ class RowRange(InputPartition):
 class SqliteReader(DataSourceReader):
     def __init__(self, schema, options) -> None:
         self.schema, self.path, self.table = schema, options["path"], options.get("table", "log_rows")
+        self.rows = int(options.get("rowsPerPartition", ROWS_PER_PARTITION))
 
     def _open(self) -> sqlite3.Connection:
         return sqlite3.connect(f"file:{self.path}?mode=ro", uri=True)
@@ -37,7 +38,7 @@ class SqliteReader(DataSourceReader):
             low, high = db.execute(f"SELECT min(rowid), max(rowid) FROM {self._quoted(self.table)}").fetchone()
         if low is None:
             return [RowRange(0, 0)]
-        return [RowRange(a, min(a + ROWS_PER_PARTITION, high + 1)) for a in range(low, high + 1, ROWS_PER_PARTITION)]
+        return [RowRange(a, min(a + self.rows, high + 1)) for a in range(low, high + 1, self.rows)]
 
     def read(self, partition: RowRange) -> Iterator[tuple]:
         from datetime import datetime, timezone
@@ -70,7 +71,7 @@ class SqliteSource(DataSource):
         return SqliteReader(schema, self.options)
 
 
-def read_sqlite(spark: SparkSession, path: str, table: str = "log_rows", schema: str | None = None):
+def read_sqlite(spark: SparkSession, path: str, table: str = "log_rows", schema: str | None = None, rows_per_partition: int = ROWS_PER_PARTITION):
     spark.dataSource.register(SqliteSource)
-    reader = spark.read.format("callgauge_sqlite").option("path", path).option("table", table)
+    reader = spark.read.format("callgauge_sqlite").option("path", path).option("table", table).option("rowsPerPartition", rows_per_partition)
     return (reader.schema(schema) if schema else reader).load()

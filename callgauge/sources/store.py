@@ -11,7 +11,7 @@ TABLES = {"log_rows": schemas.CALL_LOG, "metric_series": schemas.METRIC_SERIES,
 
 
 class CallStore:
-    """Tables are made if missing. The call log is partitioned by day, so time ranges prune files."""
+    """Tables are made if missing. The call log is partitioned by day, so time ranges prune files; the metric series by run, so a run's points can be replaced."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
@@ -19,11 +19,13 @@ class CallStore:
             empty = spark.createDataFrame([], schema)
             if name == "log_rows":
                 empty = empty.withColumn("log_date", F.to_date("timestamp"))
-            empty.write.mode("ignore").parquet(f"{self.path}/{name}")
+            by = {"log_rows": ["log_date"], "metric_series": ["run_id"]}.get(name, [])
+            empty.write.mode("ignore").partitionBy(*by).parquet(f"{self.path}/{name}")
 
     def table(self, name: str) -> DataFrame:
         schema = TABLES[name] + (", log_date date" if name == "log_rows" else "")
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+        found = self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+        return found.select(*(c.split()[0] for c in schema.split(", ")))
 
     def calls(self, start=None, end=None) -> DataFrame:
         """The call log; ``start`` and ``end`` (both included) prune the days read."""
@@ -35,24 +37,46 @@ class CallStore:
         return found.drop("log_date")
 
     def write_calls(self, calls: DataFrame) -> None:
-        """Appends the calls whose log_id isn't stored yet, one of each; an id counts as stored if it is on the same day."""
-        new = calls.dropDuplicates(["log_id"]).withColumn("log_date", F.to_date("timestamp"))
-        stored = self.table("log_rows").select("log_id", "log_date")
-        new.join(stored, ["log_id", "log_date"], "left_anti").write.mode("append").partitionBy("log_date").parquet(f"{self.path}/log_rows")
+        """Appends the calls whose log_id isn't stored yet, one of each; an id counts as stored if it is on the same day.
+
+        Only the stored days from the first to the last of ``calls`` are read.
+        """
+        new = calls.dropDuplicates(["log_id"]).withColumn("log_date", F.to_date("timestamp")).persist()
+        try:
+            days = new.agg(F.min("log_date").alias("first"), F.max("log_date").alias("last")).first()
+            stored = self.table("log_rows").filter(F.col("log_date").isNull() | F.col("log_date").between(F.lit(days.first), F.lit(days.last)))
+            ids = stored.select(F.col("log_id").alias("_id"), F.col("log_date").alias("_date"))
+            fresh = new.join(ids, (F.col("log_id") == F.col("_id")) & F.col("log_date").eqNullSafe(F.col("_date")), "left_anti")
+            fresh.write.mode("append").partitionBy("log_date").parquet(f"{self.path}/log_rows")
+        finally:
+            new.unpersist()
+
+    def calls_of_runs(self, runs: DataFrame, run_days: int = 7) -> DataFrame:
+        """All stored calls of ``runs`` (eval_run_id, timestamp of some of its calls); a run lasts at most ``run_days`` days."""
+        days = runs.agg(F.min(F.to_date("timestamp")).alias("first"), F.max(F.to_date("timestamp")).alias("last")).first()
+        near = F.col("log_date").between(F.date_sub(F.lit(days.first), run_days), F.date_add(F.lit(days.last), run_days)) if days.first else F.lit(True)
+        stored = self.table("log_rows").filter(F.col("log_date").isNull() | near).drop("log_date")
+        return stored.join(runs.select("eval_run_id").distinct(), "eval_run_id", "left_semi")
 
     def write_points(self, points: DataFrame) -> None:
+        """Appends points."""
         self._append("metric_series", points)
 
+    def replace_points(self, points: DataFrame) -> None:
+        """Writes points in the place of all stored ones of their runs, so writing them again changes nothing."""
+        self._append("metric_series", points, "overwrite")
+
     def write_events(self, events: DataFrame) -> DataFrame:
         """Appends change-point events and returns them with their ids."""
         return self._append("changepoint_events", events)
 
-    def _append(self, name: str, rows: DataFrame) -> DataFrame:
+    def _append(self, name: str, rows: DataFrame, mode: str = "append") -> DataFrame:
         """Ids go on from the largest stored; they are unique and grow, with gaps between partitions."""
         last = self.table(name).agg(F.max("id")).first()[0] or 0
         columns = [c.split() for c in TABLES[name].split(", ")]
         ready = rows.withColumn("id", F.lit(last + 1) + F.monotonically_increasing_id())
         ready = ready.select(*(F.col(n).cast(t) if n in ready.columns else F.lit(False if t == "boolean" else None).cast(t).alias(n) for n, t in columns))
         before = self.table(name).count()
-        ready.write.mode("append").parquet(f"{self.path}/{name}")
+        writer = ready.write.mode(mode).option("partitionOverwriteMode", "dynamic")
+        (writer.partitionBy("run_id") if name == "metric_series" else writer).parquet(f"{self.path}/{name}")
         return self.table(name).filter(F.col("id") > last) if before else self.table(name)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import schemas
 
@@ -48,6 +49,10 @@ def dataset(spark: SparkSession, path: str, kind: str = "parquet", schema: str |
 
 
 def freeze(tasks: DataFrame, path: str) -> DataFrame:
-    """The task set as first written to ``path``; a later call reads what is there and writes nothing."""
-    tasks.coalesce(1).write.mode("ignore").json(path)  # a task set is a few dozen rows
-    return tasks.sparkSession.read.schema(tasks.schema).json(path)
+    """The task set as first written to ``path``, one JSON array; a later call reads what is there and writes nothing.
+
+    ``choice_tasks`` and ``refusal_tasks`` read what was frozen. A task set is a few dozen rows, which meet in one.
+    """
+    whole = tasks.agg(F.to_json(F.array_sort(F.collect_list(F.struct("*")))).alias("value"))
+    whole.coalesce(1).write.mode("ignore").text(path)
+    return tasks.sparkSession.read.schema(tasks.schema).json(path, multiLine=True)
