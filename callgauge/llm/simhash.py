@@ -39,6 +39,8 @@ from .common import discard, hot_join, settled
 from .components import connected_components
 
 SMALL_GROUP = 24
+#: Members of one tree of nearest links.
+TREE = 2048
 
 
 @dataclass(frozen=True)
@@ -313,18 +315,16 @@ def _sets(shingle: int):
 
 
 def _tables(scheme: Alike):
-    """Each fingerprint under its picked bits of every table, with its root."""
+    """Each fingerprint under its picked bits of every table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         picks, power = scheme.picks(), (1 << np.arange(scheme.bits)).astype(np.float64)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                fp = _unbinary(part.column(0))
+                fp = _unbinary(batch.slice(at, 1024).column(0))
                 bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8), axis=1, bitorder="little").astype(np.float64)
                 keys = [(bits[:, p] @ power).astype(np.int64) | t << scheme.bits for t, p in enumerate(picks)]
-                roots = pa.chunked_array([part.column(1)] * len(keys), pa.binary()).combine_chunks()
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), _binary(np.tile(fp, (len(keys), 1))), roots], names=["signature", "fp", "root"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), _binary(np.tile(fp, (len(keys), 1)))], names=["signature", "fp"])
 
     return run
 
@@ -335,21 +335,41 @@ def _first_table(differ: np.ndarray, masks: np.ndarray) -> np.ndarray:
     return np.concatenate(parts) if parts else np.empty(0, np.int64)
 
 
-def _propose(scheme: Alike, forest: bool):
+def _nearest_forest(fp: np.ndarray, most: int) -> np.ndarray:
+    """Links that connect each member of a group to the nearest of those before it, grown from the first: (link, end, word).
+
+    Nearest links are the likeliest to hold when their shingle sets are compared. Members beyond ``TREE`` start trees of their own,
+    from the same first member.
+    """
+    edges = [np.empty((0, 2, fp.shape[1]), np.uint64)]
+    for at in range(1, len(fp), TREE):
+        left, from_ = fp[at : at + TREE], fp[:1]
+        from_ = np.repeat(from_, len(left), 0)
+        far = _distance(left ^ from_)
+        found = []
+        while len(left):
+            k = int(far.argmin())
+            x = left[k].copy()
+            if far[k] <= most:
+                found.append((from_[k].copy(), x))
+            left[k], from_[k], far[k] = left[-1], from_[-1], far[-1]  # the last one takes its place
+            left, from_, far = left[:-1], from_[:-1], far[:-1]
+            own = _distance(left ^ x)
+            nearer = own < far
+            far[nearer], from_[nearer] = own[nearer], x
+        if found:
+            edges.append(np.array(found, np.uint64))
+    return np.concatenate(edges)
+
+
+def _propose(scheme: Alike):
     """Pairs that meet and differ in few enough bits, and if they were found in a large group.
 
-    forest: large groups report a spanning forest; otherwise all pairs of different roots.
+    Large groups report a forest that connects all that are near enough, and one of nearest links.
     """
     masks = scheme.masks()
 
-    def counted(key: int, fp: np.ndarray, x: int, others: np.ndarray) -> np.ndarray:
-        """Pairs of one member and others, near enough and counted under this key."""
-        differ = fp[others] ^ fp[x]
-        good = _distance(differ) <= scheme.most
-        good[good] = _first_table(differ[good], masks) == key >> scheme.bits
-        return np.stack((np.tile(fp[x], (good.sum(), 1)), fp[others[good]]), 1)
-
-    def links(key: np.ndarray, fp: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def links(key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
         def out(pairs: np.ndarray, large: bool) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([_binary(pairs[:, 0]), _binary(pairs[:, 1]), pa.array(np.full(len(pairs), large))], names=["src", "dst", "large"])
 
@@ -364,44 +384,38 @@ def _propose(scheme: Alike, forest: bool):
                 break
             differ = fp[at] ^ fp[at + shift]
             good = _distance(differ) <= scheme.most
-            if not forest:
-                good &= root[at] != root[at + shift]
             good[good] = _first_table(differ[good], masks) == key[at[good]] >> scheme.bits
             found.append(np.stack((fp[at[good]], fp[at[good] + shift]), 1))
         yield out(np.concatenate(found), False)
         for i in np.flatnonzero(size > SMALL_GROUP):
-            group = slice(begin[i], begin[i] + size[i])
-            if forest:
-                yield out(_forest(fp[group], scheme.most), True)
-            else:
-                for x in range(size[i] - 1):
-                    others = x + 1 + np.flatnonzero(root[group][x + 1 :] != root[group][x])
-                    if len(others):
-                        yield out(counted(key[begin[i]], fp[group], x, others), True)
+            group = fp[begin[i] : begin[i] + size[i]]
+            yield out(np.concatenate((_forest(group, scheme.most).reshape(-1, 2, BITS // 64), _nearest_forest(group.copy(), scheme.most))), True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = lambda b: (b.column(0).to_numpy(zero_copy_only=False), _unbinary(b.column(1)), np.full(b.num_rows, None) if forest else b.column(2).to_numpy(zero_copy_only=False))
-        for group in _whole_groups(map(read, batches)):
+        for group in _whole_groups((b.column(0).to_numpy(zero_copy_only=False), _unbinary(b.column(1))) for b in batches):
             yield from links(*group)
 
     return run
 
 
-def _proposed(fps: DataFrame, scheme: Alike, forest: bool) -> DataFrame:
-    """(src, dst, large) of the distinct pairs among ``fps`` (fp, root)."""
-    signatures = fps.mapInArrow(_tables(scheme), "signature long, fp binary, root binary")
-    if forest:
-        signatures = signatures.select("signature", "fp")
+def _proposed(fps: DataFrame, scheme: Alike) -> DataFrame:
+    """(src, dst, large) of the distinct pairs among ``fps`` (fp), settled."""
+    signatures = fps.mapInArrow(_tables(scheme), "signature long, fp binary")
     dealt = signatures.repartition("signature").sortWithinPartitions("signature")
-    pairs = dealt.mapInArrow(_propose(scheme, forest), "src binary, dst binary, large boolean")
+    pairs = dealt.mapInArrow(_propose(scheme), "src binary, dst binary, large boolean")
     return settled(pairs.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.max("large").alias("large")))
 
 
+def _shingle_sets(nodes: DataFrame, texts: DataFrame, prints: DataFrame, shingle: int) -> DataFrame:
+    """(fp, runs) of the fingerprints ``nodes``, settled."""
+    chosen = prints.groupBy("fp").agg(F.min("row.key").alias("key")).join(nodes, "fp", "left_semi")
+    return settled(texts.join(chosen, "key").select("fp", "bytes").mapInArrow(_sets(shingle), "fp binary, runs array<bigint>"))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, prints: DataFrame, shingle: int) -> DataFrame:
     """The pairs whose shingle sets are alike by 0.8 or more, settled; a node often linked is a skewed key of joins that repeat one row."""
     nodes = pairs.select(F.col("src").alias("fp")).unionByName(pairs.select(F.col("dst").alias("fp"))).distinct()
-    chosen = prints.groupBy("fp").agg(F.min("row.key").alias("key")).join(nodes, "fp", "left_semi")
-    sets = settled(texts.join(chosen, "key").select("fp", "bytes").mapInArrow(_sets(shingle), "fp binary, runs array<bigint>"))
+    sets = _shingle_sets(nodes, texts, prints, shingle)
     met = pairs.join(sets.toDF("src", "_a"), "src").join(sets.toDF("dst", "_b"), "dst")
     both = F.size(F.array_intersect("_a", "_b"))
     found = settled(met.filter(both * 9 >= (F.size("_a") + F.size("_b")) * 4).select("src", "dst"))  # both / union >= 0.8 in whole numbers
@@ -409,29 +423,85 @@ def _verified(pairs: DataFrame, texts: DataFrame, prints: DataFrame, shingle: in
     return found
 
 
+#: Members of a cluster that meet in one block, and columns of the sets held at a time; a tile compares two blocks.
+BLOCK, COLUMNS = 256, 1 << 14
+
+
+def _alike(sets: list[np.ndarray]) -> np.ndarray:
+    """For each two sets, whether they are alike by 0.8 or more."""
+    size = np.array([len(x) for x in sets], np.float64)
+    _, column = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), size.astype(np.int64))
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(sets), len(sets)))
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, (at, at + COLUMNS))
+        part = np.zeros((len(sets), COLUMNS), np.float32)
+        part[row[a:b], column[a:b] - at] = 1
+        both += part @ part.T
+    return both * 9 >= (size[:, None] + size) * 4
+
+
+def _tile_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come in order of tile; links alike by 0.8 or more that join different roots, as few as connect them."""
+    read = lambda b: (*(b.column(c).to_numpy(zero_copy_only=False) for c in (0, 1)), _unbinary(b.column(2)), *(b.column(c).to_numpy(zero_copy_only=False) for c in (3, 4)))
+    for columns in _whole_groups(map(read, batches)):
+        begin = np.flatnonzero(np.concatenate(([True], columns[0][1:] != columns[0][:-1])))
+        for a, b in zip(begin, np.append(begin[1:], len(columns[0]))):
+            _, block, fp, root, runs = (c[a:b] for c in columns)
+            _, group = np.unique(root.astype(object), return_inverse=True)
+            apart = group[:, None] != group
+            if block.min() != block.max():  # pairs within a block belong to its own tile
+                apart &= block[:, None] != block
+            if not apart.any():
+                continue
+            found = []
+            for i, j in np.argwhere(np.triu(_alike(list(runs)) & apart)):
+                if group[i] != group[j]:
+                    found.append((fp[i], fp[j]))
+                    group[group == group[j]] = group[i]
+            if found:
+                pairs = np.array(found, np.uint64)
+                yield pa.RecordBatch.from_arrays([_binary(pairs[:, 0]), _binary(pairs[:, 1])], names=["src", "dst"])
+
+
+def _left_apart(large: DataFrame, roots: DataFrame, texts: DataFrame, prints: DataFrame, shingle: int) -> DataFrame:
+    """Links between members of one cluster of ``large`` pairs that ``roots`` leave apart, settled.
+
+    All members of a cluster are compared, in tiles of two blocks each, so no task holds a whole cluster and only links that join are reported.
+    """
+    clusters = settled(connected_components(large).withColumnRenamed("node", "fp").withColumnRenamed("root", "cluster"))
+    members = settled(clusters.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "cluster", F.coalesce("root", "fp").alias("root")))
+    several = settled(members.groupBy("cluster").agg(F.count("*").alias("n"), (F.min("root") != F.max("root")).alias("several")).filter("several").select("cluster", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), "n"))
+    chosen = settled(hot_join(members, several, ["cluster"], "n", members.count()).drop("n"))
+    sets = _shingle_sets(chosen.select("fp"), texts, prints, shingle)
+    block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    placed = chosen.join(sets, "fp").select("fp", "cluster", "root", "runs", block.alias("block"), other.alias("other"))
+    tiles = placed.select(F.xxhash64("cluster", F.least("block", "other"), F.greatest("block", "other")).alias("tile"), "block", "fp", "root", "runs")
+    found = settled(tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tile_links, "src binary, dst binary"))
+    discard(clusters, members, several, chosen, sets)
+    return found
+
+
 def alike_roots(texts: DataFrame, prints: DataFrame, shingle: int, scheme: Alike | None = None) -> DataFrame:
     """(node, root) of the fingerprints linked by likeness, settled; scheme: that for their number, if none is given.
 
-    A forest may hang on pairs that turn out unlike. So the members of large groups meet a second
-    time, and all proposed pairs that the links so far leave apart are verified too.
+    The forests of large groups may hang on pairs that turn out unlike. So the members that these forests connect are compared
+    once more, on their shingle sets, where the links so far leave them apart.
     """
-    fps = settled(prints.select("fp", F.lit(None).cast("binary").alias("root")).distinct())
+    fps = settled(prints.select("fp").distinct())
     scheme = scheme or Alike.of(fps.count())
-    pairs = _proposed(fps, scheme, True)
+    pairs = _proposed(fps, scheme)
     links = _verified(pairs, texts, prints, shingle)
     roots = settled(connected_components(links))
-    large = pairs.filter("large")
+    large = pairs.filter("large").select("src", "dst")
     if not large.isEmpty():
-        members = large.select(F.col("src").alias("node")).unionByName(large.select(F.col("dst").alias("node"))).distinct()
-        again = settled(members.join(roots, "node", "left").select(F.col("node").alias("fp"), F.coalesce("root", "node").alias("root")))
-        more = _proposed(again, scheme, False)
-        rest = settled(more.join(pairs, ["src", "dst"], "left_anti"))
-        discard(again, more)
-        if not rest.isEmpty():
-            also = _verified(rest.select("src", "dst"), texts, prints, shingle)
-            roots = settled(connected_components(links.unionByName(also)))
-            discard(also)
-        discard(rest)
+        more = _left_apart(large, roots, texts, prints, shingle)
+        if not more.isEmpty():
+            roots = settled(connected_components(links.unionByName(more)))
+        discard(more)
     discard(fps, pairs, links)
     return roots
 

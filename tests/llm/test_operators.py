@@ -195,10 +195,13 @@ def test_pairs_less_alike_stay(spark):
     assert simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).count() == len(rows)
 
 
-def test_large_group_of_one_template(spark):
+@pytest.mark.parametrize("block", [256, 20])
+def test_large_group_of_one_template(spark, monkeypatch, block):
     rng = random.Random(10)
     template = [f"w{rng.randrange(10**6)}" for _ in range(300)]
     texts = [" ".join(_edited(rng, template, rng.choice((1, 4, 7, 8)))) for _ in range(120)]
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "COLUMNS", block * 10)
     root = list(range(120))
     for i in range(120):
         for j in range(i):
