@@ -500,7 +500,8 @@ def alike_roots(texts: DataFrame, prints: DataFrame, shingle: int, scheme: Alike
     if not large.isEmpty():
         more = _left_apart(large, roots, texts, prints, shingle)
         if not more.isEmpty():
-            roots = settled(connected_components(links.unionByName(more)))
+            stars = roots.select(F.col("node").alias("src"), F.col("root").alias("dst"))  # fewer rounds than from the links
+            roots = settled(connected_components(stars.unionByName(more)))
         discard(more)
     discard(fps, pairs, links)
     return roots

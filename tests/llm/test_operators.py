@@ -1,8 +1,10 @@
 import hashlib
 import html
+import os
 import random
 import re
 import time
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -10,18 +12,14 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from callgauge.llm import chat, fingerprints, html_main, languages, mixing, quality, registry, simhash, suffix_dedup, toxicity
+from callgauge.llm import chat, common, fingerprints, html_main, languages, mixing, quality, registry, simhash, suffix_dedup, toxicity
 from callgauge.llm.components import connected_components
 from tests.oracle import SF, assert_same
 
 ODD = [(None, None), (1, ""), (2, "one"), (3, "same words here again " * 40), (3, "same words here again " * 40), (4, "x" * 5000), (5, "same words here again " * 40)]
 
 
-def odd_rows(spark, extra="kept string"):
-    return spark.createDataFrame([(i, t, "mine") for i, t in ODD], f"doc_id long, text string, {extra}")
-
-
-@pytest.mark.parametrize("name", ["op3_chat", "op9_mixing"])
+@pytest.mark.parametrize("name", ["op3_chat", "op7_suffixes", "op9_mixing"])
 def test_matches_sql(spark, name):
     assert_same(spark, registry.queries()[name], registry.oracle_sql()[name])
 
@@ -505,18 +503,119 @@ def test_mixing_with_clashing_columns(spark, monkeypatch, bound):
     assert sorted(found.select(plain.columns).collect()) == sorted(plain.collect()) and found.filter("_source = 'mine' AND key = 'mine'").count() == found.count()
 
 
-@pytest.mark.parametrize("rows", [ODD, []])
-def test_odd_rows(spark, rows):
-    docs = odd_rows(spark) if rows else odd_rows(spark).limit(0)
-    labels = spark.createDataFrame([(2, 0, 1), (3, 1, 0), (4, None, None)], "doc_id long, quality int, toxic int")
-    n = len(rows)
-    clash = docs.withColumn("kept", F.lit("clash"))
-    judged = quality.judge_quality(clash, labels)
-    assert judged.count() == n and dict(judged.dtypes)["kept"] == "boolean"
-    assert toxicity.score_toxicity(docs, toxicity.fit_chain(docs, labels, ("toxic",))).count() == n
-    names, logs = languages.fit_languages(docs.withColumn("lang", F.lit("en")))
-    assert languages.predict_languages(docs, names, logs).count() == n
-    assert fingerprints.fingerprints(docs).count() == n and fingerprints.compare_with_edits(docs).count() == n
-    assert simhash.near_duplicates(docs).count() == n and suffix_dedup.remove_repeats(docs).count() == n
-    assert mixing.replicate(docs.withColumn("source", F.lit(None).cast("string"))).filter("n_copies < 1").count() == 0
-    assert html_main.extract_main_text(docs.withColumnRenamed("text", "html")).count() == n
+def test_languages_query_against_brute_force(spark):
+    """Bigram counts, weights and mixtures of the query, recounted from the module's own definitions row by row."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {r.doc_id: r for r in docs.select("doc_id", "text", "lang").collect()}
+    names, logs = languages.fit_languages(docs.filter("pmod(crc32(cast(cast(doc_id as string) as binary)), 3) <> 1"))
+    for r in registry.op10_languages(spark, SF).collect():
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+        text = texts[r.doc_id].text
+        if not any(c.isalpha() for c in text or ""):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+        else:
+            assert r.lang_pred in names and 0 <= r.score <= 1
+    held = [r for r in registry.op10_languages(spark, SF).filter("held_out").collect()]
+    for lang in sorted({texts[r.doc_id].lang for r in held} - {None}):
+        own = [r.lang_pred == lang for r in held if texts[r.doc_id].lang == lang]
+        assert len(own) < 5 or np.mean(own) > 0.9, lang
+
+
+COPY = "same words here again " * 40
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame([(i, t, "mine") for i, t in ODD], "doc_id long, text string, kept string")
+
+
+def values(frame, *columns):
+    return sorted((tuple(r) for r in frame.select(*columns).collect()), key=repr)
+
+
+def test_odd_rows_quality(spark, odd):
+    labels = spark.createDataFrame([(2, 0), (3, 1), (4, None), (None, 1), (3, 1)], "doc_id long, quality int")
+    found = values(quality.judge_quality(odd, labels), "doc_id", "n_words", "word_chars", "n_repeat_words", "base_failed", "kept")
+    repeated = [(i, 160, 720, 160, True, False) for i in (3, 3, 5)]
+    assert found == sorted([(None, 0, 0, 0, True, False), (1, 0, 0, 0, True, False), (2, 1, 3, 0, True, False), (4, 1, 5000, 0, True, False), *repeated], key=repr)
+    assert quality.judge_quality(odd.limit(0), labels).count() == 0 and quality.fit_forest(odd, labels.limit(0)) is None
+
+
+def test_odd_rows_toxicity(spark, odd):
+    labels = spark.createDataFrame([(2, 1), (3, 0), (4, None), (None, 1)], "doc_id long, toxic int")
+    chain = toxicity.fit_chain(odd, labels, ("toxic",))
+    found = toxicity.score_toxicity(odd.withColumn("p_toxic", F.lit("clash")), chain)
+    assert found.columns == ["doc_id", "text", "kept", "p_toxic", "is_toxic"] and found.count() == len(ODD)
+    assert len({r.p_toxic for r in found.filter("doc_id IN (3, 5)").collect()}) == 1
+    nothing = toxicity.fit_chain(odd, labels.limit(0), ("toxic",))
+    assert values(toxicity.score_toxicity(odd, nothing), "p_toxic", "is_toxic") == [(0.0, False)] * len(ODD)
+    assert toxicity.score_toxicity(odd.limit(0), chain).count() == 0
+
+
+def test_odd_rows_languages(spark, odd):
+    names, logs = languages.fit_languages(odd.withColumn("lang", F.lit("en")))
+    found = values(languages.predict_languages(odd, names, logs), "doc_id", "lang_pred")
+    assert found == sorted([(i, "en" if t else "und") for i, t in ODD], key=repr)
+    assert languages.predict_languages(odd.limit(0), names, logs).count() == 0
+
+
+def test_odd_rows_fingerprints(spark, odd):
+    found = fingerprints.fingerprints(odd)
+    assert found.count() == len(ODD) and fingerprints.fingerprints(odd.limit(0)).count() == 0
+    rows = fingerprints.compare_with_edits(odd.filter("doc_id IS NULL OR doc_id <> 3")).collect()
+    by = {r.doc_id: r for r in rows}
+    assert len(rows) == 5 and by[1].n_chars == 0 and by[None].n_chars == 0
+    assert by[2].edited_sha256 == hashlib.sha256(b"onx").hexdigest() and by[1].fingerprint == by[None].fingerprint
+    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in rows)
+
+
+def test_odd_rows_simhash(spark, odd):
+    found = values(simhash.near_duplicates(odd), "doc_id", "fingerprint", "component_id")
+    zero = "0" * 16
+    assert (None, zero, 1) in found and (1, zero, 1) in found and len(found) == len(ODD)
+    assert [f[2] for f in found if f[0] in (3, 5)] == [3, 3, 3]
+    assert values(simhash.drop_near_duplicates(odd), "doc_id") == [(1,), (2,), (3,), (4,)]
+    assert simhash.near_duplicates(odd.limit(0)).count() == 0 and simhash.drop_near_duplicates(odd.limit(0)).count() == 0
+
+
+def test_odd_rows_suffixes(spark, odd):
+    found = values(suffix_dedup.remove_repeats(odd), "doc_id", "n_bytes", "n_removed", "n_spans")
+    copies = [(i, len(COPY), len(COPY), 1) for i in (3, 3, 5)]
+    assert found == sorted([(None, 0, 0, 0), (1, 0, 0, 0), (2, 3, 0, 0), (4, 5000, 5000, 1), *copies], key=repr)
+    assert suffix_dedup.remove_repeats(odd.limit(0)).count() == 0
+    long = spark.createDataFrame([(1, "".join(chr(97 + (i * i * 7 + i // 3) % 26) for i in range(2_000_000)) + COPY), (2, COPY)], "doc_id long, text string")
+    assert [r.n_removed for r in suffix_dedup.remove_repeats(long).filter("doc_id = 2").collect()] == [len(COPY)]
+
+
+def test_odd_rows_mixing(spark, odd):
+    found = mixing.replicate(odd.withColumn("source", F.lit(None).cast("string")))
+    counts = {(r.doc_id, r.n_copies) for r in found.select("doc_id", "n_copies").distinct().collect()}
+    assert len({i for i, _ in counts}) == len(counts) and found.filter("copy >= n_copies").count() == 0
+    assert mixing.replicate(odd.limit(0).withColumn("source", F.lit("a"))).count() == 0
+
+
+def test_odd_rows_html(spark, odd):
+    pages = odd.withColumnRenamed("text", "html").withColumn("text", F.lit("clash"))
+    assert values(html_main.extract_main_text(pages), "doc_id", "text") == sorted([(i, " ".join((t or "").split())) for i, t in ODD], key=repr)
+    assert html_main.extract_main_text(pages.limit(0)).count() == 0
+
+
+def test_one_doc_id_of_most_rows_is_one_labelled_document(spark):
+    docs = spark.range(5000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 3).alias("text"))
+    labels = spark.createDataFrame([(7, 1), (8, 0)], "doc_id long, quality int")
+    assert common.labelled_sample(docs, labels, ("quality",), 100, 1).count() == 1
+
+
+def test_hot_keys_join_whole(spark):
+    rows = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    stats = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("top"))
+    found = common.hot_join(rows, stats, ["k"], "n", 20_000)
+    assert found.columns == ["k", "v", "n", "top"] and found.count() == 20_000 and found.filter("k = 0 AND top = 19998").count() == 6667
+
+
+def test_settled_tables_go_when_discarded(spark):
+    table = common.settled(spark.range(5))
+    path = table._settled_at.removeprefix("file:")
+    assert table.count() == 5 and os.path.isdir(path)
+    common.discard(table, None)
+    assert not os.path.exists(path)
