@@ -401,7 +401,7 @@ def _propose(scheme: Alike):
 def _proposed(fps: DataFrame, scheme: Alike) -> DataFrame:
     """(src, dst, large) of the distinct pairs among ``fps`` (fp), settled."""
     signatures = fps.mapInArrow(_tables(scheme), "signature long, fp binary")
-    dealt = signatures.repartition("signature").sortWithinPartitions("signature")
+    dealt = signatures.repartition("signature").sortWithinPartitions("signature", "fp")  # so groups of different tables start from the same members
     pairs = dealt.mapInArrow(_propose(scheme), "src binary, dst binary, large boolean")
     return settled(pairs.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.max("large").alias("large")))
 
@@ -471,8 +471,12 @@ def _left_apart(large: DataFrame, roots: DataFrame, texts: DataFrame, prints: Da
 
     All members of a cluster are compared, in tiles of two blocks each, so no task holds a whole cluster and only links that join are reported.
     """
-    clusters = settled(connected_components(large).withColumnRenamed("node", "fp").withColumnRenamed("root", "cluster"))
-    members = settled(clusters.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "cluster", F.coalesce("root", "fp").alias("root")))
+    known = roots.withColumnRenamed("node", "fp")
+    nodes = settled(large.select(F.col("src").alias("fp")).unionByName(large.select(F.col("dst").alias("fp"))).distinct().join(known, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")))
+    of = lambda end: nodes.select(F.col("fp").alias(end), F.col("root").alias(f"of_{end}"))
+    contracted = large.join(of("src"), "src").join(of("dst"), "dst").filter("of_src <> of_dst").select(F.least("of_src", "of_dst").alias("src"), F.greatest("of_src", "of_dst").alias("dst")).distinct()
+    clusters = settled(connected_components(contracted).toDF("root", "cluster"))  # of roots, so members linked already don't come again
+    members = settled(nodes.join(clusters, "root").select("fp", "cluster", "root"))
     several = settled(members.groupBy("cluster").agg(F.count("*").alias("n"), (F.min("root") != F.max("root")).alias("several")).filter("several").select("cluster", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), "n"))
     chosen = settled(hot_join(members, several, ["cluster"], "n", members.count()).drop("n"))
     sets = _shingle_sets(chosen.select("fp"), texts, prints, shingle)
@@ -481,7 +485,7 @@ def _left_apart(large: DataFrame, roots: DataFrame, texts: DataFrame, prints: Da
     placed = chosen.join(sets, "fp").select("fp", "cluster", "root", "runs", block.alias("block"), other.alias("other"))
     tiles = placed.select(F.xxhash64("cluster", F.least("block", "other"), F.greatest("block", "other")).alias("tile"), "block", "fp", "root", "runs")
     found = settled(tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tile_links, "src binary, dst binary"))
-    discard(clusters, members, several, chosen, sets)
+    discard(nodes, clusters, members, several, chosen, sets)
     return found
 
 
