@@ -365,7 +365,7 @@ def _nearest_forest(fp: np.ndarray, most: int) -> np.ndarray:
 def _propose(scheme: Alike):
     """Pairs that meet and differ in few enough bits, and if they were found in a large group.
 
-    Large groups report a forest that connects all that are near enough, and one of nearest links.
+    Large groups report a forest of nearest links, which connects all that are near enough; where it falls into several trees, one across them too.
     """
     masks = scheme.masks()
 
@@ -389,7 +389,9 @@ def _propose(scheme: Alike):
         yield out(np.concatenate(found), False)
         for i in np.flatnonzero(size > SMALL_GROUP):
             group = fp[begin[i] : begin[i] + size[i]]
-            yield out(np.concatenate((_forest(group, scheme.most).reshape(-1, 2, BITS // 64), _nearest_forest(group.copy(), scheme.most))), True)
+            yield out(_nearest_forest(group.copy(), scheme.most), True)
+            if len(group) > TREE + 1:  # several trees, which the first member alone may not connect
+                yield out(_forest(group, scheme.most).reshape(-1, 2, BITS // 64), True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _whole_groups((b.column(0).to_numpy(zero_copy_only=False), _unbinary(b.column(1))) for b in batches):
