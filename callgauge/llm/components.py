@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star steps.
 
 Each step is a grouped minimum and a join; links shrink towards stars round their smallest node,
-in a number of rounds that grows with the logarithm of the longest path. Every round is settled
+in a number of rounds that grows with the logarithm of the longest path. A count of each node's ends tells
+when only stars are left, so no round is spent on finding that nothing changes. Every round is settled
 in the shared folder, so its lineage stays short, and the round before is removed. A node of very many links is
 dealt over several tasks.
 """
@@ -33,28 +34,29 @@ def _small_star(links: DataFrame, total: int) -> DataFrame:
     return near.unionByName(least.select(F.col("m").alias("src"), F.col("u").alias("dst"))).distinct()
 
 
-def _sums(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first())
+def _shape(links: DataFrame) -> tuple[int, bool]:
+    """The number of links, and whether they are stars: each node is the larger end of at most one link, and then the smaller end of none."""
+    ends = links.select(F.col("src").alias("node"), F.lit(0).alias("larger")).unionByName(links.select(F.col("dst").alias("node"), F.lit(1).alias("larger")))
+    nodes = ends.groupBy("node").agg(F.sum("larger").alias("larger"), F.count("*").alias("n"))
+    found = nodes.agg(F.sum("larger").alias("links"), F.count_if((F.col("larger") > 0) & (F.col("n") > 1)).alias("others")).first()
+    return found.links or 0, not found.others
 
 
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) of every node that has a link; root is the least node of its component.
 
-    links: src, dst; loops and repeated links are allowed. Raises if it hasn't settled in
+    links: src, dst; loops and repeated links are allowed. Raises if they are no stars after
     ``max_rounds`` rounds, as a partial answer would be wrong.
     """
     now = settled(links.filter("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
-    seen = _sums(now)
-    for _ in range(max_rounds):
-        if not seen[0]:
+    for left in range(max_rounds, -1, -1):
+        n, stars = _shape(now)
+        if stars:
             break
-        wide = settled(_large_star(now, seen[0]))
+        if not left:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        wide = settled(_large_star(now, n))
         discard(now)
         now = settled(_small_star(wide, wide.count()))
         discard(wide)
-        if (sums := _sums(now)) == seen:
-            break
-        seen = sums
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return now.select(F.col("dst").alias("node"), F.col("src").alias("root")).unionByName(now.select(F.col("src").alias("node"), F.col("src").alias("root")).distinct())

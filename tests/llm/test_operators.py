@@ -104,6 +104,26 @@ def test_links_against_brute_force(spark):
     assert sorted(map(sorted, ours.values())) == sorted(map(sorted, plain.values()))
 
 
+def test_components_against_brute_force(spark):
+    rng = random.Random(31)
+    stars = [(7, 9), (7, 12), (7, 12), (30, 31)]
+    chain = [(i, i + 1) for i in range(100, 180)]
+    rng.shuffle(chain)
+    drawn = [(rng.randrange(500, 800), rng.randrange(500, 800)) for _ in range(170)]
+    hub = [(rng.choice((900, 999)), i) for i in range(901, 990)]
+    for links in (stars, chain, drawn, stars + chain + drawn + hub + [(5, 5)], [(5, 5)], []):
+        root = {n: n for a, b in links if a != b for n in (a, b)}
+        for a, b in links:
+            if a != b and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = {n: low if r == high else r for n, r in root.items()}
+        found = connected_components(spark.createDataFrame([(b, a) if rng.random() < 0.5 else (a, b) for a, b in links], "src long, dst long")).collect()
+        assert len(found) == len(root) and {r.node: r.root for r in found} == root
+    path = spark.createDataFrame([(i, i + 1) for i in range(200)], "src long, dst long")
+    with pytest.raises(RuntimeError):
+        connected_components(path, max_rounds=1)
+
+
 def test_simhash_query_against_brute_force(spark):
     rows = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     prints = {}
