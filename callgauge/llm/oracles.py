@@ -58,4 +58,60 @@ copies AS (SELECT *, unnest(range(0, n_copies)) AS copy FROM counted)
 SELECT doc_id, text, lang, source, n_chars, n_copies, copy, md5('17/' || key || '/' || CAST(copy AS VARCHAR)) AS shuffle_key FROM copies
 """
 
-ORACLE_SQL = {"op3_chat": _OP3, "op7_suffixes": _OP7, "op9_mixing": _OP9}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_OP11 = rf"""
+WITH RECURSIVE split AS (
+  SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS MATERIALIZED (
+  SELECT DISTINCT row_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM split
+), sizes AS MATERIALIZED (SELECT row_id, count(*) AS n FROM shingles GROUP BY row_id),
+shared AS MATERIALIZED (SELECT a.row_id AS x, b.row_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.row_id <> b.row_id GROUP BY ALL),
+links AS MATERIALIZED (SELECT x, y FROM shared JOIN sizes p ON p.row_id = x JOIN sizes q ON q.row_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
+reach AS (SELECT row_id, row_id AS seen FROM split UNION SELECT reach.row_id, y FROM reach JOIN links ON x = seen),
+least AS (SELECT reach.row_id, min(doc_id) AS component_id FROM reach JOIN split ON split.row_id = seen GROUP BY reach.row_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept
+FROM split JOIN least USING (row_id) LEFT JOIN sizes USING (row_id)
+"""
+
+
+def _codes(rounds: int = 4) -> str:
+    """The rounds one after another; b0 is the first codebook, a<i> the assignments to b<i>."""
+    parts = """
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS row_id, vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), v AS MATERIALIZED (SELECT row_id, (i * 4) // len(q) AS p, i - ((i * 4) // len(q)) * (len(q) // 4) AS j, q[i + 1] AS x FROM (SELECT *, unnest(range(0, len(q))) AS i FROM kept)),
+b0 AS MATERIALIZED (SELECT p, row_id - 1 AS e, j, x AS c FROM v WHERE row_id <= 256)"""
+    for i in range(rounds + 1):
+        parts += f""",
+a{i} AS MATERIALIZED (SELECT row_id, p, CAST(min(d * 256 + e) % 256 AS BIGINT) AS e, CAST(min(d * 256 + e) // 256 AS BIGINT) AS d FROM (SELECT row_id, v.p, e, sum((x - c) * (x - c)) AS d FROM v JOIN b{i} b ON b.p = v.p AND b.j = v.j GROUP BY ALL) GROUP BY row_id, p)"""
+        if i < rounds:
+            parts += f""",
+m{i} AS (SELECT v.p, e, j, sum(x) AS s, count(*) AS n FROM v JOIN a{i} a ON a.row_id = v.row_id AND a.p = v.p GROUP BY ALL),
+b{i + 1} AS MATERIALIZED (SELECT b.p, b.e, b.j, CASE WHEN n IS NULL THEN c ELSE CAST((s - ((s % n) + n) % n) // n AS BIGINT) END AS c FROM b{i} b LEFT JOIN m{i} m ON m.p = b.p AND m.e = b.e AND m.j = b.j)"""
+    return parts + f"""
+, coded AS (SELECT row_id, string_agg(format('{{:02x}}', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY row_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY p, e, j)) FROM b{rounds}) AS codebooks_sha256
+FROM kept JOIN coded USING (row_id)
+"""
+
+
+_OP13 = rf"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+split AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM split GROUP BY lang),
+grams AS MATERIALIZED (
+  SELECT lang, m, g, count(*) AS f FROM (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS g FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM split CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS m)))
+  GROUP BY ALL HAVING count(*) >= 30
+), found AS MATERIALIZED (SELECT lang, m, g, f AS a, string_split(g, ' ') AS w FROM grams WHERE m > 1),
+inner_ones AS (SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS g, max(a) AS longer FROM (SELECT lang, w, a, k, unnest(range(1, m - k + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS k FROM found)) GROUP BY ALL),
+kept AS (SELECT found.* FROM found LEFT JOIN inner_ones USING (lang, g) WHERE longer IS NULL OR 100 * longer < 80 * a),
+cuts AS (
+  SELECT c.lang, c.g, a, k, x.f AS l, y.f AS r, CAST((CAST(2000000 AS HUGEINT) * a) // (x.f + y.f) AS BIGINT) AS score FROM (SELECT *, unnest(range(1, m)) AS k FROM kept) c
+  JOIN grams x ON x.lang = c.lang AND x.g = array_to_string(w[1:k], ' ') JOIN grams y ON y.lang = c.lang AND y.g = array_to_string(w[k + 1:], ' ')
+), scored AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1)
+SELECT lang, rank, g AS phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank FROM scored) JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+ORACLE_SQL = {"op3_chat": _OP3, "op7_suffixes": _OP7, "op9_mixing": _OP9, "op11_minhash": _OP11, "op12_codes": _codes(), "op13_phrases": _OP13}

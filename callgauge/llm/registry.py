@@ -7,7 +7,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, html_main, languages, lexicon_bpe, mixing, quality, simhash, suffix_dedup, toxicity
+from . import chat, fingerprints, html_main, languages, lexicon_bpe, minhash, mixing, phrases, quality, simhash, suffix_dedup, toxicity, vector_codes
 from .common import table
 from .oracles import ORACLE_SQL
 
@@ -81,8 +81,24 @@ def op10_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", "held_out", "lang_pred", "score", "languages")
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=5)
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+OPERATORS = (op1_toxicity, op2_fingerprints, op3_chat, op4_simhash, op5_html, op6_quality, op7_suffixes, op8_bpe, op9_mixing, op10_languages, op11_minhash, op12_codes, op13_phrases)
+
+
 def queries():
-    return {f.__name__: f for f in (op1_toxicity, op2_fingerprints, op3_chat, op4_simhash, op5_html, op6_quality, op7_suffixes, op8_bpe, op9_mixing, op10_languages)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in OPERATORS} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql():
