@@ -7,8 +7,9 @@ minima one has at most one error, and each chunk is indexed under every variant
 meet under some key. Proposed pairs are held against that distance and then against the full shingle sets.
 
 Equal sets are folded before, so copies never meet. Keys that one document has are left where they are counted. A key of up to ``SMALL`` documents
-proposes all of its pairs, one of more only those with its least member. Members of such large keys that verified links leave
+proposes all of its pairs, one of more only those with the member that meets most others under all keys. Members of such large keys that verified links leave
 apart meet again by the exact way of prefix filtering: sets alike by 0.85 share one of the rarest 15 % (and one) of either's shingles, rare among these members.
+Of those that share a shingle only pairs go on whose places of it in the order of rarity leave enough others to share.
 Large groups of equal rare shingles are compared in tiles, so nothing is capped and no task holds a whole key.
 
 Behaviour: null and wordless texts have an empty set and stay by themselves; fewer than five words are one shingle; repeated rows and equal texts share a class; a null doc_id counts as
@@ -140,7 +141,10 @@ def _meetings(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     total = several.agg(F.sum("n")).first()[0] or 0
     members = settled(hot_join(index, several, ["key"], "n", total, by=["node"]))
     two = counted.filter("n = 2").select(F.col("least").alias("src"), F.col("most").alias("dst"))
-    star = members.filter(f"n > {SMALL} AND node <> least").select(F.col("least").alias("src"), F.col("node").alias("dst"))
+    big = members.filter(f"n > {SMALL}").select("key", "node", "n")
+    meets = big.groupBy("node").agg(F.sum("n").alias("meets"))
+    centre = big.join(meets, "node").groupBy("key", "n").agg(F.max_by("node", F.struct("meets", "node")).alias("centre"))
+    star = hot_join(big.drop("n"), centre, ["key"], "n", total, by=["node"]).filter("node <> centre").select(F.least("node", "centre").alias("src"), F.greatest("node", "centre").alias("dst"))
     few = members.filter(f"n <= {SMALL}").groupBy("key").agg(F.array_sort(F.collect_list("node")).alias("g"))
     ends = F.explode(F.flatten(F.transform("g", lambda x, i: F.transform(F.slice("g", i + 2, SMALL), lambda y: F.struct(x.alias("src"), y.alias("dst"))))))
     pairs = settled(two.unionByName(star).unionByName(few.select(ends.alias("p")).select("p.*")).distinct())
@@ -189,10 +193,12 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = cut[1:] if batch is not None else np.append(cut[1:], len(tile))
         for a, b in zip(cut, ends):
             group = held.slice(a, b - a).combine_chunks()
-            block, node, root = (group.column(c).to_numpy() for c in ("block", "node", "root"))
+            block, node, root, size, after = (group.column(c).to_numpy() for c in ("block", "node", "root", "size", "after"))
             signs = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint16).reshape(-1, MINIMA)
             for i in range(len(node)):
-                ok = (root[i + 1 :] != root[i]) & ((signs[i + 1 :] != signs[i]).sum(1) <= MOST)
+                # were it the first shingle that both share, they could share no more than it and the fewer of those after it
+                ok = (root[i + 1 :] != root[i]) & ((100 + ALIKE) * (1 + np.minimum(after[i + 1 :], after[i])) >= ALIKE * (size[i + 1 :] + size[i]))
+                ok &= (signs[i + 1 :] != signs[i]).sum(1) <= MOST
                 if block.min() != block.max():  # pairs within a block belong to its own tile
                     ok &= block[i + 1 :] != block[i]
                 if ok.any():
@@ -216,12 +222,12 @@ def _left_apart(large: DataFrame, roots: DataFrame, nodes: DataFrame, texts: Dat
     place = F.row_number().over(Window.partitionBy("node").orderBy("n", "shingle"))
     n_shared = F.count("*").over(Window.partitionBy("node"))
     # shingles of one member come first in the order and meet nobody, so the places of the others begin after them
-    rare = settled(shared.withColumn("place", place + F.col("size") - n_shared).filter(F.col("place") <= F.col("size") - F.ceil(F.col("size") * ALIKE / 100) + 1).join(apart, "node").select("shingle", "node", "root"))
+    rare = settled(shared.withColumn("place", place + F.col("size") - n_shared).filter(F.col("place") <= F.col("size") - F.ceil(F.col("size") * ALIKE / 100) + 1).join(apart, "node").select("shingle", "node", "root", "size", (F.col("size") - F.col("place")).alias("after")))
     groups = settled(rare.groupBy("shingle").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("shingle", "n", F.ceil(F.col("n") / TILE).cast("int").alias("blocks")))
     dealt = hot_join(rare, groups, ["shingle"], "n", max(1, rare.count()), by=["node"]).join(nodes.select("node", "signature"), "node")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    placed = dealt.select("shingle", "node", "root", "signature", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    tiles = placed.select(F.xxhash64("shingle", F.least("block", "other"), F.greatest("block", "other")).alias("tile"), "block", "node", "root", "signature")
+    placed = dealt.select("shingle", "node", "root", "size", "after", "signature", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    tiles = placed.select(F.xxhash64("shingle", F.least("block", "other"), F.greatest("block", "other")).alias("tile"), "block", "node", "root", "size", "after", "signature")
     pairs = settled(tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tiles, "src long, dst long").distinct())
     discard(apart, sets, often, rare, groups)
     return pairs
