@@ -36,6 +36,8 @@ MINIMA, CHUNKS, MOST = 64, 12, 22
 SMALL = 16
 #: Pairs of a node that are not worth a copy of its set in another task.
 FEW_PAIRS = 256
+#: Fewer shingles than these are each more than this part of all rows; their order needs no counts.
+COMMON = 4096
 #: Likeness in hundredths.
 ALIKE = 85
 #: Bytes of text, and shingles of one text, that are hashed at a time; signatures of a tile's side.
@@ -207,6 +209,24 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = held.slice(ends[-1]) if len(ends) else held
 
 
+def _parted(common: np.ndarray):
+    """A row for each shingle of a node that isn't ``common``; common ones come last in the order of rarity, and of them only those near enough to its beginning are given out, with their places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, shingles in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = np.asarray(shingles.values)
+                known = np.isin(own, common, assume_unique=True)
+                others, size = own[~known], len(own)
+                last = size - -(-size * ALIKE // 100) + 1
+                near = np.sort(own[known])[: max(0, last - len(others))]
+                place = pa.array(np.concatenate((np.zeros(len(others), np.int64), len(others) + 1 + np.arange(len(near)))), mask=np.arange(len(others) + len(near)) < len(others))
+                n = len(others) + len(near)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((others, near))), *(pa.array(np.full(n, v, np.int64)) for v in (node, size, len(others))), place], names=["shingle", "node", "size", "others", "place"])
+
+    return run
+
+
 def _left_apart(large: DataFrame, roots: DataFrame, nodes: DataFrame, texts: DataFrame, length: int) -> DataFrame:
     """Pairs of members of large keys that ``roots`` leave apart and that share one of the rarest shingles of either, settled."""
     members = large.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
@@ -214,15 +234,17 @@ def _left_apart(large: DataFrame, roots: DataFrame, nodes: DataFrame, texts: Dat
     total = large.count()
     apart = settled(hot_join(members, split.select("key", "n"), ["key"], "n", total, by=["node"]).select("node", "root").distinct())
     sets = _shingles(apart.select("node"), nodes, texts, length)
-    size = F.size("shingles")
-    rows = sets.select("node", size.alias("size"), F.explode("shingles").alias("shingle"))
-    often = settled(rows.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1"))
-    n_rows = rows.count()
-    shared = hot_join(rows, often, ["shingle"], "n", n_rows, by=["node"])
-    place = F.row_number().over(Window.partitionBy("node").orderBy("n", "shingle"))
-    n_shared = F.count("*").over(Window.partitionBy("node"))
+    counts = sets.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"))
+    often = settled(counts.filter("n > 1"))
+    n_rows = sets.agg(F.sum(F.size("shingles"))).first()[0] or 0
+    common = [r.shingle for r in often.filter(F.col("n") * COMMON > n_rows).select("shingle").collect()]  # fewer than COMMON
+    rows = sets.mapInArrow(_parted(np.array(sorted(common), np.int64)), "shingle long, node long, size long, others long, place long")
+    shared = hot_join(rows.filter("place IS NULL").drop("place"), often, ["shingle"], "n", max(1, n_rows), by=["node"])
+    of_node = Window.partitionBy("node")
     # shingles of one member come first in the order and meet nobody, so the places of the others begin after them
-    rare = settled(shared.withColumn("place", place + F.col("size") - n_shared).filter(F.col("place") <= F.col("size") - F.ceil(F.col("size") * ALIKE / 100) + 1).join(apart, "node").select("shingle", "node", "root", "size", (F.col("size") - F.col("place")).alias("after")))
+    place = F.row_number().over(of_node.orderBy("n", "shingle")) + F.col("others") - F.count("*").over(of_node)
+    placed = shared.withColumn("place", place).filter(F.col("place") <= F.col("size") - F.ceil(F.col("size") * ALIKE / 100) + 1).unionByName(rows.filter("place IS NOT NULL").withColumn("n", F.lit(None).cast("bigint")))
+    rare = settled(placed.join(apart, "node").select("shingle", "node", "root", "size", (F.col("size") - F.col("place")).alias("after")))
     groups = settled(rare.groupBy("shingle").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("shingle", "n", F.ceil(F.col("n") / TILE).cast("int").alias("blocks")))
     dealt = hot_join(rare, groups, ["shingle"], "n", max(1, rare.count()), by=["node"]).join(nodes.select("node", "signature"), "node")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
