@@ -66,16 +66,17 @@ def metric_points(calls: DataFrame, refusal_tasks: DataFrame, latency_ok_only: b
 def rolling_rate(calls: DataFrame, seconds: int = 60) -> DataFrame:
     """Calls of the same provider in the ``seconds`` up to each call, for holding against a cap; null for a call without a time.
 
-    A long history of one provider is dealt out by day too: a day's calls and those of the last ``seconds`` before it meet in one group.
+    Time is cut into stretches of ``seconds``. Each call goes to its own stretch and to the next one, where it may still count, so what meets in one
+    group is two stretches of a provider, however long its history.
     """
     from pyspark.sql import Window
 
-    near = F.expr(f"INTERVAL {int(seconds)} SECONDS")
-    days = F.sequence(F.to_date("timestamp"), F.to_date(F.col("timestamp") + near))
-    dealt = calls.withColumn("_day", F.explode_outer(days))
-    seen = Window.partitionBy("provider", "_day").orderBy(F.col("timestamp").cast("timestamp_ntz").cast("timestamp").cast("double")).rangeBetween(-seconds, 0)
+    at = F.col("timestamp").cast("timestamp_ntz").cast("timestamp").cast("double")
+    stretch = F.floor(at / F.lit(float(seconds))).cast("bigint")
+    dealt = calls.withColumn("_own", stretch).withColumn("_stretch", F.explode_outer(F.when(F.col("_own").isNotNull(), F.array(F.col("_own"), F.col("_own") + 1))))
+    seen = Window.partitionBy("provider", "_stretch").orderBy(at).rangeBetween(-seconds, 0)
     counted = dealt.withColumn("calls_in_window", F.when(F.col("timestamp").isNotNull(), F.count("*").over(seen)))
-    return counted.filter(F.col("_day").eqNullSafe(F.to_date("timestamp"))).drop("_day")
+    return counted.filter(F.col("_stretch").eqNullSafe(F.col("_own"))).drop("_own", "_stretch")
 
 
 #: Different p-values that one task ranks at a time.

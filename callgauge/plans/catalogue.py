@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import answers, exchanges, json_checks
-from ..operators import grading, metrics, normalize, reads, sampling
+from ..operators import grading, metrics, normalize, reads, sampling, selection
 from ..schemas import CALL_LOG, RAW_EXCHANGES
 from ..sources import tasks as task_sets
 from ..sources.sqlite_source import read_sqlite
@@ -275,8 +275,9 @@ for _subset, _condition in (("safe", "should_refuse IS NOT DISTINCT FROM false")
 
 @query("SELECT provider, round(quantile_cont(latency_ms, 0.5), 6) AS p50, round(quantile_cont(latency_ms, 0.95), 6) AS p95 FROM call_log GROUP BY provider")
 def latency_percentiles(spark, sf_dir):
-    found = views.call_log(spark, sf_dir).groupBy("provider").agg(metrics.latency_percentiles().alias("p"))
-    return found.select("provider", F.round(F.get("p", F.lit(0)), 6).alias("p50"), F.round(F.get("p", F.lit(1)), 6).alias("p95"))
+    found = selection.percentiles(views.call_log(spark, sf_dir), ["provider"], "latency_ms")
+    p = F.col("percentiles")
+    return found.select("provider", F.round(F.get(p, F.lit(0)), 6).alias("p50"), F.round(F.get(p, F.lit(1)), 6).alias("p95"))
 
 
 _POINTS = f"""SELECT eval_run_id AS run_id, provider, model_id, max(timestamp) AS timestamp, round(avg(eval_score) FILTER (WHERE eval_task_type = 'accuracy'), 9) AS accuracy,
