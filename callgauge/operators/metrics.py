@@ -63,6 +63,38 @@ def metric_points(calls: DataFrame, refusal_tasks: DataFrame, latency_ok_only: b
     return points.withColumnRenamed("eval_run_id", "run_id")
 
 
+def run_states(calls: DataFrame, refusal_tasks: DataFrame) -> DataFrame:
+    """Sums and counts of the calls of each run, provider and model: what of a batch its runs' points need, and adds up with other batches'."""
+    flagged = with_task_flags(calls.filter("eval_run_id IS NOT NULL"), refusal_tasks)
+    sums = []
+    for name, wanted in (("accuracy", F.lit(True)), ("format", F.lit(True)), ("refusal", subset_filter("safe"))):
+        score = F.when((F.col("eval_task_type") == name) & wanted, F.col("eval_score"))
+        sums += [F.coalesce(F.sum(score), F.lit(0.0)).alias(f"{name}_sum"), F.count(score).alias(f"{name}_n")]
+    found = flagged.groupBy(*RUN).agg(F.max("timestamp").alias("last_at"), *sums, F.count("*").alias("n_calls"))
+    return found.withColumnRenamed("eval_run_id", "run_id")
+
+
+def run_latencies(calls: DataFrame, ok_only: bool = False) -> DataFrame:
+    """How often each latency came in each run, provider and model."""
+    timed = calls.filter("eval_run_id IS NOT NULL AND latency_ms IS NOT NULL")
+    timed = timed.filter("outcome = 'ok'") if ok_only else timed
+    return timed.groupBy(*RUN, "latency_ms").agg(F.count("*").alias("n")).withColumnRenamed("eval_run_id", "run_id")
+
+
+def points_of_states(states: DataFrame, latencies: DataFrame) -> DataFrame:
+    """The points that ``metric_points`` gives for all calls behind the ``states`` and ``latencies`` of any number of batches."""
+    from .selection import percentiles
+
+    key = ["run_id", *RUN[1:]]
+    rate = lambda name: F.try_divide(F.sum(f"{name}_sum"), F.sum(f"{name}_n").cast("double"))
+    points = states.groupBy(*key).agg(F.max("last_at").alias("timestamp"), rate("accuracy").alias("accuracy"), rate("format").alias("format_adherence"), rate("refusal").alias("refusal_rate"), F.sum("n_calls").cast("int").alias("n_calls"))
+    found = percentiles(latencies, key, "latency_ms", weight="n").drop("n")
+    same = [F.col(f"s.{c}").eqNullSafe(F.col(f"l.{c}")) for c in key]
+    met = points.alias("s").join(found.alias("l"), same, "left").select("s.*", "percentiles")
+    p = F.col("percentiles")
+    return met.select(*key, "timestamp", "accuracy", "format_adherence", "refusal_rate", F.get(p, F.lit(0)).alias("latency_p50_ms"), F.get(p, F.lit(1)).alias("latency_p95_ms"), "n_calls")
+
+
 def rolling_rate(calls: DataFrame, seconds: int = 60) -> DataFrame:
     """Calls of the same provider in the ``seconds`` up to each call, for holding against a cap; null for a call without a time.
 

@@ -423,6 +423,33 @@ def run_once_points(spark, sf_dir):
     return _rounded(points.drop("id"))
 
 
+_MONTHS_RUN = "concat('run_', cast(extract(month FROM timestamp) AS STRING))"
+
+
+@query(_POINTS.replace("FROM graded LEFT JOIN", f"FROM (SELECT * REPLACE ({_MONTHS_RUN.replace('STRING', 'VARCHAR')} AS eval_run_id) FROM graded) LEFT JOIN"))
+def late_batches_points(spark, sf_dir):
+    """Points of runs of a month whose calls come in two batches, each of every other day and out of order, one of them twice: out of the stored states, no call is read again."""
+    store = CallStore(spark, _scratch(spark))
+    graded = graded_calls(spark, sf_dir).withColumn("eval_run_id", F.expr(_MONTHS_RUN))
+    graded = normalize.with_defaults(graded.withColumn("timestamp", F.col("timestamp").cast("timestamp")))
+    part = F.pmod(F.dayofmonth("timestamp"), F.lit(2))
+    for k in (1, 0, 1):
+        capture.run_once(graded.filter(part == k), views.refusal_tasks(spark), store, f"batch {k}").unpersist()
+    points = store.table("metric_series").withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+    return _rounded(points.drop("id"))
+
+
+@query("SELECT log_id, min(timestamp) AS timestamp FROM (SELECT log_id, timestamp FROM call_log UNION ALL SELECT log_id, timestamp + INTERVAL 1 DAY FROM call_log WHERE event_id % 3 = 0) GROUP BY log_id")
+def keyed_calls(spark, sf_dir):
+    """Calls that come in two batches, a third of them again a day later: each log_id is stored once over all days."""
+    store = CallStore(spark, _scratch(spark))
+    calls = views.call_log(spark, sf_dir).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    again = calls.filter("event_id % 3 = 0").withColumn("timestamp", F.expr("timestamp + INTERVAL 1 DAY"))
+    for batch in (calls, again):
+        store.write_calls(normalize.with_defaults(batch))
+    return store.calls().select("log_id", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"))
+
+
 @query("SELECT log_id, timestamp, provider, model_id, outcome, latency_ms, eval_run_id, eval_task_type FROM call_log WHERE outcome <> 'timeout'")
 def sqlite_scan(spark, sf_dir):
     """The call log out of an SQLite file, read in several ranges."""

@@ -12,6 +12,12 @@ CHANGEPOINT_EVENTS = (
     "id bigint, detected_at timestamp, provider string, model_id string, metric_name string, detector string, changepoint_timestamp timestamp, pre_mean double, "
     "post_mean double, p_value_raw double, p_value_corrected double, significant boolean, drift_type string, remediation string, reviewed boolean"
 )
+#: What is kept of a batch's graded calls: sums and counts of each run, and how often each latency came.
+RUN_STATE = (
+    "batch_id string, attempt bigint, run_id string, provider string, model_id string, last_at timestamp, accuracy_sum double, accuracy_n bigint, "
+    "format_sum double, format_n bigint, refusal_sum double, refusal_n bigint, n_calls bigint"
+)
+RUN_LATENCIES = "batch_id string, attempt bigint, run_id string, provider string, model_id string, latency_ms double, n bigint"
 RAW_EXCHANGES = "log_id string, timestamp timestamp, host string, request_body string, response_body string, status int, exception_kind string, exception_message string, latency_ms double"
 CHOICE_TASKS = "task_id string, subject string, question string, choices array<string>, correct_index int"
 REFUSAL_TASKS = "task_id string, prompt string, type string, should_refuse boolean"

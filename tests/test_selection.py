@@ -6,7 +6,7 @@ import pytest
 from callgauge.operators import selection
 
 
-@pytest.mark.parametrize("how", [{}, {"bins": 16}])
+@pytest.mark.parametrize("how", [{}, {"bins": 16}, {"few": 1000}])
 def test_percentiles_are_those_of_sorted_values(spark, monkeypatch, how):
     rng = random.Random(1)
     groups = {
@@ -23,6 +23,7 @@ def test_percentiles_are_those_of_sorted_values(spark, monkeypatch, how):
     rows = [(g, v) for g, vs in groups.items() for v in vs]
     rng.shuffle(rows)
     at = (0.0, 0.5, 0.95, 1.0)
+    monkeypatch.setattr(selection, "FEW", how.pop("few", 0))
     monkeypatch.setattr(selection, "BROADCAST_RANGES", 0 if how else 10**6)  # groups dealt over tasks, or ranges broadcast
     found = {r["of"]: r for r in selection.percentiles(spark.createDataFrame(rows, "of string, latency double"), ["of"], "latency", at, **how).collect()}
     assert set(found) == set(groups)
@@ -39,8 +40,9 @@ def test_weights_and_no_groups(spark):
     assert selection.percentiles(rows.limit(0), ["n"], "v").count() == 0
 
 
-def test_no_group_meets_in_one_task(spark):
+def test_no_group_meets_in_one_task(spark, monkeypatch):
     """Partial counts stand before every shuffle of the values, and no aggregate collects them."""
+    monkeypatch.setattr(selection, "FEW", 1000)
     rows = spark.range(20_000).selectExpr("id % 2 AS k", "cast(id * 7 % 1009 AS double) AS v")
     plan = selection.percentiles(rows, ["k"], "v")._jdf.queryExecution().executedPlan().toString()
     assert "percentile(" not in plan and "collect_list(struct(_rank" in plan
