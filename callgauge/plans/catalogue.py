@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import answers, exchanges, json_checks
 from ..operators import grading, metrics, normalize, reads, sampling, selection
-from ..schemas import CALL_LOG, RAW_EXCHANGES
+from ..schemas import RAW_EXCHANGES
 from ..sources import tasks as task_sets
-from ..sources.sqlite_source import read_sqlite
+from ..sources.sqlite_source import follow_sqlite, read_sqlite, write_sqlite
 from ..sources.store import CallStore
 from ..streaming import capture
 from . import views
@@ -428,7 +428,7 @@ _MONTHS_RUN = "concat('run_', cast(extract(month FROM timestamp) AS STRING))"
 
 @query(_POINTS.replace("FROM graded LEFT JOIN", f"FROM (SELECT * REPLACE ({_MONTHS_RUN.replace('STRING', 'VARCHAR')} AS eval_run_id) FROM graded) LEFT JOIN"))
 def late_batches_points(spark, sf_dir):
-    """Points of runs of a month whose calls come in two batches, each of every other day and out of order, one of them twice: out of the stored states, no call is read again."""
+    """Points of runs of a month whose calls come in two batches, of every other day each and out of order, one of them twice: out of the stored states, no call is read again."""
     store = CallStore(spark, _scratch(spark))
     graded = graded_calls(spark, sf_dir).withColumn("eval_run_id", F.expr(_MONTHS_RUN))
     graded = normalize.with_defaults(graded.withColumn("timestamp", F.col("timestamp").cast("timestamp")))
@@ -452,20 +452,25 @@ def keyed_calls(spark, sf_dir):
 
 @query("SELECT log_id, timestamp, provider, model_id, outcome, latency_ms, eval_run_id, eval_task_type FROM call_log WHERE outcome <> 'timeout'")
 def sqlite_scan(spark, sf_dir):
-    """The call log out of an SQLite file, read in several ranges."""
-    import os
-    import sqlite3
-
-    path, names = _scratch(spark) + ".db", [c.split()[0] for c in CALL_LOG.split(", ")]
-    local = path.removeprefix("file:")
-    os.makedirs(os.path.dirname(local), exist_ok=True)
+    """The call log out of SQLite files that tasks wrote, read in several ranges; the filter and the wanted columns reach the files' own queries."""
+    folder = _scratch(spark).removeprefix("file:")
     calls = normalize.with_defaults(views.call_log(spark, sf_dir).withColumn("timestamp", F.col("timestamp").cast("timestamp")))
-    rows = calls.withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS")).select(*names).toLocalIterator()
-    with sqlite3.connect(local) as db:
-        db.execute(f"CREATE TABLE log_rows ({', '.join(names)})")
-        db.executemany(f"INSERT INTO log_rows VALUES ({', '.join('?' * len(names))})", (tuple(r) for r in rows))
-    found = read_sqlite(spark, local, rows_per_partition=500).filter("outcome <> 'timeout'")
-    return found.select("log_id", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "provider", "model_id", "outcome", "latency_ms", "eval_run_id", "eval_task_type")
+    files = write_sqlite(calls, folder)
+    wanted = ("log_id", "timestamp", "provider", "model_id", "outcome", "latency_ms", "eval_run_id", "eval_task_type")
+    found = read_sqlite(spark, ",".join(files), rows_per_partition=500, columns=wanted).filter("outcome <> 'timeout'")
+    return found.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+
+
+@query("SELECT provider, count(*) AS n, count(latency_ms) AS n_timed FROM call_log GROUP BY provider")
+def followed_sqlite(spark, sf_dir):
+    """The call log that a stream took out of SQLite files in two runs, with a restart between them."""
+    where = _scratch(spark).removeprefix("file:")
+    files = write_sqlite(normalize.with_defaults(views.call_log(spark, sf_dir).withColumn("timestamp", F.col("timestamp").cast("timestamp"))), f"{where}/in")
+    arrived = follow_sqlite(spark, ",".join(files), rows_per_partition=500, columns=("log_id", "provider", "latency_ms"))
+    for _ in range(2):  # the second run finds all of it read
+        arrived.writeStream.option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).format("parquet").option("path", f"{where}/out").start().awaitTermination()
+    read = spark.read.schema(arrived.schema).parquet(f"{where}/out")
+    return read.groupBy("provider").agg(F.count("*").alias("n"), F.count("latency_ms").alias("n_timed"))
 
 
 @query(_POINTS)

@@ -1,62 +1,155 @@
-"""A batch source over SQLite tables, read in key ranges; needs only the standard library on the executors.
+"""SQLite tables as a batch source and as a stream; needs only the standard library on the executors.
 
-``spark.read.format("callgauge_sqlite").option("path", ...).option("table", "log_rows")``. The file must be on a
-path that every executor sees.
+``spark.read.format("callgauge_sqlite")`` with ``path`` and ``table`` (log_rows) reads in ranges of rowid: Spark hands filters down, which become bound parameters of the query, and only
+the columns that are wanted are selected: those of ``columns`` where it is given, as Spark doesn't tell a Python source which ones a plan needs. Rows come in Arrow batches.
+``spark.readStream`` with the same options follows a table that grows: offsets are rowids, so each row arrives once, after a restart too.
+The file must be on a path that every executor sees; ``path`` may name several files, separated by commas. Times in the file are ISO texts in UTC, of one format for comparisons (as SQLAlchemy writes them).
 """
 
 from __future__ import annotations
 
 import sqlite3
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from contextlib import closing
+from datetime import datetime, timezone
 
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, Not, StringContains, StringEndsWith, StringStartsWith
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..schemas import CALL_LOG
 
 ROWS_PER_PARTITION = 200_000
+#: Rows of one Arrow batch.
+BATCH = 5_000
+_COMPARED = {EqualTo: "=", EqualNullSafe: "IS", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
+#: Types whose stored values compare in SQLite as they do in Spark.
+_COMPARABLE = ("string", "integer", "long", "short", "byte", "float", "double", "boolean", "timestamp")
+
+
+def quoted(name: str) -> str:
+    return '"' + name.replace('"', '""') + '"'
+
+
+def opened(path: str) -> closing:
+    return closing(sqlite3.connect(f"file:{path}?mode=ro", uri=True))
+
+
+def condition(f: Filter, kinds: dict[str, str]) -> tuple[str, list] | None:
+    """An SQL condition with parameters that keeps just the rows that ``f`` keeps; None if there is none."""
+    if isinstance(f, Not):  # of comparisons with a value: null where the column is, as in Spark
+        inner = condition(f.child, kinds) if isinstance(f.child, (EqualTo, In, IsNull, IsNotNull)) else None
+        return inner and (f"NOT ({inner[0]})", inner[1])
+    if len(f.attribute) != 1 or (kind := kinds.get(f.attribute[0])) not in _COMPARABLE:
+        return None
+    column = quoted(f.attribute[0])
+    if isinstance(f, (IsNull, IsNotNull)):
+        return f"{column} IS {'NOT ' if isinstance(f, IsNotNull) else ''}NULL", []
+    if kind == "timestamp":
+        column = f"replace({column}, 'T', ' ')"
+    value = lambda v: v.astimezone(timezone.utc).strftime("%Y-%m-%d %H:%M:%S.%f") if isinstance(v, datetime) else v
+    if isinstance(f, In):
+        return f"{column} IN ({', '.join('?' * len(f.value))})", [value(v) for v in f.value]
+    if type(f) in _COMPARED:
+        return f"{column} {_COMPARED[type(f)]} ?", [value(f.value)]
+    if isinstance(f, StringStartsWith):
+        return f"substr({column}, 1, length(?)) = ?", [f.value, f.value]
+    if isinstance(f, StringEndsWith):
+        return f"{column} IS NOT NULL AND (? = '' OR substr({column}, -length(?)) = ?)", [f.value] * 3
+    if isinstance(f, StringContains):
+        return f"instr({column}, ?) > 0", [f.value]
+    return None
+
+
+class Rows(InputPartition):
+    """Rows of a file with ``low`` <= rowid < ``high``."""
+
+    def __init__(self, path: str, low: int, high: int) -> None:
+        self.path, self.low, self.high = path, low, high
+
+
+class _Table:
+    """What batch and stream share."""
+
+    def __init__(self, schema: StructType, options) -> None:
+        self.schema, self.paths, self.table = schema, options["path"].split(","), options.get("table", "log_rows")
+        self.rows = int(options.get("rowsperpartition", options.get("rowsPerPartition", ROWS_PER_PARTITION)))
+        self.where: list[tuple[str, list]] = []
+
+    def ranges(self, path: str, low: int, high: int) -> list[Rows]:
+        return [Rows(path, a, min(a + self.rows, high)) for a in range(low, high, self.rows)]
+
+    def ends(self, path: str) -> tuple[int, int]:
+        """The least and the largest rowid; 1 and 0 of an empty table."""
+        with opened(path) as db:
+            low, high = db.execute(f"SELECT min(rowid), max(rowid) FROM {quoted(self.table)}").fetchone()
+        return (1, 0) if low is None else (low, high)
+
+    def statement(self, rows: Rows) -> tuple[str, list]:
+        columns = ", ".join(quoted(f.name) for f in self.schema.fields)
+        parts = [("rowid >= ? AND rowid < ?", [rows.low, rows.high]), *self.where]
+        return f"SELECT {columns} FROM {quoted(self.table)} WHERE " + " AND ".join(f"({c})" for c, _ in parts), [p for _, ps in parts for p in ps]
+
+    def batches(self, rows: Rows) -> Iterator[pa.RecordBatch]:
+        schema = to_arrow_schema(self.schema)
+
+        def cell(v, kind):
+            if v is None:
+                return None
+            if kind == "timestamp":
+                found = datetime.fromisoformat(v)
+                return found if found.tzinfo else found.replace(tzinfo=timezone.utc)
+            return float(v) if kind in ("double", "float") else str(v) if kind == "string" else bool(v) if kind == "boolean" else v
 
-
-class RowRange(InputPartition):
-    def __init__(self, low: int, high: int) -> None:
-        self.low, self.high = low, high
+        kinds = [f.dataType.typeName() for f in self.schema.fields]
+        with opened(rows.path) as db:
+            cursor = db.execute(*self.statement(rows))
+            while some := cursor.fetchmany(BATCH):
+                yield pa.RecordBatch.from_arrays([pa.array([cell(v, k) for v in c], f.type) for c, k, f in zip(zip(*some), kinds, schema)], schema=schema)
 
 
 class SqliteReader(DataSourceReader):
-    def __init__(self, schema, options) -> None:
-        self.schema, self.path, self.table = schema, options["path"], options.get("table", "log_rows")
-        self.rows = int(options.get("rowsPerPartition", ROWS_PER_PARTITION))
-
-    def _open(self) -> sqlite3.Connection:
-        return sqlite3.connect(f"file:{self.path}?mode=ro", uri=True)
+    def __init__(self, schema: StructType, options) -> None:
+        self.of = _Table(schema, options)
 
-    def _quoted(self, name: str) -> str:
-        return '"' + name.replace('"', '""') + '"'
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        kinds = {f.name: f.dataType.typeName() for f in self.of.schema.fields}
+        for f in filters:
+            if found := condition(f, kinds):
+                self.of.where.append(found)
+            else:
+                yield f
 
     def partitions(self) -> list[InputPartition]:
-        with self._open() as db:
-            low, high = db.execute(f"SELECT min(rowid), max(rowid) FROM {self._quoted(self.table)}").fetchone()
-        if low is None:
-            return [RowRange(0, 0)]
-        return [RowRange(a, min(a + self.rows, high + 1)) for a in range(low, high + 1, self.rows)]
+        found = []
+        for path in self.of.paths:
+            low, high = self.of.ends(path)
+            found += self.of.ranges(path, low, high + 1)
+        return found or [Rows(self.of.paths[0], 0, 0)]
 
-    def read(self, partition: RowRange) -> Iterator[tuple]:
-        from datetime import datetime, timezone
+    def read(self, partition: Rows) -> Iterator[pa.RecordBatch]:
+        yield from self.of.batches(partition)
 
-        kinds = [f.dataType.typeName() for f in self.schema.fields]
-        columns = ", ".join(self._quoted(f.name) for f in self.schema.fields)
 
-        def cell(value, kind):
-            if value is None:
-                return None
-            if kind == "timestamp":
-                found = datetime.fromisoformat(value)
-                return found if found.tzinfo else found.replace(tzinfo=timezone.utc)
-            return float(value) if kind == "double" else str(value) if kind == "string" else value
+class SqliteStream(DataSourceStreamReader):
+    """Offsets are, for each file, the rowid up to which rows have been read. Rows must be appended with growing rowids, as SQLite does while none of the last ones is deleted."""
+
+    def __init__(self, schema: StructType, options) -> None:
+        self.of = _Table(schema, options)
+
+    def initialOffset(self) -> dict:
+        return {path: self.of.ends(path)[0] - 1 for path in self.of.paths}
+
+    def latestOffset(self) -> dict:
+        return {path: self.of.ends(path)[1] for path in self.of.paths}
 
-        with self._open() as db:
-            for row in db.execute(f"SELECT {columns} FROM {self._quoted(self.table)} WHERE rowid >= ? AND rowid < ?", (partition.low, partition.high)):
-                yield tuple(cell(v, k) for v, k in zip(row, kinds))
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return [r for path, to in end.items() for r in self.of.ranges(path, start.get(path, 0) + 1, to + 1)]
+
+    def read(self, partition: Rows) -> Iterator[pa.RecordBatch]:
+        yield from self.of.batches(partition)
 
 
 class SqliteSource(DataSource):
@@ -65,13 +158,59 @@ class SqliteSource(DataSource):
         return "callgauge_sqlite"
 
     def schema(self) -> str:
-        return CALL_LOG
+        wanted = [c.strip() for c in self.options.get("columns", "").split(",") if c.strip()]
+        kinds = dict(c.split() for c in CALL_LOG.split(", "))
+        return ", ".join(f"{c} {kinds[c]}" for c in wanted or kinds)
 
-    def reader(self, schema) -> SqliteReader:
+    def reader(self, schema: StructType) -> SqliteReader:
         return SqliteReader(schema, self.options)
 
+    def streamReader(self, schema: StructType) -> SqliteStream:
+        return SqliteStream(schema, self.options)
+
 
-def read_sqlite(spark: SparkSession, path: str, table: str = "log_rows", schema: str | None = None, rows_per_partition: int = ROWS_PER_PARTITION):
+def _set_up(spark: SparkSession, reader, path: str, table: str, schema: str | None, rows_per_partition: int, columns: tuple[str, ...]):
     spark.dataSource.register(SqliteSource)
-    reader = spark.read.format("callgauge_sqlite").option("path", path).option("table", table).option("rowsPerPartition", rows_per_partition)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    reader = reader.format("callgauge_sqlite").option("path", path).option("table", table).option("rowsPerPartition", rows_per_partition)
+    if columns and not schema:
+        reader = reader.option("columns", ",".join(columns))
     return (reader.schema(schema) if schema else reader).load()
+
+
+def read_sqlite(spark: SparkSession, path: str, table: str = "log_rows", schema: str | None = None, rows_per_partition: int = ROWS_PER_PARTITION, columns: tuple[str, ...] = ()) -> DataFrame:
+    """The table's rows; ``columns`` are the only ones read, if they are given."""
+    return _set_up(spark, spark.read, path, table, schema, rows_per_partition, columns)
+
+
+def follow_sqlite(spark: SparkSession, path: str, table: str = "log_rows", schema: str | None = None, rows_per_partition: int = ROWS_PER_PARTITION, columns: tuple[str, ...] = ()) -> DataFrame:
+    """A stream of the table's rows, from its beginning on."""
+    return _set_up(spark, spark.readStream, path, table, schema, rows_per_partition, columns)
+
+
+def write_sqlite(calls: DataFrame, folder: str, table: str = "log_rows") -> list[str]:
+    """Writes ``calls`` as one SQLite file for each of their partitions into ``folder``, which every executor sees, and returns the files' paths.
+
+    Each task fills a file of its own and renames it at its end, so a task that runs again puts the same in its place.
+    """
+    import os
+
+    names = calls.columns
+    times = [f.name for f in calls.schema.fields if f.dataType.typeName() == "timestamp"]
+    texts = calls.withColumns({c: calls[c].cast("timestamp_ntz").cast("string") for c in times}) if times else calls
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+        os.makedirs(folder, exist_ok=True)
+        path = f"{folder}/part-{task.partitionId():05d}.db"
+        at = f"{path}.{task.taskAttemptId()}"
+        with closing(sqlite3.connect(at)) as db, db:
+            db.execute(f"CREATE TABLE {quoted(table)} ({', '.join(map(quoted, names))})")
+            for batch in batches:
+                db.executemany(f"INSERT INTO {quoted(table)} VALUES ({', '.join('?' * len(names))})", zip(*(c.to_pylist() for c in batch.columns)))
+        os.replace(at, path)
+        yield pa.RecordBatch.from_pydict({"path": [path]})
+
+    return sorted(r.path for r in texts.mapInArrow(fill, "path string").collect())  # one for each partition
