@@ -452,12 +452,12 @@ def keyed_calls(spark, sf_dir):
 
 @query("SELECT log_id, timestamp, provider, model_id, outcome, latency_ms, eval_run_id, eval_task_type FROM call_log WHERE outcome <> 'timeout'")
 def sqlite_scan(spark, sf_dir):
-    """The call log out of SQLite files that tasks wrote, read in several ranges; the filter and the wanted columns reach the files' own queries."""
+    """The call log out of SQLite files that tasks wrote, read in several ranges; the condition and the wanted columns are in the files' own queries."""
     folder = _scratch(spark).removeprefix("file:")
     calls = normalize.with_defaults(views.call_log(spark, sf_dir).withColumn("timestamp", F.col("timestamp").cast("timestamp")))
     files = write_sqlite(calls, folder)
     wanted = ("log_id", "timestamp", "provider", "model_id", "outcome", "latency_ms", "eval_run_id", "eval_task_type")
-    found = read_sqlite(spark, ",".join(files), rows_per_partition=500, columns=wanted).filter("outcome <> 'timeout'")
+    found = read_sqlite(spark, ",".join(files), rows_per_partition=500, columns=wanted, where=(("outcome", "!=", "timeout"),))
     return found.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
 
 

@@ -1,21 +1,23 @@
 """SQLite tables as a batch source and as a stream; needs only the standard library on the executors.
 
-``spark.read.format("callgauge_sqlite")`` with ``path`` and ``table`` (log_rows) reads in ranges of rowid: Spark hands filters down, which become bound parameters of the query, and only
-the columns that are wanted are selected: those of ``columns`` where it is given, as Spark doesn't tell a Python source which ones a plan needs. Rows come in Arrow batches.
+``spark.read.format("callgauge_sqlite")`` with ``path`` and ``table`` (log_rows) reads in ranges of rowid, in Arrow batches. ``columns`` are the only ones selected, and conditions of ``where`` become bound
+parameters of the file's own query. They are options of the source, as Spark 4.1 tells a Python source no columns, and keeps the first query's filters for later queries of the same frame where
+its own filter push-down is switched on, which loses rows; this source takes no part in that.
 ``spark.readStream`` with the same options follows a table that grows: offsets are rowids, so each row arrives once, after a restart too.
-The file must be on a path that every executor sees; ``path`` may name several files, separated by commas. Times in the file are ISO texts in UTC, of one format for comparisons (as SQLAlchemy writes them).
+The file must be on a path that every executor sees; ``path`` may name several files, separated by commas. Times in the file are ISO texts in UTC, all with or all without fractions of a second.
 """
 
 from __future__ import annotations
 
+import json
 import sqlite3
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from contextlib import closing
 from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, Not, StringContains, StringEndsWith, StringStartsWith
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -24,9 +26,9 @@ from ..schemas import CALL_LOG
 ROWS_PER_PARTITION = 200_000
 #: Rows of one Arrow batch.
 BATCH = 5_000
-_COMPARED = {EqualTo: "=", EqualNullSafe: "IS", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
-#: Types whose stored values compare in SQLite as they do in Spark.
-_COMPARABLE = ("string", "integer", "long", "short", "byte", "float", "double", "boolean", "timestamp")
+#: A condition: column, operator, and a value (a list for in and not in, none for is null and is not null).
+Condition = tuple
+_TEXT = {"startswith": "substr({0}, 1, length(?1)) = ?1", "endswith": "(?1 = '' OR substr({0}, -length(?1)) = ?1)", "contains": "instr({0}, ?1) > 0"}
 
 
 def quoted(name: str) -> str:
@@ -37,30 +39,27 @@ def opened(path: str) -> closing:
     return closing(sqlite3.connect(f"file:{path}?mode=ro", uri=True))
 
 
-def condition(f: Filter, kinds: dict[str, str]) -> tuple[str, list] | None:
-    """An SQL condition with parameters that keeps just the rows that ``f`` keeps; None if there is none."""
-    if isinstance(f, Not):  # of comparisons with a value: null where the column is, as in Spark
-        inner = condition(f.child, kinds) if isinstance(f.child, (EqualTo, In, IsNull, IsNotNull)) else None
-        return inner and (f"NOT ({inner[0]})", inner[1])
-    if len(f.attribute) != 1 or (kind := kinds.get(f.attribute[0])) not in _COMPARABLE:
-        return None
-    column = quoted(f.attribute[0])
-    if isinstance(f, (IsNull, IsNotNull)):
-        return f"{column} IS {'NOT ' if isinstance(f, IsNotNull) else ''}NULL", []
-    if kind == "timestamp":
-        column = f"replace({column}, 'T', ' ')"
-    value = lambda v: v.astimezone(timezone.utc).strftime("%Y-%m-%d %H:%M:%S.%f") if isinstance(v, datetime) else v
-    if isinstance(f, In):
-        return f"{column} IN ({', '.join('?' * len(f.value))})", [value(v) for v in f.value]
-    if type(f) in _COMPARED:
-        return f"{column} {_COMPARED[type(f)]} ?", [value(f.value)]
-    if isinstance(f, StringStartsWith):
-        return f"substr({column}, 1, length(?)) = ?", [f.value, f.value]
-    if isinstance(f, StringEndsWith):
-        return f"{column} IS NOT NULL AND (? = '' OR substr({column}, -length(?)) = ?)", [f.value] * 3
-    if isinstance(f, StringContains):
-        return f"instr({column}, ?) > 0", [f.value]
-    return None
+def condition(column: str, operator: str, value=None, timed: bool = False) -> tuple[str, list]:
+    """An SQL condition and its parameters; like Spark's, none but is null holds for a null. timed: the column holds times."""
+    name = quoted(column)
+    if operator in ("is null", "is not null"):
+        return f"{name} {operator.upper()}", []
+    name = f"replace({name}, 'T', ' ')" if timed else name
+    if operator in ("in", "not in"):
+        return f"{name} {operator.upper()} ({', '.join('?' * len(value))})", list(value)
+    if operator in ("=", "!=", "<", "<=", ">", ">="):
+        return f"{name} {operator} ?", [value]
+    if operator in _TEXT:
+        text = _TEXT[operator].format(name)
+        return f"{name} IS NOT NULL AND {text.replace('?1', '?')}", [value] * text.count("?1")
+    raise ValueError(f"no operator {operator!r}")
+
+
+def _plain(value):
+    """A value as JSON holds it; times as the files do."""
+    if isinstance(value, datetime):
+        return (value.astimezone(timezone.utc) if value.tzinfo else value).strftime("%Y-%m-%d %H:%M:%S.%f")
+    return [_plain(v) for v in value] if isinstance(value, (list, tuple, set, frozenset)) else value
 
 
 class Rows(InputPartition):
@@ -76,7 +75,8 @@ class _Table:
     def __init__(self, schema: StructType, options) -> None:
         self.schema, self.paths, self.table = schema, options["path"].split(","), options.get("table", "log_rows")
         self.rows = int(options.get("rowsperpartition", options.get("rowsPerPartition", ROWS_PER_PARTITION)))
-        self.where: list[tuple[str, list]] = []
+        kinds = dict(c.split() for c in CALL_LOG.split(", ")) | {f.name: f.dataType.typeName() for f in schema.fields}
+        self.where = [condition(*c, timed=kinds.get(c[0]) == "timestamp") for c in json.loads(options.get("where", "[]"))]
 
     def ranges(self, path: str, low: int, high: int) -> list[Rows]:
         return [Rows(path, a, min(a + self.rows, high)) for a in range(low, high, self.rows)]
@@ -114,14 +114,6 @@ class SqliteReader(DataSourceReader):
     def __init__(self, schema: StructType, options) -> None:
         self.of = _Table(schema, options)
 
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
-        kinds = {f.name: f.dataType.typeName() for f in self.of.schema.fields}
-        for f in filters:
-            if found := condition(f, kinds):
-                self.of.where.append(found)
-            else:
-                yield f
-
     def partitions(self) -> list[InputPartition]:
         found = []
         for path in self.of.paths:
@@ -169,23 +161,23 @@ class SqliteSource(DataSource):
         return SqliteStream(schema, self.options)
 
 
-def _set_up(spark: SparkSession, reader, path: str, table: str, schema: str | None, rows_per_partition: int, columns: tuple[str, ...]):
+def _set_up(spark: SparkSession, reader, path: str, table: str, schema: str | None, rows_per_partition: int, columns: tuple[str, ...], where: tuple[Condition, ...]):
     spark.dataSource.register(SqliteSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    reader = reader.format("callgauge_sqlite").option("path", path).option("table", table).option("rowsPerPartition", rows_per_partition)
+    conditions = json.dumps([[_plain(x) if i == 2 else x for i, x in enumerate(c)] for c in where])
+    reader = reader.format("callgauge_sqlite").option("path", path).option("table", table).option("rowsPerPartition", rows_per_partition).option("where", conditions)
     if columns and not schema:
         reader = reader.option("columns", ",".join(columns))
     return (reader.schema(schema) if schema else reader).load()
 
 
-def read_sqlite(spark: SparkSession, path: str, table: str = "log_rows", schema: str | None = None, rows_per_partition: int = ROWS_PER_PARTITION, columns: tuple[str, ...] = ()) -> DataFrame:
-    """The table's rows; ``columns`` are the only ones read, if they are given."""
-    return _set_up(spark, spark.read, path, table, schema, rows_per_partition, columns)
+def read_sqlite(spark: SparkSession, path: str, table: str = "log_rows", schema: str | None = None, rows_per_partition: int = ROWS_PER_PARTITION, columns: tuple[str, ...] = (), where: tuple[Condition, ...] = ()) -> DataFrame:
+    """The table's rows that all conditions of ``where`` hold for, such as ("provider", "=", "groq"); ``columns`` are the only ones read, if they are given."""
+    return _set_up(spark, spark.read, path, table, schema, rows_per_partition, columns, where)
 
 
-def follow_sqlite(spark: SparkSession, path: str, table: str = "log_rows", schema: str | None = None, rows_per_partition: int = ROWS_PER_PARTITION, columns: tuple[str, ...] = ()) -> DataFrame:
+def follow_sqlite(spark: SparkSession, path: str, table: str = "log_rows", schema: str | None = None, rows_per_partition: int = ROWS_PER_PARTITION, columns: tuple[str, ...] = (), where: tuple[Condition, ...] = ()) -> DataFrame:
     """A stream of the table's rows, from its beginning on."""
-    return _set_up(spark, spark.readStream, path, table, schema, rows_per_partition, columns)
+    return _set_up(spark, spark.readStream, path, table, schema, rows_per_partition, columns, where)
 
 
 def write_sqlite(calls: DataFrame, folder: str, table: str = "log_rows") -> list[str]:

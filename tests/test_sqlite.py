@@ -1,6 +1,7 @@
 import datetime as dt
 import sqlite3
 
+import pytest
 from pyspark.sql import functions as F
 
 from callgauge import schemas
@@ -23,31 +24,36 @@ def made(path, rows=ROWS):
     return str(path)
 
 
-def test_filters_become_parameters(spark, tmp_path):
-    frame = read_sqlite(spark, made(tmp_path / "a.db"), rows_per_partition=2)
-    at = dt.datetime(2024, 1, 2, 12)
+def test_conditions_hold_as_in_spark(spark, tmp_path):
+    path, at = made(tmp_path / "a.db"), dt.datetime(2024, 1, 2, 12)
+    whole = read_sqlite(spark, path, rows_per_partition=2).persist()
     cases = [
-        (F.col("provider") == "groq", "ab"), (F.col("provider") != "groq", "d"), (F.col("prompt_tokens") > 0, "ac"), (F.col("latency_ms").isNull(), "b"), (F.col("latency_ms").isNotNull(), "acd"),
-        (F.col("timestamp") >= at, "bc"), (F.col("timestamp") < at, "a"), (F.col("timestamp") == at, "b"), (F.col("provider").isin("groq", "openai"), "abd"), (~F.col("provider").isin("groq"), "d"),
-        (F.col("provider").eqNullSafe("groq"), "ab"), (F.col("prompt").startswith("it'"), "b"), (F.col("prompt").endswith("%"), "a"), (F.col("prompt").contains("_"), "d"), (F.col("prompt").endswith(""), "abd"),
-        ((F.col("provider") == "groq") | (F.col("prompt_tokens") == 9), "abc"), ((F.col("provider") == "groq") & (F.col("latency_ms") <= 3), "a"), (F.length("prompt") == 4, "ab"), (F.col("log_id") == "x'; DROP TABLE log_rows; --", ""),
+        (("provider", "=", "groq"), F.col("provider") == "groq"), (("provider", "!=", "groq"), F.col("provider") != "groq"), (("prompt_tokens", ">", 0), F.col("prompt_tokens") > 0),
+        (("latency_ms", "is null"), F.col("latency_ms").isNull()), (("latency_ms", "is not null"), F.col("latency_ms").isNotNull()), (("timestamp", ">=", at), F.col("timestamp") >= at), (("timestamp", "<", at), F.col("timestamp") < at),
+        (("timestamp", "=", at), F.col("timestamp") == at), (("provider", "in", ["groq", "openai"]), F.col("provider").isin("groq", "openai")), (("provider", "not in", ["groq"]), ~F.col("provider").isin("groq")),
+        (("prompt", "startswith", "it'"), F.col("prompt").startswith("it'")), (("prompt", "endswith", "%"), F.col("prompt").endswith("%")), (("prompt", "contains", "_"), F.col("prompt").contains("_")), (("prompt", "endswith", ""), F.col("prompt").endswith("")),
+        (("log_id", "=", "x'; DROP TABLE log_rows; --"), F.lit(False)),
     ]
-    for where, expected in cases:
-        assert "".join(sorted(r.log_id for r in frame.filter(where).select("log_id").collect())) == expected, where
-
-
-def test_the_plan_shows_what_is_pushed(spark, tmp_path):
-    frame = read_sqlite(spark, made(tmp_path / "a.db"), columns=("log_id", "provider", "prompt_tokens", "timestamp"))
-    assert frame.columns == ["log_id", "provider", "prompt_tokens", "timestamp"]
-    found = frame.filter((F.col("provider") == "groq") & (F.col("prompt_tokens") > 3) & (F.col("timestamp") < dt.datetime(2025, 1, 1)))
-    plan = found._jdf.queryExecution().executedPlan().toString()
-    assert "Filter (" not in plan.split("BatchScan")[0].replace("Filter (isnotnull", "")
-    reader = sqlite_source.SqliteReader(frame.schema, {"path": "p"})
-    left = list(reader.pushFilters([sqlite_source.EqualTo(("provider",), "groq"), sqlite_source.GreaterThan(("prompt_tokens",), 3), sqlite_source.EqualTo(("other",), 1)]))
-    text, bound = reader.of.statement(sqlite_source.Rows("p", 1, 9))
-    assert text == 'SELECT "log_id", "provider", "prompt_tokens", "timestamp" FROM "log_rows" WHERE (rowid >= ? AND rowid < ?) AND ("provider" = ?) AND ("prompt_tokens" > ?)'
-    assert bound == [1, 9, "groq", 3] and [f.attribute for f in left] == [("other",)]
-    assert found.count() == 1
+    for condition, in_spark in cases:
+        found = read_sqlite(spark, path, columns=("log_id",), where=(condition, ("log_id", "is not null")))
+        assert sorted(r.log_id for r in found.collect()) == sorted(r.log_id for r in whole.filter(in_spark).collect()), condition
+    whole.unpersist()
+    with pytest.raises(ValueError):
+        sqlite_source.condition("a", "or 1 = 1 --", 1)
+
+
+def test_a_frame_is_the_same_after_a_filter(spark, tmp_path):
+    frame = read_sqlite(spark, made(tmp_path / "a.db"))
+    assert [frame.filter("provider = 'groq'").count(), frame.count(), frame.filter("provider = 'groq' OR prompt_tokens = 9").count()] == [2, 4, 3]
+
+
+def test_values_are_bound_and_columns_chosen(spark, tmp_path):
+    frame = read_sqlite(spark, made(tmp_path / "a.db"), columns=("log_id", "prompt_tokens"), where=(("provider", "=", "groq"), ("timestamp", "<", dt.datetime(2024, 1, 2))))
+    assert frame.columns == ["log_id", "prompt_tokens"] and frame.count() == 1
+    table = sqlite_source._Table(frame.schema, {"path": "p", "where": '[["provider", "=", "groq"], ["timestamp", "<", "2024"]]'})
+    text, bound = table.statement(sqlite_source.Rows("p", 1, 9))
+    assert text == """SELECT "log_id", "prompt_tokens" FROM "log_rows" WHERE (rowid >= ? AND rowid < ?) AND ("provider" = ?) AND (replace("timestamp", 'T', ' ') < ?)"""
+    assert bound == [1, 9, "groq", "2024"]
 
 
 def test_odd_files(spark, tmp_path):
