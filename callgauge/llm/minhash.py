@@ -2,7 +2,7 @@
 
 A document's signature is the minima of its shingle set under 64 hash functions, each reduced to 16 bits (b-bit MinHash).
 At a likeness (Jaccard) of 0.85 the mean number of minima that differ is 9.6; signatures that differ in at most ``MOST`` = 22 of them are looked for, so
-a pair at exactly 0.85 is missed in about 2 of 100,000 cases, one at 0.9 in less than one of 10^8. The search itself misses nothing: by pigeonhole, of 12 chunks of five or six
+a pair at exactly 0.85 is missed in about 3 of 100,000 cases, one at 0.9 in about one of 40 million. The search itself misses nothing: by pigeonhole, of 12 chunks of five or six
 minima one has at most one error, and each chunk is indexed under every variant with one of its minima left out, so two such signatures
 meet under some key. Proposed pairs are held against that distance and then against the full shingle sets.
 
