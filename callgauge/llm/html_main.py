@@ -6,17 +6,17 @@ lies in a main block (``article``, ``main`` or a class of such a name) is rounde
 choose the block and nothing of it gets lost. The region's words, without those of blocks beside, are the main text.
 
 Weights are log-odds counted on labelled pages: pages that mark their main text themselves by one ``article`` element.
-A tag costs the more, the oftener its kind (name, classes, id, role) stands outside the main text. A block is beside the
+A tag costs the more, the oftener its kind (name, classes, id, role; hyphens and underscores don't count) stands outside the main text. A block is beside the
 main text by its name (``CHROME``) or if words below its class, id or role stand outside the main text on labelled
-pages; words below ``CHROME`` teach nothing about the kinds within, so a menu's links don't speak against links.
-``BESIDE`` names count as a few words seen outside, which labelled pages outweigh. An element that
-holds a main block, or a form that holds most words of its page, is a wrapper and not a block beside; a header in a main block is part of it.
+pages; neither words nor tags below ``CHROME``, nor tags below ``BESIDE`` names, teach anything about the kinds within, so a menu's links and lists don't
+speak against links and lists. ``BESIDE`` names count as a few words seen outside, which labelled pages outweigh. An element that
+holds a main block, or a form that holds most words of its page, is a wrapper and not a block beside; a header in a main block is part of it, and so are elements within a line, whatever their classes.
 
 The weights are fitted on about ``SAMPLE`` pages by a hash of their html, all kinds of at least ``LEAST_PAGES`` of them; others are neutral.
-Extraction is one pass over all pages without a shuffle.
+Extraction is one pass over all pages without a shuffle; time is linear in a page's length, however deep or broken its markup.
 
 Behaviour: null and empty pages have empty texts; broken markup is read as far as it goes, unclosed
-blocks end with their parent; repeated rows are treated alike; an empty table gives an empty result; other
+blocks end with their parent, and a tag with an unclosed quote ends at its first ``>``; repeated rows are treated alike; an empty table gives an empty result; other
 columns pass through, one named like an added column is replaced.
 """
 
@@ -42,11 +42,11 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 #: Elements that stand beside the main text by their name.
 CHROME = frozenset("nav footer aside form header menu dialog button select head".split())
 #: Elements, classes and ids that mark a main block.
-MAIN = frozenset("article main .article .content .entry .main .post .story".split())
+MAIN = frozenset("article main .article .articlebody .articlecontent .content .entry .entrycontent .main .maincontent .post .postbody .postcontent .story .storybody".split())
 #: Classes, ids and roles that pages commonly give to blocks beside the main text; they count as ``BESIDE_WORDS`` words seen outside.
 BESIDE = frozenset(
     """
-    .ad .ads .advert .advertisement .adverts .alert .banner .breadcrumb .breadcrumbs .comment .comment-list .comments .consent .contentinfo
+    .ad .ads .advert .advertisement .adverts .alert .banner .breadcrumb .breadcrumbs .comment .commentlist .comments .consent .contentinfo
     .cookie .cookies .copyright .disqus .footer .header .legal .login .menu .modal .nav .navbar .navigation .newsletter .notice .overlay .pager
     .pagination .popup .promo .promotion .recommended .related .replies .search .share .sidebar .signup .skip .social .sponsor .sponsored
     .subscribe .toolbar .topbar .widget
@@ -57,27 +57,39 @@ SAMPLE = 20_000
 LEAST_PAGES = 3
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|[^<]++|<", re.S)
+#: A tag read without regard to quotes, and the tags of a page with an unclosed quote after which all are read so.
+_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*)(?:>|\Z)")
+UNCLOSED_QUOTES = 8
 _ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _CLOSED_BY: dict[str, frozenset[str]] = {"p": frozenset("p div ul ol table section article h1 h2 h3 h4 h5 h6 pre blockquote form nav aside footer header main figure".split()), "li": frozenset(["li"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"]), "dd": frozenset(["dd", "dt"]), "dt": frozenset(["dd", "dt"])}
 
 
 def kinds_of(name: str, attributes: str) -> tuple[str, ...]:
-    """A tag's kinds: its name, and its classes, id and role with the sign of where they stand."""
+    """A tag's kinds: its name, and after a dot its classes, id and role, lower-cased without hyphens and underscores."""
     out = [name]
     if "=" in attributes:
         for key, *values in _ATTRIBUTE.findall(attributes):
-            out += ["." + v for v in next(filter(None, values), "").lower().split()]
+            out += ["." + v for v in next(filter(None, values), "").lower().replace("-", "").replace("_", "").split()]
     return tuple(out)
 
 
 def tokens(page: str) -> Iterator[tuple[str, object, object]]:
     """("text", string, None), ("open", name, kinds) and ("close", name, None) in page order; blocks close properly."""
     stack: list[str] = []
+    depth: Counter = Counter()  # of each name on the stack
     unclosed: set[str] = set()
-    at, low = 0, None
-    scan = _TOKEN.match
+    at, low, odd = 0, None, 0
+
+    def pop() -> str:
+        top = stack.pop()
+        depth[top] -= 1
+        return top
+
     while at < len(page):
-        m = scan(page, at)
+        m = _PLAIN_TAG.match(page, at) if odd >= UNCLOSED_QUOTES else None
+        m = m or _TOKEN.match(page, at)
+        if m.end() == at + 1 and (plain := _PLAIN_TAG.match(page, at)):
+            m, odd = plain, odd + 1
         at = m.end()
         name = m.group(2)
         if name is None:
@@ -87,15 +99,15 @@ def tokens(page: str) -> Iterator[tuple[str, object, object]]:
             continue
         name = name.lower()
         if m.group(1):
-            if name in stack:
+            if depth[name]:
                 while True:
-                    top = stack.pop()
+                    top = pop()
                     yield "close", top, None
                     if top == name:
                         break
             continue
         while stack and name in _CLOSED_BY.get(stack[-1], ()):
-            yield "close", stack.pop(), None
+            yield "close", pop(), None
         yield "open", name, kinds_of(name, m.group(3))
         if name in ("svg", "math") and m.group(3).endswith("/"):
             yield "close", name, None
@@ -115,6 +127,7 @@ def tokens(page: str) -> Iterator[tuple[str, object, object]]:
             yield "close", name, None
         else:
             stack.append(name)
+            depth[name] += 1
     while stack:
         yield "close", stack.pop(), None
 
@@ -126,28 +139,38 @@ def is_main(kinds: tuple[str, ...]) -> bool:
 def count_kinds(page: str) -> Counter:
     """Of each kind: tags outside and inside the one ``article``, and words below such tags but not below ``CHROME``.
 
-    Empty if the page has no article or several.
+    Tags below ``CHROME`` or below a block of a ``BESIDE`` name don't count. Empty if the page has no article or several.
     """
     out: Counter = Counter()
     above: list[tuple[str, ...]] = []
-    inside, n_main, chrome = 0, 0, 0
+    open_kinds: dict[str, list[int]] = {}  # of each kind: open elements, and words outside and inside before the first of them
+    words = [0, 0]
+    inside, n_main, chrome, apart = 0, 0, 0, 0
     for what, value, kinds in tokens(page):
         if what == "open":
             main = value == "article"
             n_main += main and not inside
             inside += main or inside > 0
-            chrome += value in CHROME or chrome > 0
             for k in kinds:
-                out[k, "tags", bool(inside) and not main] += 1
+                out[k, "tags", bool(inside) and not main] += not apart
+            chrome += value in CHROME or chrome > 0
+            apart += value in CHROME or value not in INLINE and not BESIDE.isdisjoint(kinds) or apart > 0
+            for k in set(kinds):
+                open_kinds.setdefault(k, [0, *words])[0] += 1
             above.append(kinds)
         elif what == "close":
-            above.pop()
-            inside, chrome = max(0, inside - 1), max(0, chrome - 1)
+            for k in set(above.pop()):
+                n, outside, within = open_kinds[k]
+                open_kinds[k][0] -= 1
+                if n == 1:
+                    out[k, "words", False] += words[0] - outside
+                    out[k, "words", True] += words[1] - within
+                    del open_kinds[k]
+            inside, chrome, apart = max(0, inside - 1), max(0, chrome - 1), max(0, apart - 1)
         elif not chrome and (n := len(value.split())):
-            for k in {k for kinds in above for k in kinds}:
-                out[k, "words", bool(inside)] += n
-            out["", "words", bool(inside)] += n
-    return out if n_main == 1 else Counter()
+            words[inside > 0] += n
+    out["", "words", False], out["", "words", True] = words
+    return +out if n_main == 1 else Counter()
 
 
 def _count_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,30 +211,33 @@ class Weights:
         return max(self.tag.get(k, self.unknown_tag) for k in kinds)
 
     def is_beside(self, kinds: tuple[str, ...]) -> bool:
-        return kinds[0] in RAW or kinds[0] not in ("html", "body") and not self.beside.isdisjoint(kinds)
+        """Whether an element of these kinds is struck: never one within a line, nor the page itself."""
+        return kinds[0] in RAW or kinds[0] not in INLINE and kinds[0] not in ("html", "body") and not self.beside.isdisjoint(kinds)
 
 
 def wrappers(page: list[tuple[str, object, object]]) -> tuple[set[int], bool]:
     """Places of the opened elements that hold a main block and of forms that hold over half of the words; whether a single outermost main block has words."""
     out: set[int] = set()
-    path: list[int] = []
-    words, forms, mains = 0, Counter(), set()
+    path: list[tuple[int, bool, int, int]] = []  # place, whether it's a main block, main blocks opened and words before
+    forms: dict[int, int] = {}
+    words, opened, within, mains = 0, 0, 0, 0
     for i, (what, value, kinds) in enumerate(page):
         if what == "open":
-            if is_main(kinds):
-                out.update(path)
-            path.append(i)
+            main = is_main(kinds)
+            opened += main
+            within += main
+            path.append((i, main, opened, words))
         elif what == "close":
-            path.pop()
+            at, main, before, earlier = path.pop()
+            within -= main
+            mains += main and not within and words > earlier
+            if opened > before:
+                out.add(at)
+            if value == "form":
+                forms[at] = words - earlier
         else:
-            n = len(value.split())
-            words += n
-            for at in path:
-                if page[at][1] == "form":
-                    forms[at] += n
-            if n and (main := next((at for at in path if is_main(page[at][2])), None)) is not None:
-                mains.add(main)
-    return out | {at for at, n in forms.items() if 2 * n > words}, len(mains) == 1
+            words += len(value.split())
+    return out | {at for at, n in forms.items() if 2 * n > words}, mains == 1
 
 
 def main_text(page: str | None, weights: Weights) -> str:

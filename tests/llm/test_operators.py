@@ -375,6 +375,45 @@ def test_kinds_beside_are_learned(spark):
     assert texts == {"One two three four five six " + " ".join(["seven"] * 20), "Seven eight nine", ""}
 
 
+def test_elements_within_a_line_are_never_struck():
+    page = "<article><p>About <span class='search'>search engines</span> and <b class='ad'>ads</b> ok</p></article>"
+    assert html_main.main_text(page, NO_COUNTS) == "About search engines and ads ok"
+    assert html_main.main_text(page.replace("article", "div"), NO_COUNTS) == "About search engines and ads ok"
+
+
+def test_names_of_classes_match_without_hyphens():
+    page = "<body><div class='post-content'><p>one two three four</p></div><div class='side-bar'>x y z side</div><div id='Comment_List'>what a page it is, what a page</div></body>"
+    assert html_main.main_text(page, NO_COUNTS) == "one two three four"
+
+
+def corpus_weights_of_pages(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    return pages, html_main.fit_weights(spark.createDataFrame([(p,) for p in pages], "html string"))
+
+
+def test_pages_without_a_mark_keep_lists_tables_and_their_article(spark):
+    pages, weights = corpus_weights_of_pages(spark)
+    page = "<body><nav><ul><li><a>menu</a></li></ul></nav><div id=page><h1>Title</h1><p>one two three</p><ul><li>a</li><li>b</li></ul><table><tr><td>c</td><td>d</td></tr></table><p>End</p></div></body>"
+    assert html_main.main_text(page, weights) == "Title one two three a b c d End"
+    for p in pages:
+        unmarked = (p or "").replace("<article>", "<div>").replace("</article>", "</div>")
+        assert html_main.main_text(unmarked, weights) == plain_article(p)
+
+
+@pytest.mark.parametrize("page", ["<b>x" * 100_000, "<article>x" * 100_000, "<form>x" * 100_000, "<b>x" * 50_000 + "</i>y" * 50_000, "<a \"x" * 100_001, "<div class=content><p class=a>x" * 50_000, "<svg>x" * 100_000], ids=str.__len__)
+def test_html_takes_linear_time(page):
+    began = time.time()
+    html_main.main_text(page, NO_COUNTS)
+    html_main.count_kinds("<article>one</article>" + page)
+    html_main.count_kinds(page)
+    assert time.time() - began < 10
+
+
+def test_unclosed_quotes_end_at_the_tag():
+    assert html_main.main_text("<article><p>one <a href=\"x>two</a> three</p></article>", NO_COUNTS) == "one two three"
+    assert html_main.main_text("<article>" + "<p title='>word</p>" * 21 + "</article>", NO_COUNTS).split()[-1] == "word"
+
+
 def test_icons_and_unclosed_raw_elements_leave_the_text():
     for tag in ("<svg class=icon/>", "<svg />", "<math/>", "<svg>", "<textarea>", "<canvas id=x>"):
         assert html_main.main_text(f"<article>{tag}<p>One two three</p></article>", NO_COUNTS) == "One two three"
