@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .json_checks import strict_value
+from .json_dump import dumped_member
 
 #: Fixed: the hosts whose traffic is captured, and the providers looked for in a host, in order.
 DEFAULT_HOSTS = ("api.groq.com", "openrouter.ai", "api.openai.com", "api.anthropic.com")
@@ -61,9 +62,10 @@ def model_id(request: Column, response: Column) -> Column:
     return F.coalesce(_filled(request, "$.model"), _filled(response, "$.model"), F.lit("unknown"))
 
 
-def prompt_of(request: Column) -> Column:
-    """The messages as JSON, or else the prompt, capped; empty if there is neither."""
-    return F.left(F.coalesce(_filled(request, "$.messages"), _filled(request, "$.prompt"), F.lit("")), F.lit(TEXT_CAP))
+def prompt_of(request: Column, body: Column) -> Column:
+    """The messages as Python dumps them, or else the prompt, capped; empty if there is neither. request: the text ``body``, parsed."""
+    messages = F.when(_filled(request, "$.messages").isNotNull(), dumped_member(body, "messages", F.try_variant_get(request, "$.messages", "variant"), TEXT_CAP))
+    return F.coalesce(messages, F.left(_filled(request, "$.prompt"), F.lit(TEXT_CAP)), F.lit(""))
 
 
 def request_parameters(request: Column) -> Column:

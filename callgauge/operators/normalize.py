@@ -30,7 +30,7 @@ def normalize_exchanges(raw: DataFrame, hosts: Iterable[str] | None = None, inte
         F.lit(integration_path).alias("integration_path"),
         X.normal_provider(X.provider_of(F.col("host"))).alias("provider"),
         X.model_id(F.col("request"), response).alias("model_id"),
-        X.prompt_of(F.col("request")).alias("prompt"),
+        X.prompt_of(F.col("request"), F.col("request_body")).alias("prompt"),
         F.when(~failed, X.response_text(response)).alias("response_text"),
         X.request_parameters(F.col("request")).alias("request_params_json"),
         outcome.alias("outcome"),

@@ -105,7 +105,7 @@ def outcome_from_status(spark, sf_dir):
 
 
 def _bodies(spark, sf_dir):
-    return views.exchanges(spark, sf_dir).select("log_id", "event_id", exchanges.parsed(F.col("request_body")).alias("request"), exchanges.parsed(F.col("response_body")).alias("response"))
+    return views.exchanges(spark, sf_dir).select("log_id", "event_id", "request_body", exchanges.parsed(F.col("request_body")).alias("request"), exchanges.parsed(F.col("response_body")).alias("response"))
 
 
 _REQ, _RESP = ("CASE WHEN json_valid({0}_body) AND json_type({0}_body) = 'OBJECT' THEN {0}_body END".format(x) for x in ("request", "response"))
@@ -116,9 +116,24 @@ def model_id_coalesce(spark, sf_dir):
     return _bodies(spark, sf_dir).select("log_id", exchanges.model_id(F.col("request"), F.col("response")).alias("model_id"))
 
 
-@query(f"SELECT log_id, coalesce(CAST(json_extract({_REQ}, '$.messages') AS VARCHAR), json_extract_string({_REQ}, '$.prompt'), '') AS prompt FROM exchanges")
+_DUMPED = "list_aggregate(list_transform(regexp_extract_all({0}, '\"(?:[^\"\\\\]|\\\\.)*\"|[,:]|[^\",:]+'), lambda t: CASE WHEN t IN (',', ':') THEN t || ' ' ELSE t END), 'string_agg', '')"
+
+
+@query(f"SELECT log_id, coalesce({_DUMPED.format(f"CAST(json_extract({_REQ}, '$.messages') AS VARCHAR)")}, json_extract_string({_REQ}, '$.prompt'), '') AS prompt FROM exchanges")
 def request_prompt(spark, sf_dir):
-    return _bodies(spark, sf_dir).select("log_id", exchanges.prompt_of(F.col("request")).alias("prompt"))
+    return _bodies(spark, sf_dir).select("log_id", exchanges.prompt_of(F.col("request"), F.col("request_body")).alias("prompt"))
+
+
+_CHARACTER = r"""CASE WHEN c = '"' THEN '\"' WHEN c = '\' THEN '\\' WHEN c = chr(8) THEN '\b' WHEN c = chr(9) THEN '\t' WHEN c = chr(10) THEN '\n' WHEN c = chr(12) THEN '\f' WHEN c = chr(13) THEN '\r'
+WHEN unicode(c) BETWEEN 32 AND 126 THEN c WHEN unicode(c) < 65536 THEN printf('\u%04x', unicode(c)) ELSE printf('\u%04x\u%04x', 55296 + (unicode(c) - 65536) // 1024, 56320 + (unicode(c) - 65536) % 1024) END"""
+
+
+@query(f"""SELECT doc_id, left('[{{"role": "user", "n_chars": ' || n_chars || ', "content": "' || coalesce(list_aggregate(list_transform(string_split(text, ''), lambda c: {_CHARACTER}), 'string_agg', ''), '') || '"}}]', {exchanges.TEXT_CAP}) AS prompt FROM documents WHERE text IS NOT NULL AND n_chars IS NOT NULL""")
+def prompt_dumps(spark, sf_dir):
+    said = F.array(F.struct(F.lit("user").alias("role"), "n_chars", F.col("text").alias("content")))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("text IS NOT NULL AND n_chars IS NOT NULL")
+    bodies = docs.select("doc_id", F.to_json(F.struct(F.lit("m").alias("model"), said.alias("messages"))).alias("body"))
+    return bodies.select("doc_id", exchanges.prompt_of(exchanges.parsed(F.col("body")), F.col("body")).alias("prompt"))
 
 
 @query(f"SELECT log_id, CAST(json_extract({_REQ}, '$.temperature') AS BIGINT) AS temperature, CAST(json_extract({_REQ}, '$.max_tokens') AS BIGINT) AS max_tokens, false AS has_content FROM exchanges")

@@ -151,7 +151,7 @@ def test_windows_of_several_days(spark):
 def test_truth_goes_by_type(spark):
     cases = [('"0"', "0"), ('"false"', "false"), ('"[]"', "[]"), ('"{}"', "{}"), ('""', ""), ("0", ""), ("0.0", ""), ("false", ""), ("null", ""), ("[]", ""), ("{}", ""), ("7", "7"), ("true", "true"), ('"x"', "x")]
     bodies = spark.createDataFrame([(f'{{"prompt":{value}}}', expected) for value, expected in cases] + [("{}", "")], "body string, expected string")
-    for r in bodies.select("body", "expected", exchanges.prompt_of(exchanges.parsed(F.col("body"))).alias("found")).collect():
+    for r in bodies.select("body", "expected", exchanges.prompt_of(exchanges.parsed(F.col("body")), F.col("body")).alias("found")).collect():
         assert r.found == r.expected, r.body
 
 
