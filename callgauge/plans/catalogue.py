@@ -13,7 +13,7 @@ from ..schemas import RAW_EXCHANGES
 from ..sources import tasks as task_sets
 from ..sources.sqlite_source import follow_sqlite, read_sqlite, write_sqlite
 from ..sources.store import CallStore
-from ..streaming import capture
+from ..streaming import capture, rates
 from . import views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -425,6 +425,23 @@ def captured_calls(spark, sf_dir):
     return store.calls().select("log_id", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "integration_path", "provider", "outcome", "latency_ms")
 
 
+@query("""SELECT log_id, provider, calls_in_window FROM (SELECT *, count(*) OVER (PARTITION BY provider ORDER BY timestamp RANGE BETWEEN INTERVAL 60 SECONDS PRECEDING AND CURRENT ROW) AS calls_in_window,
+max(timestamp) OVER () - INTERVAL 10 MINUTES AS watermark FROM call_log) WHERE (floor(epoch(timestamp) / 60) + 1) * 60 <= epoch(watermark)""")
+def streamed_rates(spark, sf_dir):
+    """Calls in the minute up to each call, counted by the stream; the stretches that its watermark has passed."""
+    where, (setting, rocks) = _scratch(spark), rates.STATE_STORE
+    calls = views.call_log(spark, sf_dir).select("log_id", "provider", F.col("timestamp").cast("timestamp").alias("timestamp"))
+    calls.write.parquet(f"{where}/in")
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, rocks)
+    try:
+        found = rates.calls_in_window(spark.readStream.schema(calls.schema).parquet(f"{where}/in"), 60, "10 minutes")
+        found.writeStream.option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).format("parquet").start(f"{where}/out").awaitTermination()
+    finally:
+        spark.conf.set(setting, before) if before else spark.conf.unset(setting)
+    return spark.read.schema(found.schema).parquet(f"{where}/out").select("log_id", "provider", "calls_in_window")
+
+
 @query(_POINTS)
 def run_once_points(spark, sf_dir):
     """Points of graded calls that came in two batches of the evaluating stream, the runs divided between them."""
