@@ -9,7 +9,8 @@ text's chunk bytes that the other text holds too (containment).
 Behaviour: a null text counts as empty; an empty text has an empty fingerprint, which is contained
 in an empty one (1.0) and in no other (0.0); equal texts have equal fingerprints; rows of equal
 doc_id follow each other in the order of their texts; a null doc_id comes first; an empty table
-gives an empty result.
+gives an empty result. ``fingerprints`` passes other columns through and replaces one named
+``fingerprint``; ``compare_with_edits`` doesn't read them.
 """
 
 from __future__ import annotations
@@ -26,9 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import appended
+from .words import parts_of
 
 WINDOW, LEAST, NORMAL, MOST = 32, 32, 64, 256
 HARD_BITS, EASY_BITS = 8, 4
+#: Bytes of text that are Python objects at a time, if not one text has more.
+TEXT_BYTES = 4 << 20
 
 _GEAR = np.random.default_rng(64_32_256).integers(0, 2**32, 256, dtype=np.uint32)
 
@@ -126,7 +130,7 @@ EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, e
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = None
-    for batch in batches:
+    for batch in (part for whole in batches for part in parts_of(whole, 3, TEXT_BYTES)):
         out = []
         for _, tail, doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
             if tail and held is None:  # of several rows of the successor's id only the first counts
