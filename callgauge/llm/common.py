@@ -72,6 +72,20 @@ def hot_join(rows: DataFrame, stats: DataFrame, on: list[str], n: str, total: in
     return dealt.join(spread, [*on, "_salt"]).drop("_salt")
 
 
+#: Pairs of a node that are not worth a copy of its set in another task.
+FEW_PAIRS = 256
+
+
+def with_ends(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    """``pairs`` and the ``column`` of both ends as a and b; ends of many pairs are dealt over tasks."""
+    total, met = max(pairs.count(), SPLITS * FEW_PAIRS), pairs
+    for end, name in (("src", "a"), ("dst", "b")):
+        n = pairs.groupBy(F.col(end).alias("node")).agg(F.count("*").alias("n"))
+        stats = table.select("node", F.col(column).alias(name)).join(n, "node").withColumnRenamed("node", end)
+        met = hot_join(met, stats, [end], "n", total, by=["src", "dst"]).drop("n")
+    return met
+
+
 def bounded_sample(df: DataFrame, key: str, bound: int, seed: int) -> DataFrame:
     """About ``bound`` rows of ``df`` by a hash of ``key`` (all, if there are no more), to fit a model on."""
     total = df.count()

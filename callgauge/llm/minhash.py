@@ -27,15 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, SPLITS, discard, hot_join, settled
+from .common import SPACES, discard, hot_join, settled, with_ends
 from .components import connected_components
 from .words import Words, byte_classes, mixed, parts_of
 
 MINIMA, CHUNKS, MOST = 64, 12, 22
 #: Documents of a key that propose all of their pairs.
 SMALL = 16
-#: Pairs of a node that are not worth a copy of its set in another task.
-FEW_PAIRS = 256
 #: Fewer shingles than these are each more than this part of all rows; their order needs no counts.
 COMMON = 4096
 #: Likeness in hundredths.
@@ -155,16 +153,6 @@ def _meetings(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs, large
 
 
-def _with_ends(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
-    """``pairs`` and the ``column`` of both ends as a and b; ends of many pairs are dealt over tasks."""
-    total, met = max(pairs.count(), SPLITS * FEW_PAIRS), pairs
-    for end, name in (("src", "a"), ("dst", "b")):
-        n = pairs.groupBy(F.col(end).alias("node")).agg(F.count("*").alias("n"))
-        stats = table.select("node", F.col(column).alias(name)).join(n, "node").withColumnRenamed("node", end)
-        met = hot_join(met, stats, [end], "n", total, by=["src", "dst"]).drop("n")
-    return met
-
-
 def _shingles(wanted: DataFrame, nodes: DataFrame, texts: DataFrame, length: int) -> DataFrame:
     """(node, shingles) of the nodes ``wanted``, settled."""
     chosen = nodes.join(wanted.distinct(), "node", "left_semi").select("node", "key")
@@ -174,10 +162,10 @@ def _shingles(wanted: DataFrame, nodes: DataFrame, texts: DataFrame, length: int
 
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, length: int) -> DataFrame:
     """The pairs alike by 0.85 or more, settled."""
-    near = settled(_with_ends(pairs, nodes, "signature").select("src", "dst", "a", "b").mapInArrow(_near, "src long, dst long"))
+    near = settled(with_ends(pairs, nodes, "signature").select("src", "dst", "a", "b").mapInArrow(_near, "src long, dst long"))
     sets = _shingles(near.select(F.explode(F.array("src", "dst")).alias("node")), nodes, texts, length)
     both = F.size(F.array_intersect("a", "b"))
-    found = settled(_with_ends(near, sets, "shingles").filter(100 * both >= ALIKE * (F.size("a") + F.size("b") - both)).select("src", "dst"))
+    found = settled(with_ends(near, sets, "shingles").filter(100 * both >= ALIKE * (F.size("a") + F.size("b") - both)).select("src", "dst"))
     discard(near, sets)
     return found
 

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, hot_join, settled
+from .common import discard, hot_join, settled, with_ends
 from .components import connected_components
 
 SMALL_GROUP = 24
@@ -233,32 +233,42 @@ BITS = 256
 DIFFERENT = math.acos(0.8 / 0.9) / math.pi
 #: One in so many pairs alike by 0.8 agrees in no table.
 MISSED = 2000
+#: The least share of such pairs that pass a key's further bits; tables make up for the others.
+CHECKED = 0.95
+
+
+def _at_most(k: int, n: int, p: float) -> float:
+    """The probability that at most ``k`` of ``n`` bits differ, each with probability ``p``."""
+    return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
 
 
 @dataclass(frozen=True)
 class Alike:
-    """Tables of a few picked bits that propose pairs, and the bits of 256 that a proposed pair may differ in."""
+    """Tables of a few picked bits that propose pairs, and the bits of 256 that a proposed pair may differ in.
+
+    A row of the index is two numbers: a key and the number of the fingerprint. The key holds the table, the picked bits and, in what is left of 63 bits,
+    ``checks`` more bits of the fingerprint, of which a pair may differ in ``most_checks``; so nearly all that meet by chance part without their fingerprints.
+    """
 
     bits: int
     tables: int
+    checks: int
+    most_checks: int
     most: int = 60
 
     @classmethod
     def of(cls, n: int) -> Alike:
-        """Bits and tables for ``n`` fingerprints: rows of the index grow with about the fourth root of ``n``, meetings by chance no faster."""
+        """Bits and tables for ``n`` fingerprints: rows of the index grow with about the fourth root of ``n``."""
         bits = 16 + max(0, math.ceil((math.log2(max(1, n)) - 18) * 0.75))
-        return cls(bits, math.ceil(math.log(MISSED) / -math.log1p(-((1 - DIFFERENT) ** bits))))
+        tables = lambda agree: math.ceil(math.log(MISSED) / -math.log1p(-((1 - DIFFERENT) ** bits) * agree))
+        checks = 63 - bits - (tables(CHECKED) - 1).bit_length()
+        most = next(k for k in range(checks + 1) if _at_most(k, checks, DIFFERENT) >= CHECKED)
+        return cls(bits, tables(_at_most(most, checks, DIFFERENT)), checks, most)
 
     def picks(self) -> np.ndarray:
-        """(tables, bits) places of bits."""
+        """(tables, bits and checks) places of bits, the picked ones first."""
         rng = np.random.default_rng(7)
-        return np.stack([np.sort(rng.permutation(BITS)[: self.bits]) for _ in range(self.tables)])
-
-    def masks(self) -> np.ndarray:
-        """(tables, words) with the picked bits set."""
-        found = np.zeros((self.tables, BITS), np.uint8)
-        np.put_along_axis(found, self.picks(), 1, 1)
-        return np.packbits(found, axis=1, bitorder="little").view(np.uint64)
+        return np.stack([rng.permutation(BITS)[: self.bits + self.checks] for _ in range(self.tables)])
 
 
 def shingle_set(text: bytes, shingle: int) -> np.ndarray:
@@ -315,24 +325,65 @@ def _sets(shingle: int):
 
 
 def _tables(scheme: Alike):
-    """Each fingerprint under its picked bits of every table."""
+    """Each fingerprint's number under its key of every table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        picks, power = scheme.picks(), (1 << np.arange(scheme.bits)).astype(np.float64)
+        picks = scheme.picks()
+        power, lower = ((1 << np.arange(n)).astype(np.float64) for n in (scheme.bits, scheme.checks))
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
-                fp = _unbinary(batch.slice(at, 1024).column(0))
-                bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8), axis=1, bitorder="little").astype(np.float64)
-                keys = [(bits[:, p] @ power).astype(np.int64) | t << scheme.bits for t, p in enumerate(picks)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), _binary(np.tile(fp, (len(keys), 1)))], names=["signature", "fp"])
+                part = batch.slice(at, 1024)
+                fp = np.ascontiguousarray(_unbinary(part.column(0))).view(np.uint8)
+                bits = np.unpackbits(fp, axis=1, bitorder="little").astype(np.float64)
+                keys = []
+                for t, p in enumerate(picks):
+                    high, low = ((bits[:, q] @ w).astype(np.int64) for q, w in ((p[: scheme.bits], power), (p[scheme.bits :], lower)))
+                    keys.append((high | t << scheme.bits) << scheme.checks | low)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.tile(part.column(1).to_numpy(), len(keys)))], names=["key", "node"])
 
     return run
 
 
-def _first_table(differ: np.ndarray, masks: np.ndarray) -> np.ndarray:
-    """The first table in which each pair is equal; a pair counts only there."""
-    parts = [((differ[i : i + 1024, None, :] & masks) == 0).all(-1).argmax(1) for i in range(0, len(differ), 1024)]
-    return np.concatenate(parts) if parts else np.empty(0, np.int64)
+def _groups(scheme: Alike):
+    """From the index in order of keys: pairs (src, dst) of small groups that differ in few enough of the further bits, and members (signature, src) of large groups; a number by itself meets nobody."""
+    checks = (1 << scheme.checks) - 1
+
+    def meetings(key: np.ndarray, low: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+        begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        size = np.diff(np.append(begin, len(key)))
+        large = np.repeat(size > SMALL_GROUP, size)
+        at, found = np.flatnonzero(~large), [np.empty((0, 2), np.int64)]
+        for shift in range(1, SMALL_GROUP):
+            at = at[at < len(key) - shift]
+            at = at[key[at + shift] == key[at]]
+            if len(at) == 0:
+                break
+            near = at[np.bitwise_count(low[at] ^ low[at + shift]) <= scheme.most_checks]
+            found.append(np.stack((node[near], node[near + shift]), 1))
+        pairs = np.concatenate(found)
+        n, m = len(pairs), int(large.sum())
+        none = lambda k: pa.nulls(k, pa.int64())
+        columns = ((none(n), key[large]), (pairs.min(1), node[large]), (pairs.max(1), none(m)))
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(x, pa.int64()) for x in c]) for c in columns], names=["signature", "src", "dst"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = ((k >> scheme.checks, k & checks, b.column(1).to_numpy()) for b in batches for k in (b.column(0).to_numpy(),))
+        for group in _whole_groups(split):
+            yield meetings(*group)
+
+    return run
+
+
+def _near(most: int):
+    """Of pairs of numbers with their fingerprints a and b, the latter, where they differ in few enough bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (batch.column(c) for c in ("a", "b"))
+            good = pa.array(_distance(_unbinary(a) ^ _unbinary(b)) <= most)
+            yield pa.RecordBatch.from_arrays([a.filter(good), b.filter(good)], names=["src", "dst"])
+
+    return run
 
 
 def _nearest_forest(fp: np.ndarray, most: int) -> np.ndarray:
@@ -362,50 +413,36 @@ def _nearest_forest(fp: np.ndarray, most: int) -> np.ndarray:
     return np.concatenate(edges)
 
 
-def _propose(scheme: Alike):
-    """Pairs that meet and differ in few enough bits, and if they were found in a large group.
-
-    Large groups report a forest of nearest links, which connects all that are near enough; where it falls into several trees, one across them too.
-    """
-    masks = scheme.masks()
-
-    def links(key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-        def out(pairs: np.ndarray, large: bool) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([_binary(pairs[:, 0]), _binary(pairs[:, 1]), pa.array(np.full(len(pairs), large))], names=["src", "dst", "large"])
-
-        begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        size = np.diff(np.append(begin, len(key)))
-        found = [np.empty((0, 2, BITS // 64), np.uint64)]
-        at = np.flatnonzero(~np.repeat(size > SMALL_GROUP, size))
-        for shift in range(1, SMALL_GROUP):
-            at = at[at < len(key) - shift]
-            at = at[key[at + shift] == key[at]]
-            if len(at) == 0:
-                break
-            differ = fp[at] ^ fp[at + shift]
-            good = _distance(differ) <= scheme.most
-            good[good] = _first_table(differ[good], masks) == key[at[good]] >> scheme.bits
-            found.append(np.stack((fp[at[good]], fp[at[good] + shift]), 1))
-        yield out(np.concatenate(found), False)
-        for i in np.flatnonzero(size > SMALL_GROUP):
-            group = fp[begin[i] : begin[i] + size[i]]
-            yield out(_nearest_forest(group.copy(), scheme.most), True)
-            if len(group) > TREE + 1:  # several trees, which the first member alone may not connect
-                yield out(_forest(group, scheme.most).reshape(-1, 2, BITS // 64), True)
+def _forests(most: int):
+    """Links within large groups: forests of nearest links, which connect all that are near enough; where one falls into several trees, one across them too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _whole_groups((b.column(0).to_numpy(zero_copy_only=False), _unbinary(b.column(1))) for b in batches):
-            yield from links(*group)
+        for key, fp in _whole_groups((b.column(0).to_numpy(), _unbinary(b.column(1))) for b in batches):
+            begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            for a, b in zip(begin, np.append(begin[1:], len(key))):
+                found = [_nearest_forest(fp[a:b].copy(), most)]
+                if b - a > TREE + 1:  # several trees, which the first member alone may not connect
+                    found.append(_forest(fp[a:b], most).reshape(-1, 2, BITS // 64))
+                pairs = np.concatenate(found)
+                yield pa.RecordBatch.from_arrays([_binary(pairs[:, 0]), _binary(pairs[:, 1])], names=["src", "dst"])
 
     return run
 
 
 def _proposed(fps: DataFrame, scheme: Alike) -> DataFrame:
-    """(src, dst, large) of the distinct pairs among ``fps`` (fp), settled."""
-    signatures = fps.mapInArrow(_tables(scheme), "signature long, fp binary")
-    dealt = signatures.repartition("signature").sortWithinPartitions("signature", "fp")  # so groups of different tables start from the same members
-    pairs = dealt.mapInArrow(_propose(scheme), "src binary, dst binary, large boolean")
-    return settled(pairs.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.max("large").alias("large")))
+    """(src, dst, large) of the distinct pairs among ``fps`` (fp, node), settled. Fingerprints are fetched for members of large groups and for pairs that pass the keys' further bits."""
+    index = fps.select("fp", "node").mapInArrow(_tables(scheme), "key long, node long")
+    dealt = index.repartition(F.shiftright("key", scheme.checks)).sortWithinPartitions("key")
+    met = settled(dealt.mapInArrow(_groups(scheme), "signature long, src long, dst long"))
+    pairs = settled(met.filter("signature IS NULL").select("src", "dst").distinct())
+    near = with_ends(pairs, fps, "fp").select("a", "b").mapInArrow(_near(scheme.most), "src binary, dst binary")
+    members = met.filter("signature IS NOT NULL").select("signature", F.col("src").alias("node")).join(fps, "node").select("signature", "fp")
+    ordered = members.repartition("signature").sortWithinPartitions("signature", "fp")  # so groups of different tables start from the same members
+    trees = ordered.mapInArrow(_forests(scheme.most), "src binary, dst binary")
+    both = near.withColumn("large", F.lit(False)).unionByName(trees.withColumn("large", F.lit(True)))
+    found = settled(both.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.max("large").alias("large")))
+    discard(met, pairs)
+    return found
 
 
 def _shingle_sets(nodes: DataFrame, texts: DataFrame, prints: DataFrame, shingle: int) -> DataFrame:
@@ -415,12 +452,12 @@ def _shingle_sets(nodes: DataFrame, texts: DataFrame, prints: DataFrame, shingle
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, prints: DataFrame, shingle: int) -> DataFrame:
-    """The pairs whose shingle sets are alike by 0.8 or more, settled; a node often linked is a skewed key of joins that repeat one row."""
+    """The pairs whose shingle sets are alike by 0.8 or more, settled."""
     nodes = pairs.select(F.col("src").alias("fp")).unionByName(pairs.select(F.col("dst").alias("fp"))).distinct()
     sets = _shingle_sets(nodes, texts, prints, shingle)
-    met = pairs.join(sets.toDF("src", "_a"), "src").join(sets.toDF("dst", "_b"), "dst")
-    both = F.size(F.array_intersect("_a", "_b"))
-    found = settled(met.filter(both * 9 >= (F.size("_a") + F.size("_b")) * 4).select("src", "dst"))  # both / union >= 0.8 in whole numbers
+    met = with_ends(pairs.select("src", "dst"), sets.withColumnRenamed("fp", "node"), "runs")
+    both = F.size(F.array_intersect("a", "b"))
+    found = settled(met.filter(both * 9 >= (F.size("a") + F.size("b")) * 4).select("src", "dst"))  # both / union >= 0.8 in whole numbers
     discard(sets)
     return found
 
@@ -497,7 +534,7 @@ def alike_roots(texts: DataFrame, prints: DataFrame, shingle: int, scheme: Alike
     The forests of large groups may hang on pairs that turn out unlike. So the members that these forests connect are compared
     once more, on their shingle sets, where the links so far leave them apart.
     """
-    fps = settled(prints.select("fp").distinct())
+    fps = settled(prints.select("fp").distinct().withColumn("node", F.monotonically_increasing_id()))
     scheme = scheme or Alike.of(fps.count())
     pairs = _proposed(fps, scheme)
     links = _verified(pairs, texts, prints, shingle)
