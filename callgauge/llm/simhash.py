@@ -270,6 +270,15 @@ class Alike:
         rng = np.random.default_rng(7)
         return np.stack([rng.permutation(BITS)[: self.bits + self.checks] for _ in range(self.tables)])
 
+    def masks(self) -> tuple[np.ndarray, np.ndarray]:
+        """(tables, words) with the picked bits set, and with the further bits set."""
+        found = []
+        for places in np.split(self.picks(), [self.bits], axis=1):
+            rows = np.zeros((self.tables, BITS), np.uint8)
+            np.put_along_axis(rows, places, 1, 1)
+            found.append(np.packbits(rows, axis=1, bitorder="little").view(np.uint64))
+        return found[0], found[1]
+
 
 def shingle_set(text: bytes, shingle: int) -> np.ndarray:
     """Distinct XXH64 values of the runs of ``shingle`` words, ascending; a shorter text is one run, one without words none."""
@@ -345,25 +354,24 @@ def _tables(scheme: Alike):
 
 
 def _groups(scheme: Alike):
-    """From the index in order of keys: pairs (src, dst) of small groups that differ in few enough of the further bits, and members (signature, src) of large groups; a number by itself meets nobody."""
+    """From the index in order of keys, with the signature (table and picked bits): pairs (src, dst) of small groups that differ in few enough of the further bits, and members (src) of large groups. A number by itself meets nobody."""
     checks = (1 << scheme.checks) - 1
 
     def meetings(key: np.ndarray, low: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
         begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         size = np.diff(np.append(begin, len(key)))
         large = np.repeat(size > SMALL_GROUP, size)
-        at, found = np.flatnonzero(~large), [np.empty((0, 2), np.int64)]
+        at, found = np.flatnonzero(~large), [np.empty((0, 3), np.int64)]
         for shift in range(1, SMALL_GROUP):
             at = at[at < len(key) - shift]
             at = at[key[at + shift] == key[at]]
             if len(at) == 0:
                 break
             near = at[np.bitwise_count(low[at] ^ low[at + shift]) <= scheme.most_checks]
-            found.append(np.stack((node[near], node[near + shift]), 1))
+            a, b = node[near], node[near + shift]
+            found.append(np.stack((key[near], np.minimum(a, b), np.maximum(a, b)), 1))
         pairs = np.concatenate(found)
-        n, m = len(pairs), int(large.sum())
-        none = lambda k: pa.nulls(k, pa.int64())
-        columns = ((none(n), key[large]), (pairs.min(1), node[large]), (pairs.max(1), none(m)))
+        columns = ((pairs[:, 0], key[large]), (pairs[:, 1], node[large]), (pairs[:, 2], pa.nulls(int(large.sum()), pa.int64())))
         return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(x, pa.int64()) for x in c]) for c in columns], names=["signature", "src", "dst"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -374,14 +382,25 @@ def _groups(scheme: Alike):
     return run
 
 
-def _near(most: int):
-    """Of pairs of numbers with their fingerprints a and b, the latter, where they differ in few enough bits."""
+def _first_table(differ: np.ndarray, scheme: Alike) -> np.ndarray:
+    """The first table in which each pair is equal and differs in few enough of the further bits."""
+    picked, further = scheme.masks()
+    found = []
+    for i in range(0, len(differ), 256):
+        part = differ[i : i + 256, None, :]
+        found.append((((part & picked) == 0).all(-1) & (_distance(part & further) <= scheme.most_checks)).argmax(1))
+    return np.concatenate(found) if found else np.empty(0, np.int64)
+
+
+def _near(scheme: Alike):
+    """Pairs with fingerprints a and b that differ in few enough bits, if ``at``, the first table that proposed them, is the first in which they meet: where they met in a large group before, its forest stands for them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (batch.column(c) for c in ("a", "b"))
-            good = pa.array(_distance(_unbinary(a) ^ _unbinary(b)) <= most)
-            yield pa.RecordBatch.from_arrays([a.filter(good), b.filter(good)], names=["src", "dst"])
+            differ = _unbinary(batch.column("a")) ^ _unbinary(batch.column("b"))
+            good = _distance(differ) <= scheme.most
+            good[good] = _first_table(differ[good], scheme) == batch.column("at").to_numpy()[good]
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good)) for c in "ab"], names=["src", "dst"])
 
     return run
 
@@ -434,9 +453,9 @@ def _proposed(fps: DataFrame, scheme: Alike) -> DataFrame:
     index = fps.select("fp", "node").mapInArrow(_tables(scheme), "key long, node long")
     dealt = index.repartition(F.shiftright("key", scheme.checks)).sortWithinPartitions("key")
     met = settled(dealt.mapInArrow(_groups(scheme), "signature long, src long, dst long"))
-    pairs = settled(met.filter("signature IS NULL").select("src", "dst").distinct())
-    near = with_ends(pairs, fps, "fp").select("a", "b").mapInArrow(_near(scheme.most), "src binary, dst binary")
-    members = met.filter("signature IS NOT NULL").select("signature", F.col("src").alias("node")).join(fps, "node").select("signature", "fp")
+    pairs = settled(met.filter("dst IS NOT NULL").groupBy("src", "dst").agg(F.min(F.shiftright("signature", scheme.bits)).alias("at")))
+    near = with_ends(pairs, fps, "fp").select("at", "a", "b").mapInArrow(_near(scheme), "src binary, dst binary")
+    members = met.filter("dst IS NULL").select("signature", F.col("src").alias("node")).join(fps, "node").select("signature", "fp")
     ordered = members.repartition("signature").sortWithinPartitions("signature", "fp")  # so groups of different tables start from the same members
     trees = ordered.mapInArrow(_forests(scheme.most), "src binary, dst binary")
     both = near.withColumn("large", F.lit(False)).unionByName(trees.withColumn("large", F.lit(True)))

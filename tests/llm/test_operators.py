@@ -171,8 +171,42 @@ def test_rows_stay_with_all_their_columns(spark):
 def test_tables_grow_with_the_rows():
     for n in (1, 10**5, 10**8, 10**11):
         scheme = simhash.Alike.of(n)
-        assert (1 - (1 - simhash.DIFFERENT) ** scheme.bits) ** scheme.tables < 1 / 1900
-    assert simhash.Alike.of(10**5).bits == 16 and simhash.Alike.of(10**9).tables < 6 * simhash.Alike.of(10**5).tables
+        agree = (1 - simhash.DIFFERENT) ** scheme.bits * simhash._at_most(scheme.most_checks, scheme.checks, simhash.DIFFERENT)
+        assert (1 - agree) ** scheme.tables < 1 / 1900
+        assert scheme.tables <= 1 << 63 - scheme.bits - scheme.checks
+    assert simhash.Alike.of(10**5).bits == 16 and simhash.Alike.of(12_600_000).tables * 16 < 1.7 * 30e9 / 12_600_000 and simhash.Alike.of(10**9).tables < 6 * simhash.Alike.of(10**5).tables
+
+
+@pytest.mark.parametrize("small", [24, 3])
+def test_proposed_pairs_against_brute_force(spark, monkeypatch, small):
+    rng = np.random.default_rng(12)
+    monkeypatch.setattr(simhash, "SMALL_GROUP", small)
+    families = [rng.integers(0, 2, 256, np.uint8) for _ in range(20)]
+    bits = np.unique([f ^ (rng.random(256) < share) for f in families for share in rng.choice((0.03, 0.1, 0.2), 10)], axis=0)
+    words = np.packbits(bits, axis=1, bitorder="little")
+    scheme = simhash.Alike(8, 12, 30, 6)
+    frame = spark.createDataFrame([(bytearray(w.tobytes()), i) for i, w in enumerate(words)], "fp binary, node long").repartition(5)
+    number = {w.tobytes(): i for i, w in enumerate(words)}
+    rows = simhash._proposed(frame, scheme).collect()
+    found = {frozenset((number[bytes(r.src)], number[bytes(r.dst)])) for r in rows}
+    assert len(found) == len(rows)
+    groups, wanted = {}, {}
+    for t, p in enumerate(scheme.picks()):
+        for i, b in enumerate(bits):
+            groups.setdefault((t, b[p[:8]].tobytes()), []).append(i)
+    for (t, _), members in sorted(groups.items()):
+        p = scheme.picks()[t, 8:]
+        for i in members:
+            for j in members:
+                if i < j and (bits[i] != bits[j])[p].sum() <= 6 and (bits[i] != bits[j]).sum() <= 60:
+                    wanted.setdefault(frozenset((i, j)), len(members) > small)
+    assert {k for k, large in wanted.items() if not large} <= found
+    if small == 24:
+        assert found == set(wanted)
+    root = list(range(len(bits)))
+    for i, j in map(sorted, found):
+        root = [root[i] if r == root[j] else r for r in root]
+    assert all(len({root[i] for i in pair}) == 1 for pair in wanted)  # forests of large groups connect theirs
 
 
 def _likeness(a, b):
