@@ -13,6 +13,8 @@ fingerprints, more bits are picked, so that meetings by chance stay few, and mor
 in one of ``MISSED`` cases at every size. Every
 proposed pair is then held against the shingle sets of its two documents, and only what is alike by 0.8 is linked.
 Equal fingerprints count as alike: at a likeness under 0.8 all 256 bits agree in less than one of 10^18 pairs.
+A group that would propose more pairs than it has members reports a forest of nearest links instead, so proposals grow with the members of
+a template and not with their pairs; members that a forest connects and verified links leave apart are compared on their sets, in tiles.
 
 Equal fingerprints are folded first, so copies never meet each other. Small groups compare all
 members; larger ones are searched breadth first and report a spanning forest instead of all
@@ -39,6 +41,8 @@ from .common import discard, hot_join, settled, with_ends
 from .components import connected_components
 
 SMALL_GROUP = 24
+#: Pairs a member that a small group of the near-dedup proposes; one of more is searched as a large one is.
+MOST_PAIRS = 1
 #: Members of one tree of nearest links.
 TREE = 2048
 
@@ -353,25 +357,34 @@ def _tables(scheme: Alike):
     return run
 
 
-def _groups(scheme: Alike):
-    """From the index in order of keys, with the signature (table and picked bits): pairs (src, dst) of small groups that differ in few enough of the further bits, and members (src) of large groups. A number by itself meets nobody."""
+def _groups(scheme: Alike, most_pairs: float):
+    """From the index in order of keys, with the signature (table and picked bits): pairs (src, dst) of small groups that differ in few enough of the further bits, and members (src) of large groups.
+
+    A small group of more than ``most_pairs`` such pairs a member counts as a large one of those that have some. A number by itself meets nobody.
+    """
     checks = (1 << scheme.checks) - 1
 
     def meetings(key: np.ndarray, low: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
         begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         size = np.diff(np.append(begin, len(key)))
-        large = np.repeat(size > SMALL_GROUP, size)
-        at, found = np.flatnonzero(~large), [np.empty((0, 3), np.int64)]
+        group = np.repeat(np.arange(len(size)), size)
+        large = size > SMALL_GROUP
+        met = large[group]
+        at, found = np.flatnonzero(~met), [np.empty((0, 2), np.int64)]
         for shift in range(1, SMALL_GROUP):
             at = at[at < len(key) - shift]
             at = at[key[at + shift] == key[at]]
             if len(at) == 0:
                 break
             near = at[np.bitwise_count(low[at] ^ low[at + shift]) <= scheme.most_checks]
-            a, b = node[near], node[near + shift]
-            found.append(np.stack((key[near], np.minimum(a, b), np.maximum(a, b)), 1))
+            found.append(np.stack((near, near + shift), 1))
         pairs = np.concatenate(found)
-        columns = ((pairs[:, 0], key[large]), (pairs[:, 1], node[large]), (pairs[:, 2], pa.nulls(int(large.sum()), pa.int64())))
+        of = group[pairs[:, 0]]
+        large |= np.bincount(of, minlength=len(size)) > most_pairs * size
+        met[pairs] = True
+        members, pairs = met & large[group], pairs[~large[of]]
+        ends = np.sort(node[pairs], 1)
+        columns = ((key[pairs[:, 0]], key[members]), (ends[:, 0], node[members]), (ends[:, 1], pa.nulls(int(members.sum()), pa.int64())))
         return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(x, pa.int64()) for x in c]) for c in columns], names=["signature", "src", "dst"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -448,11 +461,11 @@ def _forests(most: int):
     return run
 
 
-def _proposed(fps: DataFrame, scheme: Alike) -> DataFrame:
-    """(src, dst, large) of the distinct pairs among ``fps`` (fp, node), settled. Fingerprints are fetched for members of large groups and for pairs that pass the keys' further bits."""
+def _proposed(fps: DataFrame, scheme: Alike, most_pairs: float = SMALL_GROUP) -> DataFrame:
+    """(src, dst, large) of the distinct pairs among ``fps`` (fp, node), settled; by default small groups propose all of theirs. Fingerprints are fetched for members of large groups and for pairs that pass the keys' further bits."""
     index = fps.select("fp", "node").mapInArrow(_tables(scheme), "key long, node long")
     dealt = index.repartition(F.shiftright("key", scheme.checks)).sortWithinPartitions("key")
-    met = settled(dealt.mapInArrow(_groups(scheme), "signature long, src long, dst long"))
+    met = settled(dealt.mapInArrow(_groups(scheme, most_pairs), "signature long, src long, dst long"))
     pairs = settled(met.filter("dst IS NOT NULL").groupBy("src", "dst").agg(F.min(F.shiftright("signature", scheme.bits)).alias("at")))
     near = with_ends(pairs, fps, "fp").select("at", "a", "b").mapInArrow(_near(scheme), "src binary, dst binary")
     members = met.filter("dst IS NULL").select("signature", F.col("src").alias("node")).join(fps, "node").select("signature", "fp")
@@ -555,7 +568,7 @@ def alike_roots(texts: DataFrame, prints: DataFrame, shingle: int, scheme: Alike
     """
     fps = settled(prints.select("fp").distinct().withColumn("node", F.monotonically_increasing_id()))
     scheme = scheme or Alike.of(fps.count())
-    pairs = _proposed(fps, scheme)
+    pairs = _proposed(fps, scheme, MOST_PAIRS)
     links = _verified(pairs, texts, prints, shingle)
     roots = settled(connected_components(links))
     large = pairs.filter("large").select("src", "dst")

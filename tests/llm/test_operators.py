@@ -221,6 +221,40 @@ def _edited(rng, words, edits):
     return out
 
 
+def test_pairs_of_a_template_grow_with_its_members(spark, monkeypatch):
+    """Members of one template that meet in small groups of many tables: few pairs each are held against their sets, and what links join is as by all pairs."""
+    rng, given = random.Random(6), []
+    verified = simhash._verified
+    monkeypatch.setattr(simhash, "_verified", lambda pairs, *more: given.append(pairs.count()) or verified(pairs, *more))
+    template = [f"t{i}" for i in range(200)]
+    texts = [" ".join(_edited(rng, template, rng.choice((2, 3, 4, 5)))) for _ in range(160)]
+    root = list(range(len(texts)))
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts[:i]):
+            if root[i] != root[j] and _likeness(a, b) >= 0.8:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id for r in kept} == set(root) and 10 < len(kept) < 100
+    assert sum(given) < 25 * len(texts)
+
+
+@pytest.mark.parametrize("most", [0, 1])
+def test_dense_groups_are_connected_by_forests(spark, most):
+    rng = np.random.default_rng(13)
+    families = [rng.integers(0, 2, 256, np.uint8) for _ in range(12)]
+    bits = np.unique([f ^ (rng.random(256) < 0.08) for k, f in enumerate(families) for _ in range(2 + k)], axis=0)
+    words = np.packbits(bits, axis=1, bitorder="little")
+    number = {w.tobytes(): i for i, w in enumerate(words)}
+    frame = spark.createDataFrame([(bytearray(w.tobytes()), i) for i, w in enumerate(words)], "fp binary, node long").repartition(3)
+    whole, few = ([tuple(sorted((number[bytes(r.src)], number[bytes(r.dst)]))) for r in simhash._proposed(frame, simhash.Alike(8, 12, 30, 6), *more).collect()] for more in ((), (most,)))
+    root = list(range(len(bits)))
+    for i, j in few:
+        root = [root[i] if r == root[j] else r for r in root]
+    assert len(set(few)) == len(few) and all(root[i] == root[j] for i, j in whole)
+    assert len(few) < len(whole)
+
+
 def test_pairs_alike_by_eight_tenths_meet(spark):
     rng = random.Random(8)
     rows, near = [], 0
