@@ -57,17 +57,27 @@ def discard(*tables: DataFrame | None) -> None:
 SPLITS = 400
 
 
-def hot_join(rows: DataFrame, stats: DataFrame, on: list[str], n: str, total: int, by: list[str] | None = None) -> DataFrame:
+def hot_join(rows: DataFrame, stats: DataFrame, on: list[str], n: str, total: int, by: list[str] | None = None, listed: bool = False) -> DataFrame:
     """Inner join of ``rows`` to ``stats``, which has one row for each key and in ``n`` how many of the ``total`` rows have it.
 
     Hot keys are dealt over as many tasks as their share asks for, by a hash of the columns ``by`` (all). At most ``SPLITS``
-    keys are hot, so their list is broadcast.
+    keys are hot, so their list is broadcast; ``listed`` (for one key column of numbers and settled ``stats``) puts it into the plan,
+    so that rows pass no join but the one with ``stats``.
     """
     parts = F.greatest(F.lit(1), F.ceil(F.col(n) * SPLITS / F.lit(max(1, total)))).cast("int")
+    if listed:
+        parts = F.pow(F.lit(2), F.ceil(F.log2(parts))).cast("int")  # few different numbers
     counted = stats.withColumn("_parts", parts)
-    hot = F.broadcast(counted.filter("_parts > 1").select(*on, "_parts"))
+    hot = counted.filter("_parts > 1").select(*on, "_parts")
+    if listed:
+        keys: dict[int, list[int]] = {}
+        for key, split in hot.collect():
+            keys.setdefault(split, []).append(key)
+        known = rows.withColumn("_parts", F.coalesce(*(F.when(F.col(on[0]).isin(found), F.lit(split)) for split, found in keys.items()), F.lit(1)))
+    else:
+        known = rows.join(F.broadcast(hot), on, "left")
     salt = F.coalesce(F.pmod(F.xxhash64(*(by or rows.columns)), F.col("_parts")).cast("int"), F.lit(0))
-    dealt = rows.join(hot, on, "left").withColumn("_salt", salt).drop("_parts")
+    dealt = known.withColumn("_salt", salt).drop("_parts")
     spread = counted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
     return dealt.join(spread, [*on, "_salt"]).drop("_salt")
 

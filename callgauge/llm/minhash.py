@@ -139,7 +139,7 @@ def _meetings(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     counted = settled(index.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.max("node").alias("most")).filter("n > 1"))
     several = counted.filter("n > 2").select("key", "n", "least")
     total = several.agg(F.sum("n")).first()[0] or 0
-    members = settled(hot_join(index, several, ["key"], "n", total, by=["node"]))
+    members = settled(hot_join(index, several, ["key"], "n", total, by=["node"], listed=True))
     two = counted.filter("n = 2").select(F.col("least").alias("src"), F.col("most").alias("dst"))
     big = members.filter(f"n > {SMALL}").select("key", "node", "n")
     meets = big.groupBy("node").agg(F.sum("n").alias("meets"))
@@ -227,7 +227,7 @@ def _left_apart(large: DataFrame, roots: DataFrame, nodes: DataFrame, texts: Dat
     n_rows = sets.agg(F.sum(F.size("shingles"))).first()[0] or 0
     common = [r.shingle for r in often.filter(F.col("n") * COMMON > n_rows).select("shingle").collect()]  # fewer than COMMON
     rows = sets.mapInArrow(_parted(np.array(sorted(common), np.int64)), "shingle long, node long, size long, others long, place long")
-    shared = hot_join(rows.filter("place IS NULL").drop("place"), often, ["shingle"], "n", max(1, n_rows), by=["node"])
+    shared = rows.filter("place IS NULL").drop("place").join(often, "shingle")  # no hot keys: each is less than one of COMMON rows
     of_node = Window.partitionBy("node")
     # shingles of one member come first in the order and meet nobody, so the places of the others begin after them
     place = F.row_number().over(of_node.orderBy("n", "shingle")) + F.col("others") - F.count("*").over(of_node)

@@ -5,8 +5,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from callgauge.llm import minhash, phrases, registry, vector_codes
+from callgauge.llm import common, minhash, phrases, registry, vector_codes
 from callgauge.llm.oracles import ORACLE_SQL
 from tests.oracle import assert_same
 
@@ -86,6 +87,35 @@ def test_minhash_joins_large_keys_by_rare_shingles(spark):
     assert found_rows(spark, given) == alike_by_hand(given)
 
 
+def test_hot_keys_listed_in_the_plan(spark):
+    keys = [1] * 3000 + [2] * 900 + [None] * 5 + list(range(3, 1200))
+    rows = common.settled(spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k long, i long"))
+    stats = common.settled(rows.groupBy("k").agg(F.count("*").alias("n")).filter("k < 1000"))
+    joined = [common.hot_join(rows, stats, ["k"], "n", len(keys), by=["i"], listed=x) for x in (False, True)]
+    plain = rows.join(stats, "k").select("k", "i", "n")
+    assert all(sorted(x.select("k", "i", "n").collect()) == sorted(plain.collect()) for x in joined)
+    plans = [x._jdf.queryExecution().optimizedPlan().toString() for x in joined]
+    assert "LeftOuter" in plans[0] and plans[1].count("Join ") == 1
+
+
+def test_minhash_deals_its_index_and_shingles_without_a_join(spark, monkeypatch):
+    """Rows of the index and of shingles pass one join each, that with the counts of their keys; there was a second to a list of hot keys."""
+    plans = []
+
+    def watched(rows, *more, **named):
+        plans.append((rows.columns, (out := common.hot_join(rows, *more, **named))._jdf.queryExecution().optimizedPlan().toString()))
+        return out
+
+    monkeypatch.setattr(minhash, "hot_join", watched)
+    template = [f"t{i}" for i in range(200)]
+    rows = [(i, " ".join([*template, *(f"o{i}x{j}" for j in range(20 + i % 3))])) for i in range(40)]
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert found.count() == 40
+    index = [plan for _, plan in plans if "_index(" in plan]
+    assert len(index) == 1 and "LeftOuter" not in index[0]
+    assert not any("others" in columns for columns, _ in plans)
+
+
 def test_minhash_misses_almost_nothing_at_the_least_likeness():
     rng = np.random.default_rng(5)
     missed = 0
