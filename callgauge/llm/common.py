@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..settling import discard, settled, shared_folder  # noqa: F401
+
 #: The six ASCII characters that separate words.
 SPACES = b" \t\n\x0b\x0c\r"
 #: Rows that a pass turns into Python objects at a time.
@@ -21,38 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as ``spark.checkpoint.dir`` or the context names it; a temporary one in local mode only."""
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="callgauge-"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once and written as a table in the shared folder, until it is discarded.
-
-    Later jobs read the table, so a lost executor costs a reread and not the work before it.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    table = spark.read.schema(df.schema).parquet(path)
-    table._settled_at = path
-    return table
-
-
-def discard(*tables: DataFrame | None) -> None:
-    """Removes settled tables that no later plan reads."""
-    for found in tables:
-        if path := getattr(found, "_settled_at", None):
-            place = found.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(found.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-
-
 #: A key that more than one in so many rows have is dealt over several tasks.
 SPLITS = 400
 
