@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from callgauge.functions import json_checks
 from callgauge.operators import normalize, selection
 from callgauge.sources.store import CallStore
 from callgauge.streaming import capture
@@ -39,3 +40,24 @@ def test_batches_leave_nothing_cached_or_settled(spark, tmp_path, monkeypatch):
         assert [(r.n_calls, r.latency_p50_ms) for r in found.collect()] == [(100 + 100 * k, 49.5 + 50 * k)]
         assert "InMemoryRelation" not in plan(found)
     assert cached(spark) == before and not list((tmp_path / "batches").iterdir())
+
+
+def test_only_a_batch_that_comes_again_reads_stored_calls(spark, tmp_path, monkeypatch):
+    store, read = CallStore(spark, str(tmp_path)), []
+    files = store._files
+    monkeypatch.setattr(store, "_files", lambda name: read.append(name) or files(name))
+    of = lambda *ids: normalize.with_defaults(spark.createDataFrame([(i, dt.datetime(2024, 1, 1)) for i in ids], "log_id string, timestamp timestamp"))
+    stored = lambda: sorted(r.log_id for r in files("log_rows").collect())
+    for batch_id, ids in (("one", "aab"), ("two", "bcdd")):
+        store.write_calls(of(*ids), batch_id)
+        assert "log_rows" not in read
+    assert stored() == ["a", "b", "c", "d"]
+    store.write_calls(of(*"bcde"), "two")
+    assert "log_rows" in read and stored() == ["a", "b", "c", "d", "e"]
+
+
+def test_a_text_is_parsed_once_and_only_if_it_may_be_json(spark):
+    texts = {"The answer is B.": None, "": None, "[1": None, " [1] ": "[1]", '{"a":1}': '{"a":1}', "-1": "-1", "null": "null", "1 2": None, "1,2": None, "],[": None, '1,"~end~"': None, '\u00a0"x"\n': '"x"'}
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.to_json(json_checks.strict_value(F.col("t"))).alias("value"))
+    assert {r.t: r.value for r in found.collect()} == texts
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
