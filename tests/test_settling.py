@@ -61,3 +61,11 @@ def test_a_text_is_parsed_once_and_only_if_it_may_be_json(spark):
     found = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.to_json(json_checks.strict_value(F.col("t"))).alias("value"))
     assert {r.t: r.value for r in found.collect()} == texts
     assert found._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
+
+
+def test_a_batch_of_one_provider_keeps_the_points_of_the_run_s_others(spark, tmp_path):
+    store, flags = CallStore(spark, str(tmp_path)), spark.createDataFrame([], "task_id string, should_refuse boolean")
+    for i, provider in enumerate("pqp"):
+        calls = spark.createDataFrame([(str(i), dt.datetime(2024, 1, 1), provider, "m", "r")], "log_id string, timestamp timestamp, provider string, model_id string, eval_run_id string")
+        capture.run_once(normalize.with_defaults(calls), flags, store, f"batch {i}")
+    assert sorted((r.provider, r.n_calls) for r in store.table("metric_series").collect()) == [("p", 2), ("q", 1)]
